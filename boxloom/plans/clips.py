@@ -1 +1,58 @@
-"""Queries."""
+"""Frame sampling and tracking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from boxloom.operators import frames
+from boxloom.plans.fixtures import Inputs
+from boxloom.plans.registry import query
+
+CAP = 30
+
+
+@query(
+    "frame_sample",
+    """WITH p AS (SELECT *, least(total, 30) AS planned FROM frames)
+SELECT clip, event_id, idx, total, planned, k AS out_idx
+FROM (SELECT p.*, (idx * planned + total - 1) // total AS k FROM p) WHERE k * total // planned = idx AND k < planned""",
+    "frames",
+)
+def frame_sample(f: Inputs) -> DataFrame:
+    return frames.sample_frames(f.frames(), CAP).select(
+        "clip", "event_id", "idx", "total", "planned", "out_idx"
+    )
+
+
+@query(
+    "clip_rate",
+    """SELECT user_id AS clip, count(*) AS total, least(count(*), 30) AS planned,
+       CASE WHEN user_id % 3 = 0 THEN 25e0 ELSE 24e0 + user_id % 3 END * least(count(*), 30) / count(*) AS output_fps
+FROM events GROUP BY user_id""",
+)
+def clip_rate(f: Inputs) -> DataFrame:
+    clip = F.col("user_id")
+    fps = F.when(clip % 3 == 0, F.when(clip % 2 == 0, 0.0)).otherwise(24.0 + clip % 3)
+    clips = f.table("events").groupBy(clip.alias("clip")).agg(F.count("*").alias("total"))
+    rated = clips.join(f.table("events").select(clip.alias("clip"), fps.alias("fps")).distinct(), "clip")
+    return frames.clip_rate(rated, CAP).select("clip", "total", "planned", "output_fps")
+
+
+def objects(f: Inputs) -> DataFrame:
+    """Three drifting objects per frame, one of them blinking."""
+    rows = f.frames().select(
+        "clip", "idx", F.col("event_id").alias("e"),
+        F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("pos"),
+    )
+    pos, idx = F.col("pos"), F.col("idx")
+    left = (pos * 40 + idx * 3 % 200 + F.col("e") % 4).cast("double")
+    return rows.filter((pos != 2) | (idx % 5 != 4)).select(
+        "clip", "idx", "pos", F.concat(F.lit("k"), (pos % 2).cast("string")).alias("class_name"),
+        left.alias("x1"), F.lit(10.0).alias("y1"), (left + 30).alias("x2"), F.lit(40.0).alias("y2"),
+    )
+
+
+@query("track_objects")
+def track_objects(f: Inputs) -> DataFrame:
+    return frames.track_objects(objects(f)).select("clip", "idx", "pos", "class_name", "track_id")

@@ -54,7 +54,7 @@ def with_class_id(detections: DataFrame) -> DataFrame:
     return detections.withColumn("class_id", ids.otherwise(4))
 
 
-CLASS_TEXT = """concat(CAST(value AS BIGINT) % 7, ', ', event_id % 5, ';', event_type, ',,', -(event_id % 3), 'x ', user_id % 4)"""
+CLASS_TEXT = """concat(CAST(floor(value) AS BIGINT) % 7, ', ', event_id % 5, ';', event_type, ',,', -(event_id % 3), 'x ', user_id % 4)"""
 
 
 @query(

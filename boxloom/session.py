@@ -49,19 +49,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into the checkpoint folder, so a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for durable intermediate data.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
+    known = context.getCheckpointDir()
+    if known is None:
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-boxloom-")
-        context.setCheckpointDir(shared)
+            known = tempfile.mkdtemp(prefix="spark-boxloom-")
+        context.setCheckpointDir(known)
+    return known
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder, so a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
