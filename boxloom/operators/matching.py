@@ -4,19 +4,25 @@ Same-class pairs come first, then pairs whose classes differ; inside each pass
 the larger IoU wins and ties go to the earlier positions. Ordinary images are
 nested to one row each and matched by a fold over their sorted candidates: one
 shuffle in all, none when the sets are already stored nested. Oversized images
-run rounds of *mutual best* edges, which picks the same pairs because the order
-of candidates is total.
+run rounds of pairs nobody else has a better claim on, which picks the same pairs
+because the order of candidates is total.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import corners, overlaps, shared_area
-from boxloom.operators.overlap import check_threshold, join_on_grid, split_by_size
+from boxloom.operators.overlap import (
+    check_threshold,
+    collapse_copies,
+    join_on_grid,
+    split_by_size,
+)
+from boxloom.operators.ranking import row_numbers
 from boxloom.session import durable
 
 MATCH = (
@@ -148,50 +154,108 @@ def diff_nested(nested: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def mutual_best_rounds(edges: DataFrame, image: str = "item_id") -> DataFrame:
-    """Greedy matching of candidate edges as distributed rounds.
+def match_in_rounds(
+    baseline: DataFrame, current: DataFrame, threshold: float, image: str = "item_id"
+) -> DataFrame:
+    """Greedy matching of oversized images as distributed rounds.
 
-    Each round takes every edge that is the best one left for both of its ends
-    and drops the edges those ends had. The best edge overall always qualifies,
-    so the rounds end.
+    Copies of a baseline box have the same partners in the same order and are used
+    up by rising position, so one *type* stands for all of them. In a round the
+    m-th partner of a type is offered the type's m-th free copy, and the pair is
+    final when no other type has a better claim on that partner. A type keeps its
+    pairs up to the first refusal. The best pair left is always final, so the
+    rounds end, and they choose what choosing pair by pair would.
     """
-    rank = F.struct("pass", "down", "i", "j")
-    left = durable(edges.withColumn("_rank", rank))
+    types, members = collapse_copies(baseline.filter(F.col("x1").isNotNull()), image)
+    places = durable(
+        row_numbers(members, [image, "type"], [F.col("pos")], "place").select(
+            F.col(image).alias("_pk"), F.col("type").alias("_pt"), F.col("place").alias("_pn"),
+            F.col("pos").alias("_pi"),
+        )
+    )
+
+    def with_place(rows: DataFrame, place: Column, name: str) -> DataFrame:
+        on = (F.col("_k") == F.col("_pk")) & (F.col("_t") == F.col("_pt")) & (place == F.col("_pn"))
+        return rows.join(places, on).withColumn(name, F.col("_pi")).drop("_pk", "_pt", "_pn", "_pi")
+
+    left = durable(
+        _typed_edges(types, current, threshold, image)
+    )
+    state = durable(
+        with_place(
+            types.select(
+                F.col(image).alias("_k"), F.col("pos").alias("_t"), "copies", F.lit(0).cast("bigint").alias("used")
+            ),
+            F.col("used") + 1,
+            "head",
+        )
+    )
     taken = []
     while not left.isEmpty():
-        by_i = left.groupBy(F.col(image).alias("_ki"), F.col("i").alias("_i")).agg(
-            F.min("_rank").alias("_best_i")
+        live = left.join(state, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")))
+        by_partner = Window.partitionBy(image, "j").orderBy("pass", "down", "head")
+        claim = F.struct("pass", "down", "head", "type")
+        claims = (
+            live.withColumn("_r", F.row_number().over(by_partner))
+            .filter(F.col("_r") <= 2)
+            .groupBy(F.col(image).alias("_ck"), F.col("j").alias("_cj"))
+            .agg(
+                F.min(claim).alias("_first"),
+                F.max(F.when(F.col("_r") == 2, claim)).alias("_second"),
+            )
+        )
+        by_type = Window.partitionBy(image, "type").orderBy("pass", "down", "j")
+        offers = (
+            live.withColumn("_m", F.row_number().over(by_type))
+            .filter(F.col("_m") <= _OFFERS)
+            .filter(F.col("used") + F.col("_m") <= F.col("copies"))
         )
-        by_j = left.groupBy(F.col(image).alias("_kj"), F.col("j").alias("_j")).agg(
-            F.min("_rank").alias("_best_j")
+        offers = with_place(offers, F.col("used") + F.col("_m"), "i")
+        rival = F.when(F.col("_first.type") == F.col("type"), F.col("_second")).otherwise(F.col("_first"))
+        judged = offers.join(
+            claims, (F.col(image) == F.col("_ck")) & (F.col("j") == F.col("_cj"))
+        ).withColumn("_rival", rival)
+        better = F.struct(F.col("_rival.pass"), F.col("_rival.down"), F.col("_rival.head")) < F.struct(
+            F.col("pass"), F.col("down"), F.col("i").alias("head")
         )
-        best = durable(
-            left.join(by_i, (F.col(image) == F.col("_ki")) & (F.col("i") == F.col("_i")))
-            .filter(F.col("_rank") == F.col("_best_i"))
-            .join(by_j, (F.col(image) == F.col("_kj")) & (F.col("j") == F.col("_j")))
-            .filter(F.col("_rank") == F.col("_best_j"))
-            .select(*left.columns)
+        refused = F.col("_rival").isNotNull() & better
+        whole_type = Window.partitionBy(image, "type")
+        final = durable(
+            judged.withColumn("_stop", F.min(F.when(refused, F.col("_m"))).over(whole_type))
+            .filter(F.col("_stop").isNull() | (F.col("_m") < F.col("_stop")))
+            .select(image, "type", "i", *[c for c in left.columns if c not in (image, "type")])
         )
-        taken.append(best)
-        used_i = best.select(F.col(image).alias("_ki"), F.col("i").alias("_i"))
-        used_j = best.select(F.col(image).alias("_kj"), F.col("j").alias("_j"))
+        taken.append(final)
+        spent = final.groupBy(F.col(image).alias("_sk"), F.col("type").alias("_st")).agg(
+            F.count("*").alias("_spent")
+        )
+        after = state.drop("head").join(
+            spent, (F.col("_k") == F.col("_sk")) & (F.col("_t") == F.col("_st")), "left"
+        ).withColumn("used", F.col("used") + F.coalesce("_spent", F.lit(0))).drop("_sk", "_st", "_spent")
+        state = durable(with_place(after.filter(F.col("used") < F.col("copies")), F.col("used") + 1, "head"))
+        gone = final.select(F.col(image).alias("_gk"), F.col("j").alias("_gj"))
+        alive = state.select("_k", "_t")
         left = durable(
-            left.join(used_i, (F.col(image) == F.col("_ki")) & (F.col("i") == F.col("_i")), "left_anti")
-            .join(used_j, (F.col(image) == F.col("_kj")) & (F.col("j") == F.col("_j")), "left_anti")
+            left.join(gone, (F.col(image) == F.col("_gk")) & (F.col("j") == F.col("_gj")), "left_anti")
+            .join(alive, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")), "left_semi")
         )
     if not taken:
-        return left.drop("_rank")
-    return reduce(DataFrame.unionByName, taken).drop("_rank")
+        return left.withColumn("i", F.col("type")).drop("type")
+    return reduce(DataFrame.unionByName, taken).drop("type")
+
+
+#: Partners one type is offered per round; more only means more rounds.
+_OFFERS = 256
 
 
-def heavy_edges(baseline: DataFrame, current: DataFrame, threshold: float, image: str) -> DataFrame:
-    pairs = join_on_grid(baseline, current, [image], threshold, ["class_name"])
+def _typed_edges(types: DataFrame, current: DataFrame, threshold: float, image: str) -> DataFrame:
+    pairs = join_on_grid(types, current, [image], threshold, ["class_name"])
     same = F.col("b_class_name").eqNullSafe(F.col("c_class_name"))
     return pairs.select(
         image,
         F.when(same, 0).otherwise(1).alias("pass"),
         (-F.col("iou")).alias("down"),
-        "i",
+        F.col("i").alias("type"),
         "j",
         F.col("b_class_name").alias("b_class"),
         F.col("c_class_name").alias("c_class"),
@@ -219,7 +283,7 @@ def heavy_matches(baseline: DataFrame, current: DataFrame, threshold: float, ima
     only_labels = labels.select(F.col(image).alias("_l"))
     b = baseline.join(only_labels, F.col(image) == F.col("_l"), "left_anti")
     c = current.join(only_labels, F.col(image) == F.col("_l"), "left_anti")
-    matches = mutual_best_rounds(heavy_edges(b, c, threshold, image), image)
+    matches = match_in_rounds(b, c, threshold, image)
 
     found = matches.select(
         image,

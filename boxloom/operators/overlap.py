@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import CORNERS, corners, iou, overlaps
 from boxloom.operators.ranking import hot_groups
-from boxloom.session import nested_boxes
+from boxloom.session import durable, nested_boxes
+
+#: Tasks a single crowded grid cell is spread over.
+_SALTS = 16
 
 
 def check_threshold(threshold: float) -> float:
@@ -92,8 +95,30 @@ def join_in_image(baseline, current, keys, threshold, extra=(), condition=None)
     return _with_iou(b.join(c, on), keys, extra, threshold)
 
 
+def collapse_copies(boxes: DataFrame, image: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct boxes (class and corners) and the rows that share each of them.
+
+    Returns ``types`` with the first position of each as ``pos`` and its ``copies``,
+    and ``members`` as ``image, type, pos``.
+    """
+    same = ["class_name", *CORNERS]
+    types = durable(
+        boxes.groupBy(image, *same).agg(F.min("pos").alias("pos"), F.count("*").alias("copies"))
+    )
+    lookup = types.select(
+        *[F.col(c).alias(f"_t_{c}") for c in (image, *same)], F.col("pos").alias("type")
+    )
+    on = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in (image, *same)]
+    )
+    return types, boxes.join(lookup, on).select(image, "type", "pos")
+
+
 def join_on_grid(baseline, current, keys, threshold, extra=(), condition=None) -> DataFrame:
-    """Candidates of oversized images: equi-join on ``keys`` and a size-scaled cell."""
+    """Candidates of oversized images: equi-join on ``keys`` and a size-scaled cell.
+
+    Cells are salted, so a crowded spot is still spread over several tasks.
+    """
     t = check_threshold(threshold)
     b, c = _sides(baseline, current, keys, extra)
 
@@ -108,12 +133,14 @@ def join_on_grid(baseline, current, keys, threshold, extra=(), condition=None) -
         b.withColumn("b_level", level)
         .withColumn("b_gx", F.floor(cx / size))
         .withColumn("b_gy", F.floor(cy / size))
+        .withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     )
 
     spread = math.ceil(math.log2(1 / t) + 1e-9)
     reach = (1 - t) * max(1.0, 1 / (2 * t)) + 1e-6
     cx, cy, w, h, level = dims("c_")
-    c = c.withColumn("_level", level).withColumn(
+    salt = F.pmod(F.xxhash64("j"), F.lit(_SALTS)).cast("int")
+    c = c.withColumns({"_level": level, "c_salt": salt}).withColumn(
         "c_level", F.explode(F.sequence(F.col("_level") - spread, F.col("_level") + spread))
     )
     size = F.pow(F.lit(2.0), F.col("c_level") + 1)
@@ -127,6 +154,7 @@ def join_on_grid(baseline, current, keys, threshold, extra=(), condition=None) -
         & (F.col("b_level") == F.col("c_level"))
         & (F.col("b_gx") == F.col("c_gx"))
         & (F.col("b_gy") == F.col("c_gy"))
+        & (F.col("b_salt") == F.col("c_salt"))
         & overlaps(corners(prefix="b_"), corners(prefix="c_"))
     )
     if condition is not None:
@@ -151,5 +179,14 @@ def iou_candidates(
     light, heavy = split_by_size([baseline, current], [image])
     pairs = join_in_image(*light, keys, threshold, extra, differ)
     if heavy is not None:
-        pairs = pairs.unionByName(join_on_grid(*heavy, keys, threshold, extra, differ))
+        types, members = collapse_copies(heavy[0], image)
+        found = join_on_grid(types, heavy[1], keys, threshold, extra, differ)
+        # Copies of a box have the same partners; they are put back afterwards.
+        copies = members.select(
+            F.col(image).alias("_image"), F.col("type").alias("_type"), F.col("pos").alias("_i")
+        )
+        expanded = found.join(
+            copies, (F.col(image) == F.col("_image")) & (F.col("i") == F.col("_type"))
+        ).withColumn("i", F.col("_i"))
+        pairs = pairs.unionByName(expanded.select(*pairs.columns))
     return pairs

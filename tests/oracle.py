@@ -79,17 +79,19 @@ def main(argv: list[str]) -> int:
     from boxloom.session import build_session
 
     sf_dir = argv[0]
+    conf = dict(a.split("=", 1) for a in argv[1:] if "=" in a)
+    wanted = [a for a in argv[1:] if "=" not in a]
     spark = build_session(
         "check", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"},
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", **conf},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
     bad = 0
     for name, run in entry.queries().items():
-        if argv[1:] and name not in argv[1:]:
+        if wanted and name not in wanted:
             continue
         start = time.time()
         try:
