@@ -10,8 +10,11 @@ because the order of candidates is total.
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from boxloom.operators.overlap import (
     split_by_size,
 )
 from boxloom.operators.ranking import row_numbers
-from boxloom.session import durable
+from boxloom.session import durable, hot_group_rows
 
 MATCH = (
     "struct<pass:int,down:double,i:bigint,j:bigint,b_class:string,c_class:string>"
@@ -163,8 +166,9 @@ def match_in_rounds(
     up by rising position, so one *type* stands for all of them. In a round the
     m-th partner of a type is offered the type's m-th free copy, and the pair is
     final when no other type has a better claim on that partner. A type keeps its
-    pairs up to the first refusal. The best pair left is always final, so the
-    rounds end, and they choose what choosing pair by pair would.
+    pairs up to the first refusal. The best pair left is always final, so every
+    round makes progress and chooses what choosing pair by pair would. Once the
+    counted rest fits a task, it is settled directly.
     """
     types, members = collapse_copies(baseline.filter(F.col("x1").isNotNull()), image)
     places = durable(
@@ -191,7 +195,8 @@ def match_in_rounds(
         )
     )
     taken = []
-    while not left.isEmpty():
+    remaining = left.count()
+    while remaining > hot_group_rows(left.sparkSession):
         live = left.join(state, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")))
         by_partner = Window.partitionBy(image, "j").orderBy("pass", "down", "head")
         claim = F.struct("pass", "down", "head", "type")
@@ -239,9 +244,67 @@ def match_in_rounds(
             left.join(gone, (F.col(image) == F.col("_gk")) & (F.col("j") == F.col("_gj")), "left_anti")
             .join(alive, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")), "left_semi")
         )
-    if not taken:
-        return left.withColumn("i", F.col("type")).drop("type")
-    return reduce(DataFrame.unionByName, taken).drop("type")
+        remaining = left.count()
+    free = state.join(places, (F.col("_k") == F.col("_pk")) & (F.col("_t") == F.col("_pt"))).filter(
+        F.col("_pn") > F.col("used")
+    )
+    rest = _finish(left, free.select(F.col("_k").alias(image), F.col("_t").alias("type"), F.col("_pi").alias("i")), image)
+    return reduce(DataFrame.unionByName, [t.drop("type") for t in taken], durable(rest))
+
+
+def _finish(edges: DataFrame, free: DataFrame, image: str) -> DataFrame:
+    """The last edges of each image, few enough by count for one task, in order.
+
+    Only free copies of types that still have an edge are brought along.
+    """
+    wanted = free.join(
+        edges.select(F.col(image).alias("_k"), F.col("type").alias("_t")).distinct(),
+        (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")),
+        "left_semi",
+    )
+    # A type can use at most one copy per edge it has left.
+    degree = edges.groupBy(F.col(image).alias("_k"), F.col("type").alias("_t")).agg(
+        F.count("*").alias("_most")
+    )
+    numbered = row_numbers(wanted, [image, "type"], [F.col("i")], "_n")
+    bounded = numbered.join(degree, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t"))).filter(
+        F.col("_n") <= F.col("_most")
+    ).select(image, "type", "i")
+    kind = edges.schema[image].dataType.simpleString()
+    schema = f"{image} {kind}, pass int, down double, i bigint, j bigint, b_class string, c_class string"
+
+    def settle(left: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+        queue: dict[int, list[int]] = {}
+        for t, i in sorted(zip(copies["type"], copies["i"]), reverse=True):
+            queue.setdefault(t, []).append(i)
+        rows = sorted(zip(left["pass"], left["down"], left["type"], left["j"], range(len(left))), reverse=True)
+        used: set[int] = set()
+        picked: list[tuple[int, int]] = []
+        while rows:
+            level, partners = rows[-1][:2], {}
+            while rows and rows[-1][:2] == level:
+                _, _, t, j, at = rows.pop()
+                partners.setdefault(t, deque()).append((j, at))
+            heads = [(queue[t][-1], t) for t in partners if queue.get(t)]
+            heapq.heapify(heads)
+            while heads:
+                i, t = heapq.heappop(heads)
+                options = partners[t]
+                while options and options[0][0] in used:
+                    options.popleft()
+                if not options:
+                    continue
+                j, at = options.popleft()
+                used.add(j)
+                picked.append((at, queue[t].pop()))
+                if queue[t]:
+                    heapq.heappush(heads, (queue[t][-1], t))
+        names = [image, "pass", "down", "i", "j", "b_class", "c_class"]
+        out = left.iloc[[at for at, _ in picked]].copy()
+        out["i"] = [i for _, i in picked]
+        return out[names]
+
+    return edges.groupBy(image).cogroup(bounded.groupBy(image)).applyInPandas(settle, schema)
 
 
 #: Partners one type is offered per round; more only means more rounds.
