@@ -44,7 +44,8 @@ def numbered_images(items: DataFrame) -> DataFrame:
     Ids count all done items in path order, so a file that is gone leaves a gap.
     """
     done = items.filter(F.col("status") == "done").select("item_id", "rel_path", "width", "height")
-    return row_numbers(unique_names(done), [], [F.col("rel_path")], "image_id")
+    numbered = row_numbers(done, [], [F.col("rel_path")], "image_id", stored=True)
+    return unique_names(numbered)
 
 
 def coco_images(numbered: DataFrame, listing: DataFrame) -> DataFrame:

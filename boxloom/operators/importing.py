@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import corners_from_coco, keypoints_from_flat, polygon_from_flat
 from boxloom.functions.text import match_key
-from boxloom.operators.ranking import row_numbers
+from boxloom.operators.ranking import has_hot_group, row_numbers
 
 
 def clean_categories(categories: DataFrame) -> DataFrame:
@@ -119,8 +119,10 @@ def winners(matched: DataFrame) -> DataFrame:
 SET_COLUMNS = ("item_id", "pos", "class_name", "confidence", "x1", "y1", "x2", "y2")
 
 
-def _placed(rows: DataFrame, order: list[Column], start: Column) -> DataFrame:
-    numbered = row_numbers(rows, ["item_id"], order, "_n")
+def _placed(
+    rows: DataFrame, order: list[Column], start: Column, hot: bool | None = None
+) -> DataFrame:
+    numbered = row_numbers(rows, ["item_id"], order, "_n", hot=hot)
     return numbered.withColumn("pos", start + F.col("_n") - 1).select(*SET_COLUMNS)
 
 
@@ -132,19 +134,15 @@ def import_replace(current: DataFrame, matched: DataFrame, detections: DataFrame
     chosen = winners(matched)
     touched = chosen.select("item_id")
     fresh = detections.join(chosen.select("item_id", "image_id"), "image_id")
+    # One image per item, so the annotation side alone tells how large items get.
+    crowded = has_hot_group(detections.select("image_id"), ["image_id"])
     return (
         current.select(*SET_COLUMNS)
         .join(touched, "item_id", "left_anti")
-        .unionByName(_placed(fresh, [F.col("ann_ord")], F.lit(0)))
+        .unionByName(_placed(fresh, [F.col("ann_ord")], F.lit(0), crowded))
     )
 
 
-def imported_rows(matched: DataFrame, detections: DataFrame) -> DataFrame:
-    """Only the rows an overwriting import brings in."""
-    chosen = winners(matched).select("item_id", "image_id")
-    return _placed(detections.join(chosen, "image_id"), [F.col("ann_ord")], F.lit(0))
-
-
 def import_append(current: DataFrame, matched: DataFrame, detections: DataFrame) -> DataFrame:
     """Previous rows followed by the imported ones, in image then annotation order."""
     found = hits(matched).select("item_id", "image_id", "ord")

@@ -366,6 +366,20 @@ def heavy_matches(baseline: DataFrame, current: DataFrame, threshold: float, ima
     return matches, pairs
 
 
+def _objects(detections: Column) -> Column:
+    """Stored detections as matchable objects; only four numbers make a box."""
+
+    def one(d: Column, pos: Column) -> Column:
+        x1, y1, x2, y2 = (F.when(F.size(d["box"]) == 4, F.get(d["box"], F.lit(i))) for i in range(4))
+        return F.struct(
+            pos.cast("bigint").alias("pos"), d["class_name"].alias("class_name"),
+            x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
+            ((x2 - x1) * (y2 - y1)).alias("area"),
+        )
+
+    return F.coalesce(F.transform(detections, one), F.array())
+
+
 def _unnest(nested: DataFrame, image: str, array: str, required: str) -> DataFrame:
     """Array elements as rows.
 
@@ -379,20 +393,42 @@ class Comparison:
     """Two long annotation sets compared image by image.
 
     Both sets need ``item_id, pos, class_name, x1, y1, x2, y2``; a null ``x1``
-    marks a detection without a box.
+    marks a detection without a box. ``largest`` is an upper bound of the objects
+    per image and set, where the caller knows one; otherwise they are counted.
     """
 
     def __init__(
-        self, baseline: DataFrame, current: DataFrame, threshold: float = 0.5, image: str = "item_id"
+        self,
+        baseline: DataFrame,
+        current: DataFrame,
+        threshold: float = 0.5,
+        image: str = "item_id",
+        largest: int | None = None,
     ) -> None:
         self.image = image
         self.threshold = check_threshold(threshold)
-        light, heavy = split_by_size([baseline, current], [image])
+        light, heavy = split_by_size([baseline, current], [image], largest)
         self.nested = diff_nested(nest_sets(*light, image), self.threshold)
         self.heavy = None
         if heavy is not None:
             self.heavy = heavy_matches(*heavy, self.threshold, image)
 
+    @classmethod
+    def of_items(cls, items: DataFrame, threshold: float = 0.5, image: str = "item_id") -> Comparison:
+        """Compare the ``baseline`` and ``detections`` arrays stored on each item.
+
+        Both sets already share a row, so nothing is shuffled.
+        """
+        comparison = cls.__new__(cls)
+        comparison.image = image
+        comparison.threshold = check_threshold(threshold)
+        nested = items.select(
+            image, _objects(F.col("baseline")).alias("b"), _objects(F.col("detections")).alias("c")
+        ).filter((F.size("b") > 0) | (F.size("c") > 0))
+        comparison.nested = diff_nested(nested, comparison.threshold)
+        comparison.heavy = None
+        return comparison
+
     def matches(self) -> DataFrame:
         """``item_id, i, j, pass, iou`` of every matched pair."""
         columns = [self.image, "i", "j", "pass", (-F.col("down")).alias("iou")]

@@ -32,8 +32,8 @@ def first_free_names(
     """
     key = F.lower(F.col("_name"))
     last_resort = F.lit(numbered is None) & (F.col("_try") > 0)
-    asking = images.withColumns(
-        {"_plain": plain, "_folded": folded, "_try": F.lit(0), "_name": plain}
+    asking = durable(
+        images.withColumns({"_plain": plain, "_folded": folded, "_try": F.lit(0), "_name": plain})
     )
     while True:
         holders = asking.groupBy(key.alias("_key")).agg(F.min("rel_path").alias("_holder"))
@@ -51,9 +51,19 @@ def first_free_names(
 
 
 def unique_names(items: DataFrame) -> DataFrame:
-    """Archive names: the base name, or the folded path when that is taken."""
+    """Archive names: the base name, or the folded path when that is taken.
+
+    A folded path can only take somebody's base name if that contains ``__``.
+    Without such a name the earliest path of each base name keeps it, and one
+    aggregate and join say so.
+    """
     path = F.col("rel_path")
-    return first_free_names(items, base_name(path), folded_path(path), "archive_name")
+    if not items.filter(base_name(path).contains("__")).isEmpty():
+        return first_free_names(items, base_name(path), folded_path(path), "archive_name")
+    key = F.lower(base_name(path))
+    firsts = items.groupBy(key.alias("_key")).agg(F.min("rel_path").alias("_first"))
+    name = F.when(path == F.col("_first"), base_name(path)).otherwise(folded_path(path))
+    return items.join(firsts, key == F.col("_key")).select(*items.columns, name.alias("archive_name"))
 
 
 def number_repeats(entries: DataFrame, order: list[Column], name: str = "name") -> DataFrame:

@@ -85,14 +85,17 @@ def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
     return kept
 
 
-def merge_detections(detections: DataFrame, threshold: float = 0.5) -> DataFrame:
+def merge_detections(
+    detections: DataFrame, threshold: float = 0.5, largest: int | None = None
+) -> DataFrame:
     """Keep the most confident of overlapping detections of one class per image.
 
     ``item_id, pos`` identify a detection; ties in confidence go to the smaller
-    ``pos``. Detections without a box pass through.
+    ``pos``. Detections without a box pass through. ``largest`` bounds the
+    detections of one image, where the caller knows.
     """
     t = check_threshold(threshold)
     boxes = detections.filter(F.col("x1").isNotNull())
-    light, heavy = split_by_size([boxes], list(_KEYS))
+    light, heavy = split_by_size([boxes], list(_KEYS), largest)
     merged = detections.filter(F.col("x1").isNull()).unionByName(_nested(light[0], t))
     return merged if heavy is None else merged.unionByName(_rounds(heavy[0], t))

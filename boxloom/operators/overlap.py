@@ -30,12 +30,15 @@ def check_threshold(threshold: float) -> float:
     return float(threshold)
 
 
-def split_by_size(frames: Sequence[DataFrame], keys: Sequence[str]):
+def split_by_size(frames: Sequence[DataFrame], keys: Sequence[str], largest: int | None = None):
     """Split frames into ordinary and oversized groups: ``(light, heavy | None)``.
 
     A group is oversized when any of the frames holds more than the nested limit.
+    ``largest`` is an upper bound of a group's rows, where the caller knows one.
     """
     limit = nested_boxes(frames[0].sparkSession)
+    if largest is not None and largest <= limit:
+        return list(frames), None
     tagged = [f.select(F.lit(n).alias("_side"), *keys) for n, f in enumerate(frames)]
     heavy_keys = (
         hot_groups(reduce(DataFrame.unionByName, tagged), ["_side", *keys], limit)
@@ -168,6 +171,7 @@ def iou_candidates(
     threshold: float,
     same_class: bool,
     image: str = "item_id",
+    largest: int | None = None,
 ) -> DataFrame:
     """All pairs of one image with IoU >= ``threshold`` and equal / different class."""
     check_threshold(threshold)
@@ -176,7 +180,7 @@ def iou_candidates(
     if not same_class:
         differ = ~F.col("b_class_name").eqNullSafe(F.col("c_class_name"))
     extra = [] if same_class else ["class_name"]
-    light, heavy = split_by_size([baseline, current], [image])
+    light, heavy = split_by_size([baseline, current], [image], largest)
     pairs = join_in_image(*light, keys, threshold, extra, differ)
     if heavy is not None:
         types, members = collapse_copies(heavy[0], image)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.session import hot_group_rows, shuffle_partitions
+from boxloom.session import durable, hot_group_rows, shuffle_partitions
 
 _SAMPLE_PER_BUCKET = 32
 
@@ -69,11 +69,14 @@ def row_numbers(
     order: Sequence[Column],
     name: str,
     hot: bool | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add a 1-based BIGINT ``name`` per ``keys`` group in ascending ``order``.
 
     ``order`` has to be total within a group. Whether any group is hot is looked
-    up with a partial count unless the caller already knows.
+    up with a partial count unless the caller already knows. Bucketed numbering
+    reads its input three times, so the input is settled first unless it is
+    ``stored`` and cheap to read again.
     """
     if keys and hot is None:
         hot = has_hot_group(df.select(*keys), keys)
@@ -83,6 +86,8 @@ def row_numbers(
 
     sorted_by = [f"_o{i}" for i in range(len(order))]
     placed = df.withColumns(dict(zip(sorted_by, order)))
+    if not stored:
+        placed = durable(placed)
     bounds, count = _range_bounds(placed.select(*sorted_by), shuffle_partitions(df.sparkSession))
     placed = placed.withColumn(
         "_bucket",

@@ -15,12 +15,14 @@ from boxloom.schema import KINDS
 
 
 def everything(f: Inputs) -> Comparison:
-    return Comparison(f.baseline(), f.current())
+    return Comparison(f.baseline(), f.current(), largest=f.largest)
 
 
 def done_only(f: Inputs) -> Comparison:
     items = f.items()
-    return Comparison(diff.keep_done(f.baseline(), items), diff.keep_done(f.current(), items))
+    return Comparison(
+        diff.keep_done(f.baseline(), items), diff.keep_done(f.current(), items), largest=f.largest
+    )
 
 
 @query("greedy_match", "SELECT item_id, i, j, pass, iou FROM matches", "matches")
@@ -30,7 +32,7 @@ def greedy_match(f: Inputs) -> DataFrame:
 
 @query("iou_candidates_same", "SELECT item_id, b_class AS class_name, i, j, iou FROM cand WHERE pass = 0", "cand")
 def iou_candidates_same(f: Inputs) -> DataFrame:
-    return iou_candidates(f.baseline(), f.current(), 0.5, same_class=True)
+    return iou_candidates(f.baseline(), f.current(), 0.5, same_class=True, largest=f.largest)
 
 
 @query(
@@ -39,7 +41,7 @@ def iou_candidates_same(f: Inputs) -> DataFrame:
     "cand",
 )
 def iou_candidates_cross(f: Inputs) -> DataFrame:
-    return iou_candidates(f.baseline(), f.current(), 0.5, same_class=False)
+    return iou_candidates(f.baseline(), f.current(), 0.5, same_class=False, largest=f.largest)
 
 
 @query("diff_missing", "SELECT item_id, b_pos AS pos, b_class AS class_name FROM pairs WHERE kind = 'missing'", "pairs")

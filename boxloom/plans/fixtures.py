@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import CORNERS
 from boxloom.functions.text import base_name
-from boxloom.operators.ranking import has_hot_group, row_numbers
+from boxloom.operators.ranking import row_numbers
+from boxloom.session import hot_group_rows
 
 #: Views in dependency order: name -> (views it reads, SQL).
 VIEWS: dict[str, tuple[str, str]] = {
@@ -279,9 +280,15 @@ class Inputs:
         self.sf_dir = sf_dir
 
     @cached_property
+    def largest(self) -> int:
+        """The most objects any image holds; every set is a subset of these."""
+        counts = self.table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+        return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+    @property
     def crowded(self) -> bool:
         """Whether some image holds more objects than one task should number."""
-        return has_hot_group(self.table("lineitem").select("l_orderkey"), ["l_orderkey"])
+        return self.largest > hot_group_rows(self.spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -328,7 +335,7 @@ class Inputs:
     def _set(self, keep: Column, shift: tuple[Column, Column], name: Column, confidence: Column):
         kept = self.seed().filter(keep)
         order = [F.col(c) for c in ("ln", "p", "s", "d100", "w", "cls")]
-        numbered = row_numbers(kept, ["item_id"], order, "_n", hot=self.crowded)
+        numbered = row_numbers(kept, ["item_id"], order, "_n", hot=self.crowded, stored=True)
         dx, dy = shift
         return numbered.select(
             "item_id",
@@ -411,7 +418,7 @@ class Inputs:
             F.col("user_id").alias("clip"), "event_id", F.col("event_type").alias("class_name"), "ts"
         )
         numbered = row_numbers(
-            events, ["clip"], [F.col("ts"), F.col("event_id")], "_n"
+            events, ["clip"], [F.col("ts"), F.col("event_id")], "_n", stored=True
         )
         totals = events.groupBy("clip").agg(F.count("*").alias("total"))
         return numbered.join(totals, "clip").select(

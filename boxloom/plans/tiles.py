@@ -93,7 +93,7 @@ SELECT item_id, pos, class_name, confidence, x1, y1, x2, y2 FROM g WHERE keep"""
     "current_set",
 )
 def nms(f: Inputs) -> DataFrame:
-    return merge_detections(f.current(), 0.3)
+    return merge_detections(f.current(), 0.3, largest=f.largest)
 
 
 @query(

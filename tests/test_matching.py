@@ -165,6 +165,32 @@ def test_ordinary_images_need_one_shuffle(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_stored_items_compare_without_a_shuffle(spark):
+    from pyspark.sql import types as T
+
+    from boxloom.schema import DETECTION
+
+    def found(name, box):
+        return {"class_name": name, "confidence": 1.0, "kind": "box", "box": box}
+
+    schema = T.StructType(
+        [T.StructField("item_id", T.LongType()), T.StructField("baseline", T.ArrayType(DETECTION)),
+         T.StructField("detections", T.ArrayType(DETECTION))]
+    )
+    box = [0.0, 0.0, 9.0, 9.0]
+    rows = [
+        (1, [found("car", box)], [found("van", box), found("car", box)]),
+        (2, [], [found("cat", None)]),
+        (3, [], []),
+        (4, [found("car", box)], [found("car", [1.0, 2.0])]),
+    ]
+    result = Comparison.of_items(spark.createDataFrame(rows, schema))
+    got = sorted((r["item_id"], r["kind"]) for r in result.pairings().collect())
+    assert got == [(1, "added"), (1, "agreed"), (2, "added"), (4, "agreed")]
+    plan = diff.item_diff(result)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_refresh_keeps_items_outside_the_comparison(spark):
     items = spark.createDataFrame([(1, 9, 0.5), (2, 7, 0.25)], "item_id bigint, disputed bigint, agreement double")
     base = frame(spark, [(1, 0, "a", (0, 0, 5, 5))])
