@@ -139,7 +139,7 @@ FROM items WHERE item_id % 3 = 0""",
     ),
     "coco_annotation": (
         "seed",
-        """SELECT item_id AS image_id, (ln * 100000000 + p) * 1000000 + s AS id,
+        """SELECT item_id AS image_id, ((ln * 100000000 + p) * 1000000 + s) * 100 + w AS id,
        CASE WHEN p % 13 = 0 THEN NULL ELSE p % 4 END AS category_id,
        CASE WHEN p % 29 = 0 THEN NULL ELSE CAST(bx AS DOUBLE) + 25e-2 END AS bx, CAST(by_ AS DOUBLE) AS by_,
        CAST(w AS DOUBLE) AS bw, CAST(h AS DOUBLE) AS bh
@@ -408,7 +408,7 @@ class Inputs:
         moved = F.transform(bbox, lambda v, i: F.when(i == 0, v + 0.25).otherwise(v))
         return self.seed().filter((F.col("item_id") % 3 == 0) & ((p + s) % 4 != 0)).select(
             F.col("item_id").alias("image_id"),
-            ((F.col("ln") * 100000000 + p) * 1000000 + s).alias("id"),
+            (((F.col("ln") * 100000000 + p) * 1000000 + s) * 100 + F.col("w")).alias("id"),
             F.when(p % 13 != 0, p % 4).alias("category_id"),
             F.when(p % 29 != 0, moved).alias("bbox"),
         )

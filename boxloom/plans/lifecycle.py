@@ -60,7 +60,7 @@ def pending_items(f: Inputs) -> DataFrame:
     return lifecycle.pending_items(items, items.filter(F.col("item_id") % 3 == 0)).select("item_id", "rel_path")
 
 
-RUNS = """SELECT l_orderkey AS item_id, (l_linenumber * 100000000 + l_partkey) * 1000000 + l_suppkey AS run_id,
+RUNS = """SELECT l_orderkey AS item_id, ((l_linenumber * 100000000 + l_partkey) * 1000000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS run_id,
        CASE WHEN l_partkey % 5 = 0 THEN repeat(concat('bad file ', l_suppkey, ' '), 60) END AS error,
        CAST(100 + l_partkey % 50 AS INTEGER) AS width, CAST(100 + l_suppkey % 50 AS INTEGER) AS height,
        'detect' AS task, l_quantity AS inference_ms, l_discount AS review_priority, l_partkey % 6 AS detection_count FROM lineitem"""
@@ -82,7 +82,8 @@ def results_upsert(f: Inputs) -> DataFrame:
     text = F.repeat(F.concat(F.lit("bad file "), s.cast("string"), F.lit(" ")), 60)
     results = f.table("lineitem").select(
         F.col("l_orderkey").alias("item_id"),
-        ((F.col("l_linenumber").cast("bigint") * 100000000 + p) * 1000000 + s).alias("run_id"),
+        (((F.col("l_linenumber").cast("bigint") * 100000000 + p) * 1000000 + s) * 100
+         + F.col("l_quantity").cast("bigint")).alias("run_id"),
         F.when(p % 5 == 0, text).alias("error"),
         (100 + p % 50).cast("int").alias("width"),
         (100 + s % 50).cast("int").alias("height"),
