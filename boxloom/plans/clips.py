@@ -53,6 +53,11 @@ def objects(f: Inputs) -> DataFrame:
     )
 
 
-@query("track_objects")
+@query(
+    "track_objects",
+    """SELECT c.clip, c.idx, c.pos, concat('k', c.pos % 2) AS class_name,
+       dense_rank() OVER (PARTITION BY c.clip ORDER BY start_idx, start_pos) AS track_id FROM chains c""",
+    "chains",
+)
 def track_objects(f: Inputs) -> DataFrame:
     return frames.track_objects(objects(f)).select("clip", "idx", "pos", "class_name", "track_id")

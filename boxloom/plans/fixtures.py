@@ -244,6 +244,38 @@ WHERE t.status = 'done' AND c.confidence >= 0.25e0""",
        CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS total
 FROM events""",
     ),
+    "objects": (
+        "frames",
+        """SELECT clip, idx, pos, concat('k', pos % 2) AS class_name, l AS x1, 10e0 AS y1, l + 30 AS x2, 40e0 AS y2 FROM (
+  SELECT clip, idx, pos, CAST(pos * 40 + idx * 3 % 200 + event_id % 4 AS DOUBLE) AS l
+  FROM frames CROSS JOIN (VALUES (0::BIGINT), (1), (2)) v(pos) WHERE pos <> 2 OR idx % 5 <> 4)""",
+    ),
+    "steps": (
+        "objects",
+        """SELECT *, row_number() OVER (PARTITION BY clip, idx ORDER BY iou DESC, i, j) AS rn FROM (
+  SELECT a.clip, a.idx, a.pos AS i, b.pos AS j,
+         (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * 30e0 /
+         (1800e0 - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * 30e0) AS iou
+  FROM objects a JOIN objects b ON a.clip = b.clip AND b.idx = a.idx + 1 AND a.class_name = b.class_name
+  WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1)) WHERE iou >= 0.3e0""",
+    ),
+    "step_fold": (
+        "steps",
+        """SELECT clip, idx, rn, i, j, true AS took, [i] AS ui, [j] AS uj FROM steps WHERE rn = 1
+  UNION ALL
+  SELECT r.clip, r.idx, r.rn, r.i, r.j, NOT (list_contains(f.ui, r.i) OR list_contains(f.uj, r.j)),
+         CASE WHEN list_contains(f.ui, r.i) OR list_contains(f.uj, r.j) THEN f.ui ELSE list_append(f.ui, r.i) END,
+         CASE WHEN list_contains(f.ui, r.i) OR list_contains(f.uj, r.j) THEN f.uj ELSE list_append(f.uj, r.j) END
+  FROM step_fold f JOIN steps r ON r.clip = f.clip AND r.idx = f.idx AND r.rn = f.rn + 1""",
+    ),
+    "chains": (
+        "objects step_fold",
+        """SELECT clip, idx, pos, idx AS start_idx, pos AS start_pos FROM objects o WHERE NOT EXISTS (
+    SELECT 1 FROM step_fold s WHERE s.took AND s.clip = o.clip AND s.idx = o.idx - 1 AND s.j = o.pos)
+  UNION ALL
+  SELECT c.clip, c.idx + 1, s.j, c.start_idx, c.start_pos
+  FROM chains c JOIN step_fold s ON s.took AND s.clip = c.clip AND s.idx = c.idx AND s.i = c.pos""",
+    ),
 }
 
 

@@ -269,7 +269,13 @@ def detections_sorted(f: Inputs) -> DataFrame:
     )
 
 
-@query("detections_json", None)
+@query(
+    "detections_json",
+    f"""SELECT item_id, pos, concat('{{"class_name":"', class_name, '","confidence":', confidence, ',"kind":"box"',
+       CASE WHEN id < 4 THEN concat(',"class_id":', id) ELSE '' END, ',"box":[', x1, ',', y1, ',', x2, ',', y2, ']}}') AS detection
+FROM (SELECT *, {CLASS_ID} AS id FROM current_set)""",
+    "current_set",
+)
 def detections_json(f: Inputs) -> DataFrame:
     detection = F.struct(
         "class_name",
