@@ -109,7 +109,7 @@ def corners_from_coco(bbox: Column) -> Column:
     """``[x, y, w, h]`` to rounded corners; null unless it holds four numbers."""
     x, y, w, h = corners_of_array(bbox)
     return F.when(
-        F.size(bbox) >= 4,
+        F.array_size(bbox) >= 4,
         F.array(py_round(x, 2), py_round(y, 2), py_round(x + w, 2), py_round(y + h, 2)),
     )
 
@@ -117,7 +117,7 @@ def corners_from_coco(bbox: Column) -> Column:
 def polygon_from_flat(flat: Column) -> Column:
     """Pair up a flat coordinate list; an odd last value is dropped."""
     return F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(flat)), lambda i: (i % 2 == 0) & (i + 1 < F.size(flat))),
+        F.filter(F.sequence(F.lit(0), F.array_size(flat)), lambda i: (i % 2 == 0) & (i + 1 < F.array_size(flat))),
         lambda i: F.array(py_round(F.get(flat, i), 2), py_round(F.get(flat, i + 1), 2)),
     )
 
@@ -125,7 +125,7 @@ def polygon_from_flat(flat: Column) -> Column:
 def keypoints_from_flat(flat: Column) -> Column:
     """Triples to ``[x, y, score]``; any non-zero visibility becomes 1.0."""
     return F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(flat)), lambda i: (i % 3 == 0) & (i + 2 < F.size(flat))),
+        F.filter(F.sequence(F.lit(0), F.array_size(flat)), lambda i: (i % 3 == 0) & (i + 2 < F.array_size(flat))),
         lambda i: F.array(
             py_round(F.get(flat, i), 2),
             py_round(F.get(flat, i + 1), 2),

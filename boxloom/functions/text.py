@@ -86,7 +86,7 @@ def class_ids(text: Column) -> Column:
     parts = F.transform(F.split(text, "[,;]"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     ids = F.transform(F.filter(parts, lambda p: p.rlike(r"^[+-]?[0-9]+$")), lambda p: p.try_cast("bigint"))
     kept = F.array_sort(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())))
-    return F.when(F.size(kept) > 0, kept)
+    return F.when(F.array_size(kept) > 0, kept)
 
 
 def class_ids_browser(text: Column) -> Column:
@@ -96,7 +96,7 @@ def class_ids_browser(text: Column) -> Column:
     )
     ids = F.transform(prefixes, lambda p: p.try_cast("bigint"))
     kept = F.array_sort(F.array_distinct(F.filter(ids, lambda i: i >= 0)))
-    return F.when(F.size(kept) > 0, kept)
+    return F.when(F.array_size(kept) > 0, kept)
 
 
 def payload_text(payload: Column) -> Column:

@@ -77,12 +77,12 @@ def coco_annotations(
         ).alias("bbox"),
         py_round(width * height, 2).alias("area"),
         F.lit(0).alias("iscrowd"),
-        F.when(F.size(mask) > 0, F.array(flat_rounded(mask)))
+        F.when(F.array_size(mask) > 0, F.array(flat_rounded(mask)))
         .otherwise(F.array().cast("array<array<double>>"))
         .alias("segmentation"),
         coco_keypoints(keys).alias("keypoints"),
         F.coalesce(
-            F.size(F.filter(keys, lambda p: keypoint_visibility(p) > 0)), F.lit(0)
+            F.array_size(F.filter(keys, lambda p: keypoint_visibility(p) > 0)), F.lit(0)
         ).alias("num_keypoints"),
     )
     return row_numbers(rows, [], [F.col("image_id"), F.col("pos")], "id")
@@ -101,7 +101,7 @@ def coco_keypoints(keypoints: Column) -> Column:
 
 def keypoint_count(detections: DataFrame) -> DataFrame:
     """The largest number of keypoints on any detection, 0 without detections."""
-    return detections.agg(F.coalesce(F.max(F.size("keypoints")), F.lit(0)).alias("keypoint_count"))
+    return detections.agg(F.coalesce(F.max(F.array_size("keypoints")), F.lit(0)).alias("keypoint_count"))
 
 
 def coco_categories(classes: DataFrame, keypoints: int | None = None) -> DataFrame:

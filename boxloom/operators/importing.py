@@ -85,9 +85,9 @@ def to_detections(annotations: DataFrame, categories: DataFrame) -> DataFrame:
     points = "array<array<double>>"
     mask, keys = F.lit(None).cast(points), F.lit(None).cast(points)
     if "segmentation" in annotations.columns:
-        mask = F.when(F.size("segmentation") > 0, polygon_from_flat(F.get("segmentation", F.lit(0))))
+        mask = F.when(F.array_size("segmentation") > 0, polygon_from_flat(F.get("segmentation", F.lit(0))))
     if "keypoints" in annotations.columns:
-        keys = F.when(F.size("keypoints") >= 3, keypoints_from_flat(F.col("keypoints")))
+        keys = F.when(F.array_size("keypoints") >= 3, keypoints_from_flat(F.col("keypoints")))
     boxed = named.select(
         "image_id",
         F.col("id").alias("ann_ord"),

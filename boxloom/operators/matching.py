@@ -118,7 +118,7 @@ def _label_pair(b: Column, c: Column) -> Column:
 
 
 def _boxless(side: Column) -> Column:
-    return (F.size(side) > 0) & F.forall(side, lambda d: d["x1"].isNull())
+    return (F.array_size(side) > 0) & F.forall(side, lambda d: d["x1"].isNull())
 
 
 def diff_nested(nested: DataFrame, threshold: float) -> DataFrame:
@@ -130,7 +130,7 @@ def diff_nested(nested: DataFrame, threshold: float) -> DataFrame:
         .withColumn(
             "matches",
             F.when(F.col("labels"), F.array().cast(f"array<{MATCH}>"))
-            .when(F.size("edges") <= 1, F.col("edges"))
+            .when(F.array_size("edges") <= 1, F.col("edges"))
             .otherwise(_take_greedily(F.col("edges"))),
         )
         .drop("edges")
@@ -370,7 +370,7 @@ def _objects(detections: Column) -> Column:
     """Stored detections as matchable objects; only four numbers make a box."""
 
     def one(d: Column, pos: Column) -> Column:
-        x1, y1, x2, y2 = (F.when(F.size(d["box"]) == 4, F.get(d["box"], F.lit(i))) for i in range(4))
+        x1, y1, x2, y2 = (F.when(F.array_size(d["box"]) == 4, F.get(d["box"], F.lit(i))) for i in range(4))
         return F.struct(
             pos.cast("bigint").alias("pos"), d["class_name"].alias("class_name"),
             x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
@@ -424,7 +424,7 @@ class Comparison:
         comparison.threshold = check_threshold(threshold)
         nested = items.select(
             image, _objects(F.col("baseline")).alias("b"), _objects(F.col("detections")).alias("c")
-        ).filter((F.size("b") > 0) | (F.size("c") > 0))
+        ).filter((F.array_size("b") > 0) | (F.array_size("c") > 0))
         comparison.nested = diff_nested(nested, comparison.threshold)
         comparison.heavy = None
         return comparison
@@ -449,7 +449,7 @@ class Comparison:
         from boxloom.schema import KINDS
 
         def count(kind: str) -> Column:
-            return F.size(F.filter("pairs", lambda p: p["kind"] == kind)).cast("bigint")
+            return F.array_size(F.filter("pairs", lambda p: p["kind"] == kind)).cast("bigint")
 
         rows = self.nested.select(self.image, *[count(k).alias(k) for k in KINDS])
         if self.heavy is not None:

@@ -26,7 +26,7 @@ def tile_decision(images: DataFrame, tile: int, overlap: float = 0.2) -> DataFra
             "_ys": tile_origins(F.col("height"), tile, overlap),
         }
     )
-    count = F.size("_xs") * F.size("_ys")
+    count = F.array_size("_xs") * F.array_size("_ys")
     return planned.withColumn("tiles", count).withColumn(
         "tiled", (F.greatest("width", "height") > tile) & (F.col("tiles") <= MAX_TILES)
     )
@@ -36,7 +36,7 @@ def plan_tiles(images: DataFrame, tile: int, overlap: float = 0.2) -> DataFrame:
     """Every tile of every image, numbered row by row."""
     decided = tile_decision(images, tile, overlap)
     rows = decided.select(
-        "item_id", "width", "height", "tiled", F.size("_xs").alias("_nx"), "_xs",
+        "item_id", "width", "height", "tiled", F.array_size("_xs").alias("_nx"), "_xs",
         F.posexplode("_ys").alias("_yi", "y"),
     ).select(
         "item_id", "width", "height", "tiled", "_nx", "_yi", "y", F.posexplode("_xs").alias("_xi", "x")

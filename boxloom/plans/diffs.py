@@ -92,7 +92,7 @@ def item_diff(f: Inputs) -> DataFrame:
        CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(added) AS BIGINT) AS added,
        count(*) - count(*) FILTER (disputed = 0) AS items_disputed,
        CAST(sum(disputed) AS BIGINT) AS disputed,
-       round(sum(agreed) / CAST(sum(agreed + disputed) AS DOUBLE), 4) AS agreement FROM verdicts""",
+       CAST(printf('%.4f', sum(agreed) / CAST(sum(agreed + disputed) AS DOUBLE)) AS DOUBLE) AS agreement FROM verdicts""",
     "verdicts",
 )
 def diff_summary(f: Inputs) -> DataFrame:

@@ -175,7 +175,7 @@ def result_task(f: Inputs) -> DataFrame:
 
 STATS = """count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS failed,
        count(*) FILTER (status = 'pending') AS pending, CAST(sum(detection_count) AS BIGINT) AS detections,
-       round(avg(nullif(inference_ms, 0)), 2) AS average_ms"""
+       CAST(printf('%.2f', avg(nullif(inference_ms, 0))) AS DOUBLE) AS average_ms"""
 
 
 @query("project_stats", f"SELECT {STATS} FROM items", "items")
@@ -205,7 +205,7 @@ def review_priority(f: Inputs) -> DataFrame:
 
 @query(
     "task_score",
-    """SELECT t.item_id, coalesce(round(avg(c.confidence), 4), 0e0) AS score
+    """SELECT t.item_id, coalesce(CAST(printf('%.4f', avg(c.confidence)) AS DOUBLE), 0e0) AS score
 FROM items t LEFT JOIN current_set c ON c.item_id = t.item_id GROUP BY 1""",
     "items current_set",
 )
@@ -238,10 +238,10 @@ def visible_class_counts(f: Inputs) -> DataFrame:
 
 @query(
     "timing_profile",
-    """SELECT project_id, count(*) AS runs, round_even(median(inference_ms), 2) AS latency_ms,
-       round_even(1000e0 / median(inference_ms), 1) AS latency_fps,
-       round_even(sum(inference_ms) / count(*), 2) AS throughput_ms_per_image,
-       round_even(1000e0 / (sum(inference_ms) / count(*)), 1) AS throughput_fps
+    """SELECT project_id, count(*) AS runs, CAST(printf('%.2f', median(inference_ms)) AS DOUBLE) AS latency_ms,
+       CAST(printf('%.1f', 1000e0 / median(inference_ms)) AS DOUBLE) AS latency_fps,
+       CAST(printf('%.2f', sum(inference_ms) / count(*)) AS DOUBLE) AS throughput_ms_per_image,
+       CAST(printf('%.1f', 1000e0 / (sum(inference_ms) / count(*))) AS DOUBLE) AS throughput_fps
 FROM items WHERE status = 'done' AND inference_ms > 0 GROUP BY 1""",
     "items",
 )
@@ -289,9 +289,9 @@ def detections_json(f: Inputs) -> DataFrame:
 
 @query(
     "result_row",
-    """SELECT t.item_id, coalesce(c.n, 0) AS "count", round_even(t.inference_ms, 2) AS speed_ms,
+    """SELECT t.item_id, coalesce(c.n, 0) AS "count", CAST(printf('%.2f', t.inference_ms) AS DOUBLE) AS speed_ms,
        CAST(printf('%.3f', t.inference_ms / 8 + t.inference_ms + t.inference_ms / 4) AS DOUBLE) AS total_ms,
-       round_even(coalesce(c.p, 1e0), 4) AS review_priority, 1000e0 / nullif(t.inference_ms, 0) AS fps
+       CAST(printf('%.4f', coalesce(c.p, 1e0)) AS DOUBLE) AS review_priority, 1000e0 / nullif(t.inference_ms, 0) AS fps
 FROM items t LEFT JOIN (SELECT item_id, count(*) AS n, max(1e0 - abs(confidence - 0.5e0) / 0.5e0) AS p
   FROM current_set GROUP BY 1) c ON c.item_id = t.item_id""",
     "items current_set",

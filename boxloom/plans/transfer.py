@@ -237,8 +237,8 @@ def coco_annotations(f: Inputs) -> DataFrame:
         "id", "image_id", "category_id",
         *[F.get("bbox", F.lit(i)).alias(f"bbox_{c}") for i, c in enumerate("xywh")],
         "area", "iscrowd",
-        F.size(polygon).alias("polygon_values"),
-        F.when(F.size(polygon) > 0, F.aggregate(polygon, F.lit(0.0), lambda a, v: a + v)).alias("polygon_sum"),
+        F.array_size(polygon).alias("polygon_values"),
+        F.when(F.array_size(polygon) > 0, F.aggregate(polygon, F.lit(0.0), lambda a, v: a + v)).alias("polygon_sum"),
     )
 
 
@@ -253,7 +253,7 @@ UNION ALL SELECT id, image_id, 2, x2, y2, v2, (v1 > 0)::INT + (v2 > 0)::INT FROM
 )
 def coco_keypoint_rows(f: Inputs) -> DataFrame:
     keys = F.col("keypoints")
-    starts = F.filter(F.sequence(F.lit(0), F.size(keys)), lambda i: (i % 3 == 0) & (i < F.size(keys)))
+    starts = F.filter(F.sequence(F.lit(0), F.array_size(keys)), lambda i: (i % 3 == 0) & (i < F.array_size(keys)))
     points = F.transform(
         starts,
         lambda i: F.struct(
@@ -261,7 +261,7 @@ def coco_keypoint_rows(f: Inputs) -> DataFrame:
             F.get(keys, i + 1).alias("y"), F.get(keys, i + 2).alias("visibility"),
         ),
     )
-    return coco_rows(f).filter(F.size(keys) > 0).select(
+    return coco_rows(f).filter(F.array_size(keys) > 0).select(
         "id", "image_id", F.inline(points), "num_keypoints"
     )
 
@@ -343,7 +343,7 @@ FROM (SELECT *, {CVAT_KIND} AS type FROM shaped) WHERE type IS NOT NULL""",
 )
 def cvat_shapes(f: Inputs) -> DataFrame:
     return labeltools.cvat_shapes(shaped(f)).select(
-        "item_id", "pos", "confidence", "label", "type", F.size("points").alias("n_points"),
+        "item_id", "pos", "confidence", "label", "type", F.array_size("points").alias("n_points"),
         F.get("points", F.lit(0)).alias("p0"), F.get("points", F.lit(1)).alias("p1"),
     )
 
@@ -368,7 +368,7 @@ FROM (SELECT *, {LS_KIND} AS kind FROM shaped) WHERE kind IS NOT NULL"""
 @query("ls_results", LS, "shaped")
 def ls_results(f: Inputs) -> DataFrame:
     return labeltools.label_studio_results(shaped(f)).withColumn(
-        "polygon_points", F.size("points")
+        "polygon_points", F.array_size("points")
     ).drop("points")
 
 

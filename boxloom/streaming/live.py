@@ -40,7 +40,7 @@ def score_stream(frames: DataFrame, factory: Callable[[], Scorer]) -> DataFrame:
     scored = result_columns(score(frames, factory, conf=0.0))
     kept = F.filter("detections", lambda d: d["confidence"] >= F.col("conf"))
     return scored.withColumn("detections", kept).withColumn(
-        "detection_count", F.coalesce(F.size("detections"), F.lit(0))
+        "detection_count", F.coalesce(F.array_size("detections"), F.lit(0))
     )
 
 

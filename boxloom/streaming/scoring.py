@@ -108,7 +108,7 @@ def result_columns(scored: DataFrame) -> DataFrame:
         "result.width", "result.height", "result.preprocess_ms", "result.inference_ms",
         "result.postprocess_ms", "result.device",
         F.when(ok, F.coalesce(best, F.lit(1.0))).alias("review_priority"),
-        F.size(found).alias("detection_count"),
+        F.array_size(found).alias("detection_count"),
         F.col("result.detections").alias("detections"),
     )
 
