@@ -47,7 +47,7 @@ def split_by_size(frames: Sequence[DataFrame], keys: Sequence[str], largest: int
     )
     if heavy_keys.isEmpty():
         return list(frames), None
-    renamed = heavy_keys.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    renamed = durable(heavy_keys).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
 
     def pick(frame: DataFrame, how: str) -> DataFrame:
         condition = F.lit(True)
@@ -55,7 +55,9 @@ def split_by_size(frames: Sequence[DataFrame], keys: Sequence[str], largest: int
             condition = condition & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
         return frame.join(renamed, condition, how)
 
-    return [pick(f, "left_anti") for f in frames], [pick(f, "left_semi") for f in frames]
+    # The crowded part is read many times, so it is settled once.
+    heavy = [durable(pick(f, "left_semi")) for f in frames]
+    return [pick(f, "left_anti") for f in frames], heavy
 
 
 def _sides(baseline: DataFrame, current: DataFrame, keys: Sequence[str], extra: Sequence[str]):
