@@ -4,10 +4,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from boxloom.plans import load_all
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES, SQL = load_all()
 
 
 @pytest.fixture(scope="module")
