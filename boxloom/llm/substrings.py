@@ -194,7 +194,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = scanned.select("id", F.explode(F.arrays_zip("prefixes", "marks", "places")).alias("a")).select(
         "id", F.col("a.prefixes").alias("prefix"), F.col("a.marks").alias("mark"), F.col("a.places").alias("place")
     )
-    shared = (
+    # stored, so that both sides of the join are plain exchanges, whose large partitions Spark splits
+    shared = stored(
         anchors.groupBy("prefix").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
         .filter("low <> high").select("prefix")
     )
