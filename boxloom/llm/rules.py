@@ -206,8 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
     taught = narrow(labels, doc_id="doc_id", quality="quality").filter("doc_id is not null and quality is not null")
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
     known = docs.filter("doc_id is not null").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = statistics(known).filter(~base_failed()).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "n_words")
-    rows = found.select("quality", *[F.col(f"f_{name}").alias(name) for name in FEATURES]).collect()
+    # filtered and sorted here: a filter or sort in the query would take the statistics
+    # of all documents, or take them twice
+    found = statistics(known).join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "quality", base_failed().alias("failed"), *[F.col(f"f_{name}").alias(name) for name in FEATURES]
+    ).collect()
+    rows = sorted((r.asDict() for r in found if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), *r.values()))
     return learn([({name: r[name] for name in FEATURES}, r["quality"] == 0) for r in rows])
 
 
