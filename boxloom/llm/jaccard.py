@@ -12,11 +12,14 @@ Two documents link when ``100 * intersection >= percent * union`` of their shing
 * The boundary is the largest size at which the subsets cost less than ``LIST_COST``
   times the blocks, an estimate of what scanning and verifying a list entry costs.
 
-Sets are first collapsed by digest, so copies are one node. Lists are read in rounds: a
-round verifies a list's first node against the others and drops it; pairs that are in
-one component by then need no check, and short lists settle all their other pairs at
-once. Every pair that could join two components is verified on the texts' sets, no list
-is cut, and no group is expanded into all its pairs.
+Sets are first collapsed by digest, so copies are one node. A list's nodes are then
+verified against its head, which is dropped; pairs in one component by then need no
+check. The nodes of lists that stay open, mostly sets that share much and yet do not
+link, are read once more by inverted lists of single shingles, the rarest of each set among these nodes, with bounds by size and position:
+of two linked sets the first shared shingle stands early in both. They are
+read in two rounds, because what the first joins needs no more checks. Every pair that could
+join two components is verified on the texts' sets, no list is cut, and no group of
+copies is expanded into all its pairs.
 
 Defined cases: null and empty texts have no shingle and link with nothing; a text of
 fewer words than a shingle is one shingle; a null doc_id comes last among ids; rows with
@@ -41,11 +44,13 @@ from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column
 
 #: Cost of an inverted-list entry in units of an enumerated subset.
 LIST_COST = 4
-#: Lists of at most so many nodes settle all their open pairs in one round.
-SHORT_LIST = 24
 #: Bits of the bitmap of repeated signatures as a power of two: 16 MiB.
 BITMAP_BITS = 27
 
+#: Inverted lists are read in rounds, each of one in so many of the open pairs; the last
+#: takes every pair that is open still.
+PARTS = (8, 1)
+
 _LARGEST = 1 << 40
 _LAST = (1 << 63) - 1
 _U = np.uint64
@@ -224,51 +229,99 @@ def _bitmap(signatures: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists (signature, node, label) that still hold nodes of different labels, with
+    their size and the smallest node as head."""
+    summed = lists.groupBy("signature").agg(
+        F.min("node").alias("head"), F.min_by("label", "node").alias("head_label"), F.count(F.lit(1)).alias("n"),
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    ).filter("low <> high").drop("low", "high")
+    return stored(lists.join(stored(summed), "signature"))
+
+
+def _star(lists: DataFrame) -> DataFrame:
+    """Pairs of a list's head and its other nodes."""
+    return lists.filter("label <> head_label").select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+
+def _shingled(batch: pa.RecordBatch, shingle: int) -> pa.RecordBatch:
+    values, sizes = [], []
+    for chunk in chunks(batch.column("text"), SPACED, True):
+        _, value, size = _sets(chunk, shingle)
+        values.append(as_long(value))
+        sizes.append(size)
+    value, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (values, sizes))
+    return pa.record_batch([batch.column("node"), list_column(value, size, pa.int64())], ["node", "shingles"])
+
+
+def _early(nodes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Inverted lists over ``nodes``: shingle, node, size, at. Shingles are taken from the
+    rarest on, ``at`` is the place, and only places that a linked set could share are in."""
+    sets = texts.join(nodes, "node").select("node", "text").mapInArrow(
+        by_batch(partial(_shingled, shingle=plan.shingle)), "node bigint, shingles array<bigint>"
+    )
+    postings = stored(sets.select("node", F.explode("shingles").alias("shingle")))
+    rarity = stored(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    ranked = postings.join(rarity, "shingle", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("own")
+    )
+    size = F.size("own")
+    least = F.ceil(size * F.lit(plan.percent) / 100).cast("int")
+    early = ranked.select("node", size.alias("size"), F.posexplode(F.slice("own", F.lit(1), size - least + 1)).alias("at", "own"))
+    # a shingle of one set only meets nothing
+    return stored(early.filter("own.n > 1").select("own.shingle", "node", "size", "at"))
+
+
+def _early_pairs(early: DataFrame, labels: DataFrame, plan: Plan, part: int) -> DataFrame:
+    """Pairs with different labels that share a shingle early enough to link, or one in
+    ``part`` of them."""
+    named = early.join(labels, "node", "left").select(
+        "shingle", "node", "size", "at", F.coalesce("component", "node").alias("label")
+    )
+    columns = ("node", "size", "at", "label")
+    a, b = (named.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+    overlap = F.ceil(plan.percent * (F.col("size_a") + F.col("size_b")) / (100 + plan.percent))
+    return (
+        a.join(b, "shingle")
+        .filter("node_a < node_b and label_a <> label_b")
+        .filter((F.col("size_a") - F.col("at_a") >= overlap) & (F.col("size_b") - F.col("at_b") >= overlap))
+        .filter(F.pmod(F.xxhash64("node_a", "node_b"), F.lit(part)) == 0)
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    )
+
+
 def _components(signed: DataFrame, plan: Plan) -> DataFrame:
     """``node, component`` of every node with a verified link."""
-    texts = stored(signed.filter("text is not null").groupBy("node").agg(F.first("text").alias("text")))
-    postings = (
-        signed.select("node", F.explode("signatures").alias("signature"))
-        .groupBy("signature", "node").agg(F.lit(1).alias("one")).drop("one")
-    )
-    repeated = postings.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    open_lists = stored(postings.join(repeated.select("signature"), "signature", "left_semi").withColumn("label", F.col("node")))
-    checked: DataFrame | None = None
-    while True:
-        lists = open_lists.groupBy("signature").agg(
-            F.min("node").alias("head"), F.min_by("label", "node").alias("head_label"), F.count(F.lit(1)).alias("n"),
-            F.min("label").alias("low"), F.max("label").alias("high"),
-        ).filter("low <> high").drop("low", "high")
-        members = open_lists.join(lists, "signature")
-        first = checked is None
-        long = members if first else members.filter(F.col("n") > SHORT_LIST)
-        pairs = long.filter("label <> head_label").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        if not first:
-            short = members.filter(F.col("n") <= SHORT_LIST)
-            other = short.select("signature", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            settled = short.select("signature", F.col("node").alias("a"), "label").join(other, "signature")
-            pairs = pairs.unionByName(settled.filter("a < b and label <> label_b").select("a", "b"))
+    shared = signed.filter("text is not null")
+    texts = stored(shared.groupBy("node").agg(F.first("text").alias("text"), F.first("signatures").alias("signatures")))
+    postings = texts.select(F.explode("signatures").alias("signature"), "node").distinct()
+    texts = texts.select("node", "text")
+    lists = _open(postings.withColumn("label", F.col("node")))
+    verify = by_batch(partial(_verify, shingle=plan.shingle, percent=plan.percent))
+
+    def checked_with(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         pairs = pairs.distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        compared = (
+        if before is not None:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        found = (
             pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b")
+            .mapInArrow(verify, _VERIFIED)
         )
-        verify = by_batch(partial(_verify, shingle=plan.shingle, percent=plan.percent))
-        result = compared.mapInArrow(verify, _VERIFIED)
-        checked = stored(result if checked is None else checked.unionByName(result))
-        links = checked.filter("linked").select("a", "b")
-        labels = components(links)
-        rest = (
-            long.filter("node <> head").select("signature", "node").join(labels, "node", "left")
-            .select("signature", "node", F.coalesce("component", "node").alias("label"))
-        )
-        still = rest.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        open_lists = stored(rest.join(still.select("signature"), "signature", "left_semi"))
-        if open_lists.isEmpty():
-            return labels
+        return stored(found if before is None else before.unionByName(found))
+
+    checked = checked_with(_star(lists), None)
+    labels = components(checked.filter("linked"))
+    rest = lists.filter("node <> head").select("signature", "node").join(labels, "node", "left")
+    lists = _open(rest.select("signature", "node", F.coalesce("component", "node").alias("label")))
+    if lists.isEmpty():
+        return labels
+    early = _early(lists.select("node").distinct(), texts, plan)
+    for part in PARTS:
+        checked = checked_with(_early_pairs(early, labels, plan, part), checked)
+        labels = components(checked.filter("linked"))
+    return labels
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
