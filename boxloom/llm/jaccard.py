@@ -350,7 +350,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, and all without shingles."""
+    """The rows of ``docs`` whose doc_id is the smallest of their component, repeated rows
+    once; documents without shingles all stay."""
     found = jaccard_components(docs, shingle, percent)
-    first = found.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.coalesce("doc_id", F.lit(_LAST)).alias("_id")
+    ).distinct()
+    marked = docs.withColumn("_id", F.coalesce("doc_id", F.lit(_LAST)))
+    return marked.join(first, "_id", "left_semi").dropDuplicates(["_id", "text"]).drop("_id")
