@@ -104,11 +104,12 @@ def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
 
 
 class _Archive:
-    """An archive being written: records wait until there are enough to train on."""
+    """An archive being written: records wait until there are enough to train on. The
+    stream is opened without the compression that pyarrow would guess from the name."""
 
     def __init__(self, files: fs.FileSystem, path: str) -> None:
         self.path, self.records, self.bytes, self.payload = path, 0, 0, 0
-        self.out = files.open_output_stream(path)
+        self.out = files.open_output_stream(path, compression=None)
         self.waiting: list[bytes] = []
         self.waiting_bytes = 0
         self.compressor: zstandard.ZstdCompressor | None = None
@@ -195,7 +196,7 @@ def _read(batches: Batches, folder: str, payloads: bool) -> Batches:
     rows: list[dict] = []
     for batch in batches:
         for path in batch.column("path").to_pylist():
-            with files.open_input_stream(path) as stream:
+            with files.open_input_stream(path, compression=None) as stream:
                 for raw in read_archive(stream):
                     parsed = parse(raw)
                     rows.append({n: parsed[n] if payloads or n != "payload" else None for n in names})
