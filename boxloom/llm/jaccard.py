@@ -46,6 +46,8 @@ from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column
 LIST_COST = 4
 #: Bits of the bitmap of repeated signatures as a power of two: 16 MiB.
 BITMAP_BITS = 27
+#: The bits of a signature that each probe of the bitmap skips.
+PROBES = (0, 18, 37)
 
 #: Inverted lists are read in rounds, each of one in so many of the open pairs; the last
 #: takes every pair that is open still.
@@ -180,8 +182,10 @@ def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.R
             own.append(s)
         row, signature = np.concatenate(own_rows), np.concatenate(own)
         if known is not None:
-            slot = (signature & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
-            keep = (known[slot >> 3] >> (slot & 7)) & 1 > 0
+            keep = np.ones(len(signature), dtype=bool)
+            for shift in PROBES:
+                slot = ((signature >> _U(shift)) & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
+                keep &= (known[slot >> 3] >> (slot & 7)) & 1 > 0
             row, signature = row[keep], signature[keep]
         order = np.argsort(row, kind="stable")
         signatures.append(signature[order])
@@ -216,9 +220,11 @@ def _verify(batch: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch
 
 
 def _bitmap(signatures: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the values of ``signature``."""
+    """A Bloom filter of fixed size over the values of ``signature``: what it lets through
+    by chance is dropped by the lists, so it decides only what they cost."""
     # Spark's bitmaps count from 1: bucket b holds the values (b - 1) * 32768 + 1 to b * 32768
-    slots = signatures.select((F.col("signature").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1).alias("slot"))
+    probes = [F.shiftrightunsigned("signature", s).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1 for s in PROBES]
+    slots = signatures.select(F.explode(F.array(*probes)).alias("slot"))
     parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
