@@ -99,9 +99,10 @@ def coco_keypoints(keypoints: Column) -> Column:
     return F.coalesce(F.flatten(triples), F.array().cast("array<double>"))
 
 
-def keypoint_count(detections: DataFrame) -> DataFrame:
-    """The largest number of keypoints on any detection, 0 without detections."""
-    return detections.agg(F.coalesce(F.max(F.array_size("keypoints")), F.lit(0)).alias("keypoint_count"))
+def keypoint_count(items: DataFrame, detections: DataFrame) -> DataFrame:
+    """The largest number of keypoints on any detection of a done item, 0 without any."""
+    done = items.filter(F.col("status") == "done").select("item_id")
+    return detections.join(done, "item_id", "left_semi").agg(F.coalesce(F.max(F.array_size("keypoints")), F.lit(0)).alias("keypoint_count"))
 
 
 def coco_categories(classes: DataFrame, keypoints: int | None = None) -> DataFrame:

@@ -64,18 +64,20 @@ def unknown_files(matched: DataFrame) -> DataFrame:
 def unknown_report(matched: DataFrame, shown: int = 20) -> DataFrame:
     """The first few unmatched file names beside their total."""
     unknown = unknown_files(matched)
-    total = unknown.agg(F.count("*").alias("unknown_file_count"))
-    first = unknown.orderBy("ord").limit(shown).select("ord", "file_name")
-    one = F.lit(1).alias("_one")
-    return first.select("*", one).join(total.select("*", one), "_one").drop("_one")
+    first = unknown.orderBy("ord").limit(shown).select(F.struct("ord", "file_name").alias("_f"), F.lit(0).alias("_n"))
+    total = unknown.agg(F.count("*").alias("_n")).select(F.lit(None).alias("_f"), "_n")
+    both = first.unionByName(total).agg(F.collect_list("_f").alias("_first"), F.sum("_n").alias("unknown_file_count"))
+    return both.select(F.inline("_first"), "unknown_file_count")
 
 
 def to_detections(annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """COCO annotations as detections of certainty 1; unusable boxes are dropped.
 
     ``annotations`` carries ``image_id, id, category_id, bbox`` and optionally
-    ``segmentation`` and ``keypoints``; ``id`` gives their order.
+    ``segmentation``, ``keypoints`` and ``ord``, the place in the document, which gives
+    their order; without it ``id`` does.
     """
+    place = "ord" if "ord" in annotations.columns else "id"
     named = annotations.join(
         categories.select(F.col("id").alias("_cid"), F.col("name").alias("_cname")),
         F.col("category_id") == F.col("_cid"),
@@ -90,7 +92,7 @@ def to_detections(annotations: DataFrame, categories: DataFrame) -> DataFrame:
         keys = F.when(F.array_size("keypoints") >= 3, keypoints_from_flat(F.col("keypoints")))
     boxed = named.select(
         "image_id",
-        F.col("id").alias("ann_ord"),
+        F.col(place).alias("ann_ord"),
         F.when(F.col("category_id").isNull(), "object")
         .otherwise(F.coalesce("_cname", fallback))
         .alias("class_name"),

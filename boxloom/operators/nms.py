@@ -52,8 +52,12 @@ def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
     """Oversized groups: suppression as rounds over conflict edges.
 
     Copies of one box collapse to their first, which decides for all of them. A
-    box no remaining edge points at stays and removes the boxes it points at.
+    box no remaining edge points at stays and removes the boxes it points at. Boxes
+    without area overlap with nothing, not even with their copies, and all stay.
     """
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    flat = boxes.filter(F.coalesce(~solid, F.lit(True)))
+    boxes = boxes.filter(solid)
     rank = F.struct((-F.col("confidence")).alias("down"), "pos")
     heads = durable(
         boxes.groupBy(*_KEYS, *CORNERS)
@@ -82,7 +86,7 @@ def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
     kept = boxes.join(keep, on, "left_semi")
     if gone:
         kept = kept.join(reduce(DataFrame.unionByName, gone), on, "left_anti")
-    return kept
+    return kept.unionByName(flat)
 
 
 def merge_detections(

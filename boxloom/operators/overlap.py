@@ -146,14 +146,19 @@ def join_on_grid(baseline, current, keys, threshold, extra=(), condition=None) -
     cx, cy, w, h, level = dims("c_")
     salt = F.pmod(F.xxhash64("j"), F.lit(_SALTS)).cast("int")
     c = c.withColumns({"_level": level, "c_salt": salt}).withColumn(
-        "c_level", F.explode(F.sequence(F.col("_level") - spread, F.col("_level") + spread))
+        # a partner on a level has a side of at most 2^level, so its area bounds the level too
+        "c_level", F.explode(F.sequence(
+            F.greatest(F.col("_level") - spread, F.ceil(F.log2(w * h * t) / 2 - 1e-9).cast("int")), F.col("_level") + spread
+        ))
     )
+    half = F.pow(F.lit(2.0), F.col("c_level")) / 2 + 1e-6
+
+    def cells(centre: Column, side: Column) -> Column:
+        near = F.least(side * reach, half + side / 2)
+        return F.explode(F.sequence(F.floor((centre - near) / size), F.floor((centre + near) / size)))
+
     size = F.pow(F.lit(2.0), F.col("c_level") + 1)
-    c = c.withColumn(
-        "c_gx", F.explode(F.sequence(F.floor((cx - w * reach) / size), F.floor((cx + w * reach) / size)))
-    ).withColumn(
-        "c_gy", F.explode(F.sequence(F.floor((cy - h * reach) / size), F.floor((cy + h * reach) / size)))
-    )
+    c = c.withColumn("c_gx", cells(cx, w)).withColumn("c_gy", cells(cy, h))
     on = (
         _keys_equal(keys)
         & (F.col("b_level") == F.col("c_level"))

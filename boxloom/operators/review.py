@@ -232,10 +232,13 @@ def result_task(items: DataFrame, fallback: str = "detect") -> DataFrame:
 
 
 def folder_counts(items: DataFrame) -> DataFrame:
-    """Images below each top-level folder, in case-insensitive name order."""
+    """Images below each top-level folder, in case-insensitive name order.
+
+    Images in no folder are counted under the name ``''``, so the counts add up to all.
+    """
+    folder = F.when(F.col("rel_path").contains("/"), F.substring_index("rel_path", "/", 1)).otherwise("")
     return (
-        items.filter(F.col("rel_path").contains("/"))
-        .groupBy(F.substring_index("rel_path", "/", 1).alias("name"))
+        items.groupBy(folder.alias("name"))
         .agg(F.count("*").alias("image_count"))
         .orderBy(F.lower("name"), "name")
     )

@@ -183,26 +183,27 @@ def dataset_summary(manifest: DataFrame, lines: DataFrame, candidates: DataFrame
     ``images`` counts labelled images; ``skipped_empty`` is the true number of
     done images that gave no usable line.
     """
-    sides = manifest.agg(
-        F.count_distinct("item_id").alias("images"),
-        F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "val").alias("val"),
+    images = manifest.groupBy("item_id", "split").agg(F.count("*").alias("n")).select(
+        F.lit("image").alias("part"), F.col("item_id").alias("item"), F.col("split").alias("name"), "n"
     )
-    used = lines.groupBy("class_name").agg(F.count("*").alias("_n"))
-    boxes = used.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("boxes"),
-        F.array_sort(F.collect_list("class_name")).alias("classes"),
+    boxes = lines.groupBy("class_name").agg(F.count("*").alias("n")).select(
+        F.lit("box").alias("part"), F.lit(None).alias("item"), F.col("class_name").alias("name"), "n"
     )
-    total = candidates.agg(F.count("*").alias("_total"))
-    one = F.lit(1).alias("_one")
-    return (
-        sides.select("*", one)
-        .join(boxes.select("*", one), "_one")
-        .join(total.select("*", one), "_one")
-        .select(
-            "images", "boxes", "train", "val",
-            (F.col("_total") - F.col("images")).alias("skipped_empty"), "classes",
-        )
+    total = candidates.agg(F.count("*").alias("n")).select(
+        F.lit("total").alias("part"), F.lit(None).alias("item"), F.lit(None).alias("name"), "n"
+    )
+    part, zero = F.col("part"), F.lit(0).cast("bigint")
+
+    def summed(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col("n"))), zero)
+
+    return images.unionByName(boxes).unionByName(total).agg(
+        F.count_distinct("item").alias("images"),
+        summed(part == "box").alias("boxes"),
+        summed((part == "image") & (F.col("name") == "train")).alias("train"),
+        summed((part == "image") & (F.col("name") == "val")).alias("val"),
+        (summed(part == "total") - F.count_distinct("item")).alias("skipped_empty"),
+        F.array_sort(F.collect_list(F.when(part == "box", F.col("name")))).alias("classes"),
     )
 
 

@@ -130,12 +130,12 @@ UNION ALL SELECT doc_id, 5, concat('t', CAST(toxic AS VARCHAR)) FROM labels WHER
             WHEN item_id % 57 = 0 THEN NULL
             ELSE concat('export\\', upper(regexp_extract(rel_path, '([^/]*)$', 1))) END AS file_name,
        CASE WHEN item_id % 7 <> 0 THEN width END AS width, CASE WHEN item_id % 7 <> 0 THEN height END AS height
-FROM items WHERE item_id % 3 = 0""",
+FROM items""",
     ),
     "coco_category": (
         "",
         """SELECT CAST(n_nationkey AS BIGINT) AS ord, CAST(n_nationkey % 3 AS BIGINT) AS id,
-       CASE WHEN n_nationkey % 3 = 2 THEN NULL ELSE n_name END AS name FROM nation WHERE n_nationkey < 20""",
+       CASE WHEN n_nationkey % 3 = 2 THEN NULL ELSE n_name END AS name FROM nation""",
     ),
     "coco_annotation": (
         "seed",
@@ -143,7 +143,7 @@ FROM items WHERE item_id % 3 = 0""",
        CASE WHEN p % 13 = 0 THEN NULL ELSE p % 4 END AS category_id,
        CASE WHEN p % 29 = 0 THEN NULL ELSE CAST(bx AS DOUBLE) + 25e-2 END AS bx, CAST(by_ AS DOUBLE) AS by_,
        CAST(w AS DOUBLE) AS bw, CAST(h AS DOUBLE) AS bh
-FROM seed WHERE item_id % 3 = 0 AND (p + s) % 4 <> 0""",
+FROM seed""",
     ),
     "cats": (
         "coco_category",
@@ -415,7 +415,7 @@ class Inputs:
     def coco_images(self) -> DataFrame:
         k = F.col("item_id")
         sized = k % 7 != 0
-        return self.items().filter(k % 3 == 0).select(
+        return self.items().select(
             k.alias("ord"),
             F.when((k % 15 == 0) & (k > 0), k - 3).otherwise(k).alias("id"),
             F.when(k % 33 == 0, F.concat(F.lit("missing_"), _text(k), F.lit(".jpg")))
@@ -428,7 +428,7 @@ class Inputs:
 
     def coco_categories(self) -> DataFrame:
         n = F.col("n_nationkey")
-        return self.table("nation").filter(n < 20).select(
+        return self.table("nation").select(
             n.cast("bigint").alias("ord"),
             (n % 3).cast("bigint").alias("id"),
             F.when(n % 3 != 2, F.col("n_name")).alias("name"),
@@ -438,7 +438,7 @@ class Inputs:
         p, s = F.col("p"), F.col("s")
         bbox = F.array(*[F.col(c).cast("double") for c in ("bx", "by_", "w", "h")])
         moved = F.transform(bbox, lambda v, i: F.when(i == 0, v + 0.25).otherwise(v))
-        return self.seed().filter((F.col("item_id") % 3 == 0) & ((p + s) % 4 != 0)).select(
+        return self.seed().select(
             F.col("item_id").alias("image_id"),
             (((F.col("ln") * 100000000 + p) * 1000000 + s) * 100 + F.col("w")).alias("id"),
             F.when(p % 13 != 0, p % 4).alias("category_id"),

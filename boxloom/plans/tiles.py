@@ -26,7 +26,7 @@ def plan_tiles(f: Inputs) -> DataFrame:
 
 @query(
     "tile_decision",
-    f"""SELECT item_id, CAST(len(xs) * len(ys) AS INTEGER) AS tiles, greatest(width, height) > 640 AND len(xs) * len(ys) <= 16 * 16 AS tiled
+    f"""SELECT item_id, CAST(len(xs) * len(ys) AS INTEGER) AS tiles, greatest(width, height) > 640 AND len(xs) * len(ys) <= 256 AS tiled
 FROM (SELECT item_id, width, height, {STARTS.format('width')} AS xs, {STARTS.format('height')} AS ys FROM items)""",
     "items",
 )

@@ -271,9 +271,9 @@ def coco_categories(f: Inputs) -> DataFrame:
     return exporting.coco_categories(exporting.class_index(f.current(), MODEL))
 
 
-@query("keypoint_count", "SELECT CAST(max(CASE WHEN has_scores THEN 2 WHEN has_points THEN 1 ELSE 0 END) AS INTEGER) AS keypoint_count FROM shaped", "shaped")
+@query("keypoint_count", "SELECT CAST(max(CASE WHEN has_scores THEN 2 WHEN has_points THEN 1 ELSE 0 END) AS INTEGER) AS keypoint_count FROM shaped WHERE item_id IN (SELECT item_id FROM items WHERE status = 'done')", "shaped items")
 def keypoint_count(f: Inputs) -> DataFrame:
-    return exporting.keypoint_count(shaped(f))
+    return exporting.keypoint_count(f.items(), shaped(f))
 
 
 TOP1 = """SELECT t.item_id, coalesce(c.label, 'unknown') AS label FROM items t LEFT JOIN

@@ -33,26 +33,27 @@ RESULT = T.StructType(
     ]
 )
 
+# Numbers that documents also write as text or with a fraction are read as text first.
 COCO_IMAGE = T.StructType(
     [
-        T.StructField("id", T.LongType()),
+        T.StructField("id", T.StringType()),
         T.StructField("file_name", T.StringType()),
-        T.StructField("width", T.IntegerType()),
-        T.StructField("height", T.IntegerType()),
+        T.StructField("width", T.StringType()),
+        T.StructField("height", T.StringType()),
     ]
 )
 COCO_ANNOTATION = T.StructType(
     [
-        T.StructField("id", T.LongType()),
-        T.StructField("image_id", T.LongType()),
-        T.StructField("category_id", T.LongType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("image_id", T.StringType()),
+        T.StructField("category_id", T.StringType()),
         T.StructField("bbox", T.ArrayType(T.DoubleType())),
         T.StructField("segmentation", T.ArrayType(T.ArrayType(T.DoubleType()))),
         T.StructField("keypoints", T.ArrayType(T.DoubleType())),
     ]
 )
 COCO_CATEGORY = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]
+    [T.StructField("id", T.StringType()), T.StructField("name", T.StringType())]
 )
 COCO_DOCUMENT = T.StructType(
     [
@@ -70,9 +71,7 @@ SKIPPED_FOLDERS = (
 )
 KINDS = ("agreed", "reclassified", "missing", "added")
 DEFAULT_IOU = 0.5
-MAX_IMAGES = 100_000
 MAX_TILES = 256
-MAX_VIDEO_FRAMES = 900
 DEFAULT_PAGE = 200
 MAX_PAGE = 1000
 SCORING_BATCH = 16

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one group a single task may sort or hold. Larger groups take the
@@ -53,17 +51,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for durable intermediate data.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``, else a folder in the
+    session's warehouse, which executors share as well. Nothing goes to a folder that
+    only one machine has.
     """
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known is None:
         known = spark.conf.get("spark.checkpoint.dir", None)
         if known is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            known = tempfile.mkdtemp(prefix="spark-boxloom-")
+            known = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(known)
     return known
 

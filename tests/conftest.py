@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from boxloom.session import build_session
 
     session = build_session(
@@ -18,6 +18,8 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
+            "spark.sql.warehouse.dir": f"file://{tmp_path_factory.mktemp('warehouse')}",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

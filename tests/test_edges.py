@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from boxloom.operators import importing
 from boxloom.plans.scoring import byte_scorer
 from boxloom.sources import coco, folder, stored
 from boxloom.streaming import live
@@ -19,6 +20,7 @@ def images(tmp_path):
     for name, data in {
         "a.jpg": b"1", "b.JPG": b"22", "notes.txt": b"x", "empty.png": b"", "sub/c d.png": b"333",
         ".git/x.jpg": b"1", "sub/node_modules/y.jpg": b"1", "sub/.cache/z.jpg": b"1",
+        "_b.jpg": b"4444", "_kept/deep/d.webp": b"55555",
     }.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -28,13 +30,35 @@ def images(tmp_path):
 
 def test_folder_scan(spark, images):
     rows = folder.scan_images(spark, images).collect()
-    assert [(r["rel_path"], r["size"]) for r in rows] == [("a.jpg", 1), ("b.JPG", 2), ("sub/c d.png", 3)]
+    assert [(r["rel_path"], r["size"]) for r in rows] == [
+        ("_b.jpg", 4), ("_kept/deep/d.webp", 5), ("a.jpg", 1), ("b.JPG", 2), ("sub/c d.png", 3),
+    ]
     assert folder.scan_images(spark, images, limit=2).count() == 2
 
 
-def test_scan_reads_no_content(spark, images):
-    plan = folder.scan_images(spark, images)._jdf.queryExecution().executedPlan().toString()
-    assert "content#" not in plan
+def test_image_bytes_are_not_shuffled(spark, images):
+    read = folder.read_image_bytes(spark, images)
+    assert {r["rel_path"]: bytes(r["content"]) for r in read.collect()}["sub/c d.png"] == b"333"
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_coco_numbers_as_text_and_with_fractions(spark, tmp_path):
+    document = {
+        "images": [{"id": "7", "file_name": "a.jpg", "width": 640.0, "height": "480"}],
+        "annotations": [{"id": 30, "image_id": 7.0, "bbox": [1, 2, 3, 4]}, {"id": "10", "image_id": "7", "bbox": [1, 2, 3, 5]}],
+        "categories": [],
+    }
+    (tmp_path / "text.json").write_text(json.dumps(document))
+    images, annotations, _ = coco.read_coco(spark, str(tmp_path / "text.json"))
+    assert images.select("id", "width", "height").first()[:] == (7, 640, 480)
+    assert sorted(r[:] for r in annotations.select("ord", "id", "image_id").collect()) == [(0, 30, 7), (1, 10, 7)]
+    ordered = importing.to_detections(annotations, importing.clean_categories(_))
+    assert [r["y2"] for r in ordered.orderBy("ann_ord").collect()] == [6.0, 7.0]  # document order, not ids
+    document["images"][0]["id"] = "seven"
+    (tmp_path / "odd.json").write_text(json.dumps(document))
+    with pytest.raises(ValueError, match="number"):
+        coco.read_coco(spark, str(tmp_path / "odd.json"))
 
 
 def test_coco_files(spark, tmp_path):

@@ -1,7 +1,6 @@
 """Ranking, suppression, naming, frames and training against brute force."""
 
 import random
-from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +54,9 @@ def test_merge_equals_brute_force(spark, limits, nested, t):
             x, y, w = rng.randrange(50), rng.randrange(50), rng.choice([8, 9, 30])
             rows.append((item, pos, rng.choice("ab"), rng.randrange(9) / 8, x, y, x + w, y + w))
     rows += [(i, 99 + n, "a", 0.1, 0, 0, 8, 8) for i in range(4) for n in range(5)]
-    rows = [tuple(map(float, r[3:])) and (*r[:3], *map(float, r[3:])) for r in rows]
+    # boxes without area, upside down and alike: each stays, as it overlaps with nothing
+    rows += [(i, 200 + n, "a", 0.2, *box) for i in range(4) for n, box in enumerate([(5, 5, 5, 9), (5, 5, 5, 9), (9, 9, 3, 3), (9, 9, 3, 3)])]
+    rows = [(*r[:3], *map(float, r[3:])) for r in rows]
     df = spark.createDataFrame(rows, BOXES)
     got = {(r["item_id"], r["pos"]) for r in merge_detections(df, t).collect()}
     want = set().union(*(suppress([r for r in rows if r[0] == i], t) for i in range(4)))
@@ -77,37 +78,36 @@ PATHS = [
 ]
 
 
-def stems_one_by_one(paths):
-    seen, out = set(), {}
-    for path in sorted(paths):
-        name = PurePosixPath(path).stem
-        if name.lower() in seen:
-            name = PurePosixPath(path.replace("/", "__")).stem
-        base, n = name, 1
-        while name.lower() in seen:
-            name, n = f"{base}_{n}", n + 1
-        seen.add(name.lower())
-        out[path] = name
-    return out
-
-
-def names_one_by_one(paths):
-    seen, out = set(), {}
-    for path in sorted(paths):
-        name = PurePosixPath(path).name
-        if name.lower() in seen:
-            name = path.replace("/", "__")
-        seen.add(name.lower())
-        out[path] = name
-    return out
-
-
-def test_names_equal_choosing_one_by_one(spark):
+#: What each path is called: stem in a training set, name in an archive.
+CALLED = {
+    ".hidden": (".hidden", ".hidden"),
+    "a/X.jpeg": ("X", "X.jpeg"),
+    "a/x.jpg": ("a__x", "x.jpg"),
+    "a/x.png": ("a__x_1", "x.png"),
+    "a/x_1.jpg": ("x_1", "x_1.jpg"),
+    "a__x.jpg": ("a__x_2", "a__x.jpg"),
+    "a__x_1.jpg": ("a__x_1_1", "a__x_1.jpg"),
+    "b/a__x.jpg": ("b__a__x", "b__a__x.jpg"),
+    "b/x.jpg": ("b__x", "b__x.jpg"),
+    "c/a__x.jpg": ("c__a__x", "c__a__x.jpg"),
+    "deep/b/x.jpg": ("deep__b__x", "deep__b__x.jpg"),
+    "deep__b/x.jpg": ("deep__b__x_1", "deep__b__x.jpg"),
+    "q/.hidden": ("q__", "q__.hidden"),
+    "x.jpg": ("x_2", "x.jpg"),
+    "x.png": ("x_3", "x.png"),
+    "x_1.jpg": ("x_1_1", "x_1.jpg"),
+    "x_1.png": ("x_1_2", "x_1.png"),
+    "z/c__a__x.jpg": ("z__c__a__x", "z__c__a__x.jpg"),
+}
+
+
+def test_names_of_known_paths(spark):
     df = spark.createDataFrame([(p,) for p in PATHS], "rel_path string")
     stems = {r["rel_path"]: r["stem"] for r in training.unique_stems(df).collect()}
-    assert stems == stems_one_by_one(PATHS)
     names = {r["rel_path"]: r["archive_name"] for r in naming.unique_names(df).collect()}
-    assert names == names_one_by_one(PATHS)
+    assert {p: (stems[p], names[p]) for p in PATHS} == CALLED
+    assert len({v.lower() for v in stems.values()}) == len(PATHS)
+
 
 
 def test_repeats_are_numbered_before_the_extension(spark):
