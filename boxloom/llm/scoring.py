@@ -202,7 +202,7 @@ def _score(batch: pa.RecordBatch, totals: Totals, common: tuple[np.ndarray, np.n
         rare.append(value[first])
         times.append(np.diff(np.append(first, len(row))))
         sizes.append(np.bincount(row[first], minlength=n))
-    total = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0))
+    total = np.concatenate(sums, axis=1).astype(np.float64) if sums else np.zeros((4, 0))
     value, count, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rare, times, sizes))
     return pa.record_batch(
         [batch.column("doc_id"), batch.column("held_out"), pa.array(total[0].astype(np.int64)), pa.array(total[1].astype(np.int64)),

@@ -204,13 +204,13 @@ def test_rules_cover_what_thresholds_can_tell():
 
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(2)
-    clean = [(i, " ".join(words(rng, 80, 500))) for i in range(600)]
+    clean = [(i, " ".join(words(rng, 40, 500))) for i in range(2400)]
     data = [(i, t if i % 4 else t.replace(" ", rng.choice((" nasty ", " vile ")), 2)) for i, t in clean]
     docs = as_documents(spark, data)
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "r", "t") for i in range(400)], LABELS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "r", "t") for i in range(2000)], LABELS)
     found = {r["doc_id"]: r for r in classifier.classify(docs, labels).collect()}
     assert all(0 <= r["tail_probability"] <= 1 and 1 <= r["expected_grade"] <= 2 for r in found.values())
-    held_out = [i for i in found if i >= 400]
+    held_out = [i for i in found if i >= 2000]
     assert sum(found[i]["kept"] != (i % 4 > 0) for i in held_out) <= 0.03 * len(held_out)
     accepted = classifier.accepted(docs, labels)
     assert accepted.columns == docs.columns
