@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxloom.llm.tables import narrow, stored
+from boxloom.session import shuffle_partitions
 
 #: Words in a block. Quotas are whole blocks, so this bounds how far a source's taken
 #: words can be from its target.
@@ -121,7 +122,7 @@ def draws(docs: DataFrame, sources: list[Source], seed: int = SEED) -> DataFrame
     quotas = [s.quota for s in sources]
     bounds = _running(quotas)
     slots = bounds[-1]
-    slot = spark.range(slots).select(
+    slot = spark.range(0, slots, 1, shuffle_partitions(spark)).select(
         F.floor(F.col("id") / SHARD_SLOTS).alias("shard"),
         F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(slots, 1))).alias("u"),
     )
@@ -133,7 +134,9 @@ def draws(docs: DataFrame, sources: list[Source], seed: int = SEED) -> DataFrame
     short = _running([max(0, q - t) for t, q in zip(totals, quotas, strict=True)])
     before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     n = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
-    placed = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "src", n.alias("i"))
+    # dealt out before they grow to a row per slot: the counts alone fit into one task
+    started = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = started.repartition(shuffle_partitions(spark), "shard", "src").select("shard", "src", n.alias("i"))
     quota = _at(quotas, F.col("src"))
     line = F.when(F.col("i") >= quota, _at(over, F.col("src")) + F.col("i") - quota)
     moved = placed.select("shard", "src", "i", line.alias("line")).select(
@@ -204,7 +207,8 @@ def report(docs: DataFrame, seed: int = SEED) -> DataFrame:
         (F.least("end", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("offset", F.col("block") * BLOCK_WORDS)).alias("words"),
     )
     times = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces.join(times, ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # blocks grow with the corpus, and no estimate of exploded rows tells so: never broadcast
+    taken = pieces.join(times.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return rows.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source"
     )
