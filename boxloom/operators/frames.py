@@ -85,17 +85,19 @@ def track_objects(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
         )
         .select(*node, F.coalesce("_prev", itself).alias("head"), F.col("_prev").isNull().alias("done"))
     )
-    while not heads.filter(~F.col("done")).isEmpty():
-        lookup = heads.select(
+    # Heads that have arrived stay where they are; only the others are written anew.
+    arrived, moving = heads.filter("done"), heads.filter(~F.col("done"))
+    while not moving.isEmpty():
+        lookup = arrived.unionByName(moving).select(
             F.col("clip").alias("_clip"), itself.alias("_node"),
             F.col("head").alias("_head"), F.col("done").alias("_done"),
         )
-        moved = (
-            heads.filter(~F.col("done"))
-            .join(lookup, (F.col("clip") == F.col("_clip")) & (F.col("head") == F.col("_node")))
+        moved = durable(
+            moving.join(lookup, (F.col("clip") == F.col("_clip")) & (F.col("head") == F.col("_node")))
             .select(*node, F.col("_head").alias("head"), F.col("_done").alias("done"))
         )
-        heads = durable(heads.filter("done").unionByName(moved))
+        arrived, moving = arrived.unionByName(moved.filter("done")), moved.filter(~F.col("done"))
+    heads = arrived
     starts = heads.filter(F.col("head") == itself).select("clip", "head")
     numbered = row_numbers(starts, ["clip"], [F.col("head")], "track_id").select(
         F.col("clip").alias("_clip"), F.col("head").alias("_head"), "track_id"

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boxloom.functions.numbers import margin_priority, py_round
 from boxloom.functions.text import base_name, contains_like
@@ -204,13 +205,25 @@ def visible_class_counts(detections: DataFrame, threshold: float) -> DataFrame:
 def timing_profile(items: DataFrame, by: Sequence[str]) -> DataFrame:
     """Median latency and mean throughput of recorded inference times."""
     ms = F.col("inference_ms")
+    # Equal times are counted once, so the middle comes from a running sum of counts.
+    counted = items.filter((F.col("status") == "done") & (ms > 0)).groupBy(*by, ms.alias("ms")).agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*by)
+    placed = counted.select(
+        *by, "ms", "n",
+        F.sum("n").over(within.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.sum("n").over(within).alias("total"),
+    )
+
+    def holds(place: Column) -> Column:
+        place = F.floor(place)
+        return F.when((F.col("upto") - F.col("n") < place) & (place <= F.col("upto")), F.col("ms"))
+
     return (
-        items.filter((F.col("status") == "done") & (ms > 0))
-        .groupBy(*by)
+        placed.groupBy(*by)
         .agg(
-            F.count("*").alias("runs"),
-            F.median(ms).alias("_latency"),
-            (F.sum(ms) / F.count("*")).alias("_throughput"),
+            F.sum("n").alias("runs"),
+            ((F.max(holds((F.col("total") + 1) / 2)) + F.max(holds((F.col("total") + 2) / 2))) / 2).alias("_latency"),
+            (F.sum(F.col("ms") * F.col("n")) / F.sum("n")).alias("_throughput"),
         )
         .select(
             *by,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from boxloom.operators import exporting, importing, labeltools, naming
 from boxloom.operators.lifecycle import existing_files
 from boxloom.plans.fixtures import Inputs
 from boxloom.plans.registry import query
+from boxloom.session import shared_folder
+from boxloom.sources import coco
 
 MODEL = ["NF", "AF"]
 
@@ -242,6 +246,24 @@ def coco_annotations(f: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "coco_round_trip",
+    """SELECT id, image_id, category_id, x1 AS bbox_x, y1 AS bbox_y, x2 - x1 AS bbox_w, y2 - y1 AS bbox_h FROM coco_rows""",
+    "coco_rows",
+)
+def coco_round_trip(f: Inputs) -> DataFrame:
+    """Exported as documents, read back from their files."""
+    path = f"{shared_folder(f.spark)}/coco-{uuid.uuid4().hex}"
+    images = exporting.coco_images(exporting.numbered_images(f.items()), listing(f))
+    classes = exporting.class_index(f.current(), MODEL)
+    rows = exporting.coco_annotations(images, shaped(f), classes, 0.3)
+    coco.write_coco(images, rows, exporting.coco_categories(classes), path)
+    _, annotations, _ = coco.read_coco(f.spark, path)
+    return annotations.select(
+        "id", "image_id", "category_id", *[F.get("bbox", F.lit(i)).alias(f"bbox_{c}") for i, c in enumerate("xywh")]
+    )
+
+
 @query(
     "coco_keypoints",
     f"""WITH v AS (SELECT *, CASE WHEN has_scores AND confidence > 0.5e0 THEN 2e0 WHEN has_scores AND confidence > 0 THEN 1e0 ELSE 0e0 END AS v1,
@@ -388,7 +410,24 @@ def ls_predictions(f: Inputs) -> DataFrame:
         F.when(k % 6 != 0, F.base64(F.col("rel_path").cast("binary"))).alias("image_base64"),
         F.when(k % 12 == 0, "not base64!").alias("img"),
     )
-    return labeltools.label_studio_predictions(tasks, shaped(f), "detector")
+    return labeltools.label_studio_predictions(tasks, shaped(f), "detector").select(
+        "item_id", "readable", "pos", "kind", "label", "x", "y", "entry_score", "score", "model_version"
+    )
+
+
+@query(
+    "ls_entries",
+    f"""SELECT item_id, pos, kind, from_name, to_name, type, original_width, original_height, image_rotation, x, y, width, height,
+       rotation, polygon_points FROM ({LS}) WHERE item_id % 6 <> 0""",
+    "shaped",
+)
+def ls_entries(f: Inputs) -> DataFrame:
+    payload = F.when(F.col("item_id") % 6 != 0, F.base64(F.col("rel_path").cast("binary")))
+    tasks = f.items().select("item_id", payload.alias("image"), *[F.lit("").alias(c) for c in ("image_base64", "img")])
+    found = labeltools.label_studio_predictions(tasks, shaped(f), "detector").filter(F.col("pos").isNotNull())
+    return found.withColumn("polygon_points", F.array_size("points")).drop(
+        "points", "readable", "label", "entry_score", "score", "model_version"
+    )
 
 
 @query(

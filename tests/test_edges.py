@@ -67,7 +67,10 @@ def test_coco_files(spark, tmp_path):
     images, annotations, categories = coco.read_coco(spark, str(tmp_path / "good.json"))
     assert (images.count(), annotations.first()["bbox"], categories.count()) == (1, [1.0, 2.0, 3.0, 4.0], 0)
     coco.write_coco(images, annotations, categories, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "images")).first()["file_name"] == "a.jpg"
+    again = coco.read_coco(spark, str(tmp_path / "out"))
+    assert (again[0].first()["file_name"], again[1].first()["bbox"]) == ("a.jpg", [1.0, 2.0, 3.0, 4.0])
+    document = json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])
+    assert set(document) == {"info", "licenses", "images", "annotations", "categories"}
     for bad in ('{"nope": true}', "{not json"):
         (tmp_path / "bad.json").write_text(bad)
         with pytest.raises(ValueError):
