@@ -5,7 +5,7 @@ import random
 
 import brute
 import pytest
-from conftest import as_documents, corpus, rows, words
+from samples import as_documents, corpus, rows, words
 
 from boxloom.llm import (
     classifier, decontamination, extraction, graph, jaccard, licenses, mixing, rules, scoring, substrings, warc,
