@@ -46,6 +46,8 @@ from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column
 LIST_COST = 4
 #: Bits of the bitmap of repeated signatures as a power of two: 16 MiB.
 BITMAP_BITS = 27
+#: Bytes of text whose sets are compared at once.
+VERIFY_BYTES = 4 << 20
 #: The bits of a signature that each probe of the bitmap skips.
 PROBES = (0, 18, 37)
 
@@ -202,7 +204,16 @@ def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.R
 
 
 def _verify(batch: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch:
-    """Whether the sets of two texts link."""
+    """Whether the sets of two texts link, for a few megabytes of text at a time."""
+    size = sum(np.asarray(pa.compute.binary_length(batch.column(c)), dtype=np.int64) for c in ("text_a", "text_b"))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // VERIFY_BYTES)) + 1
+    ends = [0, *cuts.tolist(), len(batch)]
+    parts = [_linked(batch.slice(a, b - a), shingle, percent) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
+    linked = np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
+    return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+
+
+def _linked(batch: pa.RecordBatch, shingle: int, percent: int) -> np.ndarray:
     found = []
     for side in ("text_a", "text_b"):
         parts = [(c.first, *_sets(c, shingle)) for c in chunks(batch.column(side), SPACED, True)]
@@ -215,8 +226,7 @@ def _verify(batch: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch
     rows, values = rows[order], values[order]
     both = rows[1:][(rows[1:] == rows[:-1]) & (values[1:] == values[:-1])]
     shared = np.bincount(both, minlength=len(sizes_a))
-    linked = (100 * shared >= percent * (sizes_a + sizes_b - shared)) & (shared > 0)
-    return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+    return (100 * shared >= percent * (sizes_a + sizes_b - shared)) & (shared > 0)
 
 
 def _bitmap(signatures: DataFrame) -> np.ndarray:
