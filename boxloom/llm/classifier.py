@@ -48,6 +48,9 @@ LEAST_TAIL = 0.8
 #: Bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5)
 
+#: Features walked at once while fitting.
+BLOCK = 1 << 19
+
 _U = np.uint64
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!@^~{}[]=+\\", dtype=np.uint8))
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -113,30 +116,42 @@ class Model:
 
 
 def fit_rows(rows: np.ndarray, buckets: np.ndarray, grade: np.ndarray) -> Model:
-    """Maximum penalised likelihood by Adam steps over all rows at once."""
+    """Maximum penalised likelihood by Adam steps over all rows.
+
+    ``rows`` and ``buckets`` are walked in blocks, so a step needs little memory beside them.
+    """
     grades = tuple(int(g) for g in np.unique(grade))
     weights = np.zeros(1 << BUCKET_BITS)
     if len(grades) < 2:
         return Model(grades, weights, np.zeros(0))
-    used = np.flatnonzero(np.bincount(buckets, minlength=1 << BUCKET_BITS) >= LEAST_ROWS)
-    place = np.full(1 << BUCKET_BITS, -1)
+    seen = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for a in range(0, len(buckets), BLOCK):
+        seen += np.bincount(buckets[a : a + BLOCK], minlength=len(seen))
+    used = np.flatnonzero(seen >= LEAST_ROWS)
+    place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    kept = place[buckets] >= 0
-    row, column = rows[kept], place[buckets[kept]]
+    blocks = []
+    for a in range(0, len(buckets), BLOCK):
+        column = place[buckets[a : a + BLOCK]]
+        blocks.append((rows[a : a + BLOCK][column >= 0], column[column >= 0]))
     n, level = len(grade), np.searchsorted(grades, grade)
     shares = np.cumsum(np.bincount(level) / n)[:-1]
     cuts = np.log(shares / (1 - shares))
     w = np.zeros(len(used))
     state = [np.zeros(len(w) + len(cuts)) for _ in range(2)]
     for step in range(1, STEPS + 1):
-        score = np.bincount(row, weights=w[column], minlength=n)
+        score = np.zeros(n)
+        for row, column in blocks:
+            score += np.bincount(row, weights=w[column], minlength=n)
         high = np.append(cuts, np.inf)[level]
         low = np.insert(cuts, 0, -np.inf)[level]
         up, down = 1 / (1 + np.exp(np.clip(score - high, -60, 60))), 1 / (1 + np.exp(np.clip(score - low, -60, 60)))
         mass = np.maximum(up - down, 1e-12)
         slope_up, slope_down = up * (1 - up) / mass, down * (1 - down) / mass
         by_score = slope_up - slope_down
-        gradient_w = np.bincount(column, weights=by_score[row], minlength=len(w)) + PENALTY * n / 1000 * w
+        gradient_w = PENALTY * n / 1000 * w
+        for row, column in blocks:
+            gradient_w += np.bincount(column, weights=by_score[row], minlength=len(w))
         gradient_c = np.bincount(level, weights=-slope_up, minlength=len(grades))[:-1]
         gradient_c = gradient_c + np.bincount(level, weights=slope_down, minlength=len(grades))[1:]
         gradient = np.concatenate((gradient_w, gradient_c)) / n
@@ -159,11 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> Model:
         F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"  # at most ``most_rows`` ids
     )
     found = own.mapInArrow(by_batch(_featured), "doc_id bigint, buckets array<int>").join(chosen, "doc_id")
-    table = found.select("buckets", "grade", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "grade", "buckets").toArrow()
+    # sorted here, as a sort in the query would take the features twice
+    table = found.select("doc_id", "grade", "buckets").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    grade = np.asarray(table.column("grade")).astype(np.int64)
     lists = table.column("buckets").combine_chunks()
+    del table, found
     sizes = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
-    return fit_rows(np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()).astype(np.int64),
-                    np.asarray(table.column("grade")).astype(np.int64))
+    return fit_rows(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.asarray(lists.flatten()), grade)
 
 
 _SCORED = "doc_id bigint, expected_grade double, tail_probability double"
