@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.graph import components
-from boxloom.llm.tables import by_batch, narrow, stored
+from boxloom.llm.tables import by_batch, narrow, release, stored
 from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column, mix
 
 #: Cost of an inverted-list entry in units of an enumerated subset.
@@ -349,6 +349,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     )
     repeated = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     known = _bitmap(repeated)
+    del signatures, repeated
+    release(docs.sparkSession)
     signed = stored(own.mapInArrow(by_batch(partial(_signed, plan=plan, known=known)), _SIGNED))
     labels = _components(signed, plan)
     sets = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("first_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,9 +24,17 @@ def stored(df: DataFrame) -> DataFrame:
     an executor lost later costs nothing but the tasks it was running."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps. It does so when the driver
+    collects garbage, which a driver with little to do seldom does on its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def narrow(df: DataFrame, **columns: Column | str) -> DataFrame:
     """The named columns only, under the operator's own names; extra columns of the
     input, whatever they are called, stay out of its joins."""
