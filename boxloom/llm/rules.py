@@ -3,8 +3,10 @@
 Statistics and verdicts are built-in column functions over whole texts. The list is
 learned by sequential covering: a rule grows by the threshold condition with the best
 information gain on one part of the labelled rows, is pruned on the other part, and the
-rows it covers leave before the next rule grows. What is learned is a list of
-``Rule`` objects, and :func:`verdict` turns it into one ordered conditional expression.
+rows it covers leave before the next rule grows, until a rule fails on the other part.
+Every boundary between two values of a statistic is a candidate threshold. What is
+learned is a list of ``Rule`` objects, and :func:`verdict` turns it into one ordered
+conditional expression.
 
 Learning reads at most ``FIT_ROWS`` labelled rows (those whose id hashes lowest) and
 their statistics, a few numbers each; judging reads every document.
@@ -26,14 +28,14 @@ from boxloom.llm.tables import narrow
 
 #: Labelled rows the list is learned from, at most.
 FIT_ROWS = 12_000
-#: Rules in a list, conditions in a rule, candidate thresholds of a statistic.
-MOST_RULES = 8
+#: Conditions in a rule.
 MOST_CONDITIONS = 4
-THRESHOLDS = 40
 #: A rule stays only if so large a share of the rows it rejects is of low quality.
 LEAST_PRECISION = 0.9
 #: Rows of low quality a rule has to cover.
 LEAST_COVER = 8
+#: No stop of its own: more rules than this cannot each cover rows of their own.
+MOST_RULES = FIT_ROWS // LEAST_COVER
 
 #: Statistics that rules may test, as expressions over the counts.
 FEATURES: dict[str, str] = {
@@ -150,14 +152,15 @@ def _best(rows: list[tuple[dict, bool]]) -> tuple[Condition, float] | None:
     best = None
     for name in FEATURES:
         ordered = sorted((row[name], bad) for row, bad in rows)
-        step = max(1, len(ordered) // THRESHOLDS)
         below_bad = below = 0
         for k in range(1, len(ordered)):
             below += 1
             below_bad += ordered[k - 1][1]
-            if k % step or ordered[k][0] == ordered[k - 1][0]:
+            low, high = ordered[k - 1][0], ordered[k][0]
+            if high == low:
                 continue
-            bound = (ordered[k][0] + ordered[k - 1][0]) / 2
+            bound = (low + high) / 2
+            bound = bound if bound > low else high  # neighbours with no number between them
             for above, bad, n in ((False, below_bad, below), (True, total_bad - below_bad, len(ordered) - below)):
                 gain = _gain(bad, n - bad, total_bad, total_good)
                 if best is None or gain > best[1]:
@@ -178,7 +181,7 @@ def learn(rows: list[tuple[dict[str, float], bool]]) -> list[Rule]:
     """An ordered list of rejecting rules from ``(features, is low quality)`` rows."""
     growing, pruning = rows[0::3] + rows[1::3], rows[2::3]
     rules: list[Rule] = []
-    while len(rules) < MOST_RULES:
+    while True:
         bad, good = _split(growing)
         if bad < LEAST_COVER or not good:
             break

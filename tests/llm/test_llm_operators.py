@@ -202,6 +202,23 @@ def test_rules_cover_what_thresholds_can_tell():
     assert rules.learn([(r, False) for r, _ in data]) == [] and rules.learn([]) == []
 
 
+def test_rules_find_rare_junk_and_every_kind_of_it():
+    """Junk in fewer rows than a fortieth, and more kinds than eight."""
+    rng = random.Random(8)
+    data = [({name: 0.0 for name in rules.FEATURES} | {"n_words": rng.random()}, False) for _ in range(2000)]
+    for row, _ in data[:30]:
+        row["symbol_share"] = 0.2 + rng.random()
+    rare = [(row, k < 30) for k, (row, _) in enumerate(data)]
+    rng.shuffle(rare)
+    rejects = lambda learned, row: any(all(c.holds(row) for c in rule) for rule in learned)
+    learned = rules.learn(rare)
+    assert len(learned) == 1 and all(rejects(learned, row) == bad for row, bad in rare)
+    kinds = [({name: 0.0 for name in rules.FEATURES} | {"n_words": k + rng.random() / 2}, k % 2 == 1) for k in range(25) for _ in range(100)]
+    rng.shuffle(kinds)
+    learned = rules.learn(kinds)
+    assert len(learned) > 8 and all(rejects(learned, row) == bad for row, bad in kinds)
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(2)
     clean = [(i, " ".join(words(rng, 40, 500))) for i in range(2400)]
