@@ -8,6 +8,9 @@ new permutation for each pass over them. Draws beyond a source's quota go to sou
 that drew too few, so totals are exact and no block is taken more often than the quota
 says. All randomness is a hash of the seed and a place, so reruns agree.
 
+The mix itself is a stored table, a row per slot in shard order: the drawn block's text
+and the parts it is made of. What a document gave is counted from that table.
+
 Driver memory holds one row per source. Offsets of documents come from two levels of
 running sums over buckets of about the square root of the number of documents, so no
 task sees a whole source.
@@ -19,6 +22,7 @@ none with words, give rows with target 0 and nothing taken.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from math import gcd, isqrt
 
@@ -26,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxloom.llm.tables import narrow, stored
-from boxloom.session import shuffle_partitions
+from boxloom.llm.tables import narrow, release, stored
+from boxloom.session import shared_folder, shuffle_partitions
 
 #: Words in a block. Quotas are whole blocks, so this bounds how far a source's taken
 #: words can be from its target.
@@ -157,58 +161,91 @@ def draws(docs: DataFrame, sources: list[Source], seed: int = SEED) -> DataFrame
     )
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Documents with their number of words: doc_id, source, size."""
+def sized(docs: DataFrame, **more: str) -> DataFrame:
+    """Documents with their number of words: doc_id, source, size, mark (a hash of the text)."""
     words = F.size(F.split(F.concat(F.lit(" "), F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+(?=[^\x20\x09-\x0D])")) - 1
-    return narrow(docs, doc_id="doc_id", source="source", size=words.cast("bigint"))
+    return narrow(docs, doc_id="doc_id", source="source", size=words.cast("bigint"), mark=F.xxhash64("text"), **more)
+
+
+def _laid(dealt: DataFrame, base: DataFrame) -> DataFrame:
+    """``offset``, the place of a document's first word in its source. Rows that agree in
+    all the order looks at have the same text, so every call gives the same places."""
+    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    inner = dealt.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # the side with texts stays where the window left it, and no estimate makes it travel
+    return inner.join(base.hint("merge"), ["src", "bucket"]).withColumn("offset", F.col("base") + F.col("inner"))
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def blocks(placed: DataFrame) -> DataFrame:
+    """The words of ``placed`` (src, size, offset, text) by block: src, block, text and
+    parts, the (offset of the document, words) the block holds in order."""
+    first = F.floor(F.col("offset") / BLOCK_WORDS)
+    last = F.floor((F.col("offset") + F.col("size") - 1) / BLOCK_WORDS)
+    split = placed.filter("size > 0").select(
+        "src", "size", "offset", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("split"),
+    )
+
+    def piece(block: Column) -> Column:
+        start = F.greatest(block * BLOCK_WORDS - F.col("offset"), F.lit(0))
+        n = F.least((block + 1) * BLOCK_WORDS - F.col("offset"), F.col("size")) - start
+        text = F.array_join(F.slice("split", (start + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(block.alias("block"), n.alias("n"), text.alias("text"))
+
+    cut = split.select("src", "offset", F.explode(F.transform(F.sequence(first, last), piece)).alias("piece"))
+    found = cut.groupBy("src", F.col("piece.block").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("offset", F.col("piece.n").alias("n"), F.col("piece.text").alias("text")))).alias("found")
+    )
+    return found.select(
+        "src", "block", F.array_join("found.text", " ").alias("text"),
+        F.transform("found", lambda p: F.struct(p["offset"].alias("offset"), p["n"].alias("n"))).alias("parts"),
+    )
+
+
+def mix(docs: DataFrame, seed: int = SEED, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text, source) mixed to the target weights.
 
     Returns the documents as ``doc_id, source, src, size, source_size, target, offset``,
-    where offset is the place of a document's first word in its source, and the slots of
-    the mix as ``shard, src, pass, block``.
+    where offset is the place of a document's first word in its source, and the mix as
+    stored in ``folder``: ``shard, place, src, pass, block, text, parts``. A shard read by
+    place, src, pass and block is its text in order.
     """
+    spark = docs.sparkSession
     known = stored(sized(docs))
     totals = known.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
     sources = plan_sources([(r["source"], r["size"]) for r in totals])
     names = F.array(*[F.lit(s.name).cast("string") for s in sources if s.name is not None]) if sources else F.array()
     src = F.when(F.col("source").isNull(), F.lit(len(sources) - 1)).otherwise(F.array_position(names.cast("array<string>"), F.col("source")) - 1)
     buckets = max(1, isqrt(sum(r["n"] for r in totals)))
-    dealt = known.select(
-        "doc_id", "source", "size", src.cast("bigint").alias("src"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket")
-    )
+    dealt = lambda df: df.withColumn("src", src.cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("src", "bucket").agg(F.sum("size").alias("words")).select(
+    base = stored(dealt(known).groupBy("src", "bucket").agg(F.sum("size").alias("words")).select(
         "src", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")
-    )
-    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["src", "bucket"])
+    ))
     index = F.col("src")
-    rows = placed.select(
+    rows = _laid(dealt(known), base).select(
         "doc_id", "source", "src", "size", _at([s.size for s in sources] or [0], index).alias("source_size"),
-        F.get(F.array(*[F.lit(s.target) for s in sources] or [F.lit(0.0)]), index).alias("target"),
-        (F.col("base") + F.col("inner")).alias("offset"),
-    )
-    return rows, draws(docs, sources, seed)
-
-
-def report(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per document row: ``doc_id, size, source_size, target, taken``, and its source."""
-    rows, slots = mix(docs, seed)
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    end = F.col("offset") + F.col("size")
-    pieces = rows.filter("size > 0").select(
-        "row", "src", "offset", end.alias("end"),
-        F.explode(F.sequence(F.floor(F.col("offset") / BLOCK_WORDS), F.floor((end - 1) / BLOCK_WORDS))).alias("block"),
-    ).select(
-        "row", "src", "block",
-        (F.least("end", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("offset", F.col("block") * BLOCK_WORDS)).alias("words"),
+        F.get(F.array(*[F.lit(s.target) for s in sources] or [F.lit(0.0)]), index).alias("target"), "offset",
     )
-    times = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
+    slots = draws(docs, sources, seed).withColumn("place", F.xxhash64(F.lit(seed), "shard", "src", "pass", "block"))
+    cut = blocks(_laid(dealt(sized(docs, text="text")), base))
     # blocks grow with the corpus, and no estimate of exploded rows tells so: never broadcast
-    taken = pieces.join(times.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(taken, "row", "left").select(
+    filled = slots.join(cut.hint("merge"), ["src", "block"]).select("shard", "place", "src", "pass", "block", "text", "parts")
+    # a shard lies in up to eight tasks, each with a range of its places
+    tasks = filled.repartition(shuffle_partitions(spark), "shard", F.shiftright("place", 61))
+    folder = folder or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
+    tasks.sortWithinPartitions("shard", "place", "src", "pass", "block").write.option("compression", "zstd").parquet(folder)
+    release(spark)
+    return rows, spark.read.schema(filled.schema).parquet(folder)
+
+
+def report(docs: DataFrame, seed: int = SEED, folder: str | None = None) -> DataFrame:
+    """Per document row: ``doc_id, size, source_size, target, taken``, and its source;
+    taken is what the stored mix holds of the document."""
+    rows, shards = mix(docs, seed, folder)
+    parts = shards.select("src", F.explode("parts").alias("part")).select("src", "part.offset", "part.n")
+    taken = parts.groupBy("src", "offset").agg(F.sum("n").alias("taken"))
+    # a document without words starts where the next one does, and nothing is taken of it
+    own = F.when(F.col("size") > 0, F.col("offset")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    return rows.withColumn("offset", own).join(taken.hint("merge"), ["src", "offset"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source"
     )

@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each written and read again.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept.
-All but the last return the columns of ``documents``; the last returns the mix, one row
-per document with the words taken of it.
+All but the last return the columns of ``documents``; the last stores the mixed shards, the
+corpus, and returns one row per document with the words taken of it.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is mixed to the target weights of its sources."""
-    return mixing.report(docs)
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """What is left is mixed to the target weights of its sources; shards go to ``folder``."""
+    return mixing.report(docs, folder=folder)
 
 
 STAGES = [
@@ -54,11 +54,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; the corpus is the last one's neighbour, ``corpus``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        result = stage(spark, docs, sf_dir)
+        more = {"folder": f"{folder}/corpus"} if stage is mix else {}
+        result = stage(spark, docs, sf_dir, **more)
         result.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(result.schema).parquet(f"{folder}/{name}")
     return docs

@@ -106,6 +106,33 @@ def test_mixing(documents, texts):
     assert rows(again, "doc_id", "size", "taken") == sorted(((r["doc_id"], r["size"], r["taken"]) for r in found), key=repr)
 
 
+def test_mix_holds_the_texts_it_counts(documents, texts, tmp_path):
+    found, shards = mixing.mix(documents, folder=f"{tmp_path}/mix")
+    placed = [r.asDict() for r in found.collect()]
+    order = ("shard", "place", "src", "pass", "block")
+    slots = sorted((r.asDict() for r in shards.collect()), key=lambda r: [r[k] for k in order])
+    quotas = {i: s.quota for i, s in enumerate(mixing.plan_sources(list({r["source"]: r["source_size"] for r in placed}.items())))}
+    drawn = {i: [(r["pass"], r["block"]) for r in slots if r["src"] == i] for i in quotas}
+    assert {i: len(d) for i, d in drawn.items()} == quotas and all(len(set(d)) == len(d) for d in drawn.values())
+    lines: dict = {}
+    known = {}
+    for d, t in texts:
+        known.setdefault((d, len(brute.spaced(t))), []).append(brute.spaced(t))
+    at = {}
+    for r in sorted(placed, key=lambda r: (r["src"], r["offset"], r["size"])):
+        line = lines.setdefault(r["src"], [])
+        assert r["offset"] == len(line)
+        at[r["src"], r["offset"]] = r["size"]
+        line += known[r["doc_id"], r["size"]].pop()
+    for r in slots:
+        first = r["block"] * mixing.BLOCK_WORDS
+        assert r["text"].split(" ") == lines[r["src"]][first : first + mixing.BLOCK_WORDS]
+        assert sum(p["n"] for p in r["parts"]) == len(r["text"].split(" "))
+        for p in r["parts"]:
+            start = max(first, p["offset"])
+            assert p["n"] == min(first + mixing.BLOCK_WORDS, p["offset"] + at[r["src"], p["offset"]]) - start
+
+
 def test_mixing_targets_are_shared_until_none_is_above():
     planned = mixing.plan_sources([("b", 100), ("a", 1000), (None, 10), ("B", 1000)])
     assert [(s.name, s.weight) for s in planned] == [("B", 3), ("a", 1), ("b", 2), (None, 3)]
