@@ -7,7 +7,9 @@ clusters of smoothed ratios (high: content) picks lines. A picked line speaks fo
 region: all lines of the nearest enclosing container belong to the text, so that short
 paragraphs stay. Lines inside elements that are never content (navigation, forms,
 scripts, asides and whatever a class, id or role calls a menu, an advert, a notice or
-comments) count as lines of no text, whatever they hold.
+comments) count as lines of no text, whatever they hold. A class or id may also name the
+layout around the text: the main element, or the articles, inside the fewest such
+elements start afresh, so that a wrapper does not take them along.
 
 White space is what Python's ``str.split`` takes for it. Characters come decoded from
 the parser. Nothing is cut off.
@@ -48,35 +50,42 @@ _BOILERPLATE = re.compile(
     r"sharing|related|recommend\w*|pagination|pager|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names of what holds articles of its own: readers' comments.
+_COMMENTS = re.compile(r"(?:^|\s)(?:comments?|comment-?list|replies|disqus)(?:$|\s)", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
 class _Page(HTMLParser):
-    """Lines of a page: ``[pieces, tags, linked characters, never, container]``."""
+    """Lines of a page: ``[pieces, tags, linked characters, never, container, named]``, where
+    never is by element or role and named counts the enclosing elements never by class."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []
         self.never = 0
+        self.named = 0
         self.raw = 0
         self.links = 0
         self.containers = [0]
-        self.made = 0
+        #: Of every container: tag, enclosing container, and for main and article the
+        #: elements never by class around it, if it is open to start afresh.
+        self.made: list[tuple[str, int, int | None]] = [("", 0, None)]
         self._line()
 
     def _line(self) -> None:
-        self.lines.append([[], 0, 0, self.never > 0, self.containers[-1]])
+        self.lines.append([[], 0, 0, self.never > 0, self.containers[-1], self.named])
 
     def _close(self, tag: str) -> None:
-        name, never, raw = self.open.pop()
+        name, never, named, raw = self.open.pop()
         self.never -= never
+        self.named -= named
         self.raw -= raw
         if name in _CONTAINER:
             self.containers.pop()
         if name == "a":
             self.links -= 1
-        if name in _LINE or never:
+        if name in _LINE or never or named:
             self._line()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -95,23 +104,27 @@ class _Page(HTMLParser):
         named = dict(attrs)
         words = f"{named.get('class') or ''} {named.get('id') or ''}"
         never = tag in _NEVER or (named.get("role") or "").lower() in _ROLES or "hidden" in named
-        never = never or (tag not in ("html", "body", "main", "article") and _BOILERPLATE.search(words) is not None)
+        whole = tag in ("html", "body", "main", "article")
+        never = never or (not whole and _COMMENTS.search(words) is not None)
+        by_name = not never and not whole and _BOILERPLATE.search(words) is not None
         raw = tag in _RAW
-        self.open.append((tag, never, raw))
+        self.open.append((tag, never, by_name, raw))
         self.never += never
+        self.named += by_name
         self.raw += raw
         if tag in _CONTAINER:
-            self.made += 1
-            self.containers.append(self.made)
+            depth = self.named if tag in ("main", "article") and not self.never else None
+            self.made.append((tag, self.containers[-1], depth))
+            self.containers.append(len(self.made) - 1)
         if tag == "a":
             self.links += 1
-        if tag in _LINE or never:
+        if tag in _LINE or never or by_name:
             self._line()
             self.lines[-1][1] += 1
 
     def _top_block(self) -> str:
         """The innermost open element that makes a line."""
-        return next((name for name, never, _ in reversed(self.open) if name in _LINE or never), "")
+        return next((name for name, never, named, _ in reversed(self.open) if name in _LINE or never or named), "")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -136,6 +149,26 @@ class _Page(HTMLParser):
         if self.links:
             self.lines[-1][2] += len(data)
 
+    def afresh(self) -> list[int]:
+        """Of every container: how many elements never by class a main or article that
+        starts afresh leaves behind for it."""
+
+        def least(tag: str, among: set[int]) -> set[int]:
+            depths = {i: d for i, (name, _, d) in enumerate(self.made) if name == tag and d is not None and i in among}
+            return {i for i, d in depths.items() if d == min(depths.values())}
+
+        everything = set(range(len(self.made)))
+        mains = least("main", everything)
+        inside = set(mains)
+        for i, (_, parent, _) in enumerate(self.made):
+            if parent in inside:
+                inside.add(i)
+        fresh = mains | least("article", inside or everything)
+        left = [0]
+        for i, (_, parent, depth) in enumerate(self.made[1:], 1):
+            left.append(depth if i in fresh else left[parent])
+        return left
+
 
 def _threshold(values: list[float]) -> float:
     """The middle between the centres of the low and the high cluster."""
@@ -158,8 +191,9 @@ def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(html or "")
     page.close()
-    lines = []
-    for pieces, tags, linked, never, container in page.lines:
+    lines, left = [], page.afresh()
+    for pieces, tags, linked, never, container, named in page.lines:
+        never = never or named > left[container]
         text = " ".join("".join(pieces).split())
         if text or tags:
             # ratios fall off slowly, so that one long line does not hide the others

@@ -303,6 +303,20 @@ def test_extraction():
     assert [extraction.main_text(x) for x in (None, "", "bare", "<p>a<p>b", "<div><p>x</div>y", "<nav>z")] == ["", "", "bare", "a b", "x y", ""]
 
 
+def test_extraction_inside_a_layout_wrapper():
+    text = "A paragraph of the article that is long enough to count as content of the page."
+    rest = "<nav><a href=x>Home</a></nav>", "<footer>bye</footer>"
+    for wrapper in ("<div class='layout has-sidebar'>", "<section class='side-by-side'>", "<div id=nav-top><div class=no-share>"):
+        for tag in ("article", "main", "main><article"):
+            inner = f"<{tag}><p>{text}</p><div class=ad>Buy this wonderful product today</div></{tag.split('>')[0]}>"
+            page = f"{rest[0]}{wrapper}{inner}<aside>Related stuff that goes on</aside>{rest[1]}"
+            assert extraction.main_text(page) == text
+    inside = f"<main><div class='layout has-sidebar'><article><p>{text}</p></article><div class=related><article>{text}</article></div></div></main>"
+    assert extraction.main_text(inside) == text
+    assert extraction.main_text(f"<main><p>{text}</p></main><div class=related><article>{text}</article></div>") == text
+    assert extraction.main_text(f"<main><p>{text}</p><ol class=comment-list><li><article>{text}</article></ol></main>") == text
+
+
 def test_extraction_keeps_pages_apart(spark):
     pages = spark.createDataFrame([(*p, "d", 1) for p in pages_of()], PAGES)
     found = rows(extraction.extract(pages), "page_id", "n_chars")
