@@ -3,9 +3,11 @@
 The standard library's parser streams a page's events. Text is gathered into lines, one
 per block element. A line's ratio is its characters outside links over its tags; ratios
 are smoothed with a Gaussian over neighbouring lines, and a threshold between the two
-clusters of smoothed ratios (high: content) picks lines. A picked line speaks for its
-region: all lines of the nearest enclosing container belong to the text, so that short
-paragraphs stay. Lines inside elements that are never content (navigation, forms,
+clusters of smoothed ratios (high: content) picks lines. Picked lines only find the
+region: all lines of the outermost article (else the main element) around a picked line
+belong to the text; on pages without, all lines of the lowest container around all
+picked lines, or, where that is the page itself, what lies between the first and the
+last of the containers picked. So short sections, titles, quotes and cells stay. Lines inside elements that are never content (navigation, forms,
 scripts, asides and whatever a class, id or role calls a menu, an advert, a notice or
 comments) count as lines of no text, whatever they hold. A class or id may also name the
 layout around the text: the main element, or the articles, inside the fewest such
@@ -39,6 +41,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea title head".split())
 _NEVER = _RAW | frozenset("nav header footer aside form button dialog menu figcaption label fieldset".split())
 _CONTAINER = frozenset("html body main article section div td th table blockquote".split())
+_PAGE = frozenset(("", "html", "body"))
 _LINE = _CONTAINER | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre tr tbody thead tfoot caption figure address hr details summary".split()
 )
@@ -212,7 +215,44 @@ def main_text(html: str | None) -> str:
         # smoothing moved the peak onto lines that are never content: take the best usable one
         best = max((i for i, ok in enumerate(usable) if ok), key=lambda i: smooth[i])
         picked = {lines[best][3]}
-    return " ".join(line[0] for line, ok in zip(lines, usable, strict=True) if ok and line[3] in picked)
+    region = _region(page.made, picked, [line[3] for line in lines])
+    return " ".join(line[0] for i, (line, ok) in enumerate(zip(lines, usable, strict=True)) if ok and i in region)
+
+
+def _region(made: list[tuple], picked: set[int], containers: list[int]) -> set[int]:
+    """The lines, by place in ``containers``, of the regions that the picked containers find."""
+
+    def within(tops: set[int]) -> set[int]:
+        """Places of the lines inside; a container comes after the one around it."""
+        inside = set(tops)
+        for i, (_, parent, _) in enumerate(made[1:], 1):
+            if parent in inside:
+                inside.add(i)
+        return {k for k, at in enumerate(containers) if at in inside}
+
+    outer: dict[str, list[int]] = {"article": [0], "main": [0]}
+    for i, (name, parent, _) in enumerate(made[1:], 1):
+        for tag, tops in outer.items():
+            tops.append(tops[parent] or (i if name == tag else 0))
+    regions = {outer["article"][at] or outer["main"][at] for at in picked} - {0}
+    others = set()
+    for at in picked:
+        if not (outer["article"][at] or outer["main"][at]):
+            out = at
+            while made[out][0] in ("section", "blockquote"):  # a part of what is around it
+                out = made[out][1]
+            others.add(at if made[out][0] in _PAGE else out)
+    if regions:
+        return within(regions) | {k for k, at in enumerate(containers) if at in others}
+    level = set(others)
+    while len(level) > 1:
+        latest = max(level)
+        level = level - {latest} | {made[latest][1]}
+    top = level.pop()
+    if made[top][0] not in _PAGE:
+        return within({top})
+    own = within({at for at in others if made[at][0] not in _PAGE}) | {k for k, at in enumerate(containers) if at in others}
+    return set(range(min(own), max(own) + 1))
 
 
 def _extracted(batch: pa.RecordBatch) -> pa.RecordBatch:

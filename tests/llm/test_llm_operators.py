@@ -317,6 +317,19 @@ def test_extraction_inside_a_layout_wrapper():
     assert extraction.main_text(f"<main><p>{text}</p><ol class=comment-list><li><article>{text}</article></ol></main>") == text
 
 
+def test_extraction_keeps_short_parts_beside_long_ones():
+    long, short = " ".join(["word"] * 1200), " ".join(["tiny"] * 120)
+    parts = f"<section><p>{long}</p></section><section><p>{short}</p></section>"
+    assert extraction.main_text(f"<article><h1>Title</h1>{parts}</article>") == f"Title {long} {short}"
+    assert extraction.main_text(f"<div id=content>{parts}</div><footer>bye</footer>") == f"{long} {short}"
+    more = "<blockquote>so it is</blockquote><table><tr><td>1<td>2</table><div class=ad>Buy</div>"
+    assert extraction.main_text(f"<main><p>{long}</p>{more}</main>") == f"{long} so it is 1 2"
+    deep = "<div>" * 5000 + f"<p>{long}"
+    assert extraction.main_text(deep) == long
+    apart = f"<body><div>Home</div><div><p>{long}</p></div><div><p>{short}</p></div><div><p>{long}</p></div><div>bye</div></body>"
+    assert extraction.main_text(apart) == f"{long} {short} {long}"
+
+
 def test_extraction_keeps_pages_apart(spark):
     pages = spark.createDataFrame([(*p, "d", 1) for p in pages_of()], PAGES)
     found = rows(extraction.extract(pages), "page_id", "n_chars")
