@@ -1,4 +1,7 @@
-"""Removal of repeated passages with prefix-partitioned suffix trees.
+"""Removal of repeated passages with minimizer anchors and window hashes.
+
+This stands in for prefix-partitioned suffix trees: no tree is built and no group is
+fitted to memory; "node" and "leaf" below say what rows would be in one.
 
 A suffix is the text from one word on. Its tree node at depth ``WINDOW`` words is a
 *window*; a node with several leaves is a repeat, and every leaf but the earliest is
