@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxloom.llm import classifier, decontamination, extraction, jaccard, licenses, mixing, rules, scoring, substrings, warc
+from boxloom.llm import (
+    classifier, conversations, decontamination, extraction, jaccard, licenses, mixing, rules, runs, scoring, simhash, substrings,
+    warc,
+)
 from boxloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +70,18 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
