@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.operators import frames
 from boxloom.plans.fixtures import Inputs
 from boxloom.plans.registry import query
+from boxloom.session import shared_folder
+from boxloom.streaming import live
 
 CAP = 30
 
@@ -61,3 +65,43 @@ def objects(f: Inputs) -> DataFrame:
 )
 def track_objects(f: Inputs) -> DataFrame:
     return frames.track_objects(objects(f)).select("clip", "idx", "pos", "class_name", "track_id")
+
+
+#: Frames of a clip that a micro-batch of the query brings, and how far they are out of order.
+STEP, JITTER = 40, 8
+#: When the first frame is taken; a time of zero would lie below the first watermark.
+START = 1_700_000_000
+
+
+@query(
+    "track_stream",
+    """SELECT c.clip, c.idx, c.pos, concat('k', c.pos % 2) AS class_name,
+       dense_rank() OVER (PARTITION BY c.clip ORDER BY start_idx, start_pos) AS track_id, false AS late FROM chains c""",
+    "chains",
+)
+def track_stream(f: Inputs) -> DataFrame:
+    """The frames of all clips arrive out of order in micro-batches, and a last message says
+    that none will follow."""
+    folder = f"{shared_folder(f.spark)}/frames-{uuid.uuid4().hex}"
+    jitter = F.pmod(F.xxhash64("clip", "idx"), F.lit(JITTER))
+    rows = objects(f).withColumn("ts", F.timestamp_seconds(F.col("idx") + START)).withColumn("step", F.floor((F.col("idx") + jitter) / STEP))
+    rows.write.partitionBy("step").parquet(f"{folder}/kept")
+    kept = f.spark.read.schema(rows.schema).parquet(f"{folder}/kept")
+    last = kept.agg(F.max("step")).first()[0] or 0
+    message = [F.lit(None).cast(x.dataType).alias(x.name) for x in rows.drop("step").schema if x.name != "ts"]
+    end = f.spark.range(1).select(*message, F.timestamp_seconds(F.lit(1 << 32)).alias("ts"))
+    session = live.stateful(f.spark, 4)
+    source, out, progress = f"{folder}/source", f"{folder}/rows", f"{folder}/progress"
+    end.limit(0).write.parquet(source)
+    stream = session.readStream.schema(rows.drop("step").schema).parquet(source)
+    tracked = live.track_stream(stream, slack=f"{JITTER} seconds")
+    running = live.write_stream(tracked, out, progress)
+    try:
+        for step in range(last + 1):
+            kept.filter(F.col("step") == step).drop("step").write.mode("append").parquet(source)
+            running.processAllAvailable()
+        end.write.mode("append").parquet(source)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return f.spark.read.schema(tracked.schema).parquet(out)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from boxloom.functions.numbers import clamp
 from boxloom.functions.text import payload_bytes, payload_error
@@ -55,7 +56,9 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, once: bool = False)
     return writer.start()
 
 
-TRACKED = "clip string, idx bigint, pos bigint, class_name string, track_id bigint"
+TRACKED = "idx bigint, pos bigint, class_name string, track_id bigint, late boolean"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "idx bigint, next_id bigint, boxes array<struct<track_id:bigint,class_name:string,x1:double,y1:double,x2:double,y2:double>>"
 
 
@@ -90,41 +93,122 @@ def _follow(last: list, frame: list, threshold: float, next_id: int):
     return out, next_id
 
 
-def track_stream(detections: DataFrame, threshold: float = 0.3, forget: str = "10 minutes") -> DataFrame:
-    """Follow objects on a stream of ``clip, idx, pos, class_name, x1..y2, ts``.
+#: A detection of a frame that waits for its turn.
+WAITING = "idx bigint, pos bigint, class_name string, x1 double, y1 double, x2 double, y2 double, ms bigint"
+_FIELDS = ["idx", "pos", "class_name", "x1", "y1", "x2", "y2", "ms"]
+
 
-    State is the last frame's boxes of each clip and the next free id; it expires
-    when a clip stays silent for as long as the watermark allows. Frames of a clip
-    have to arrive in order across micro-batches.
+class _Follower(StatefulProcessor):
+    """The buffer of one clip: detections of frames that are not due, in list state, and the
+    last frame that was followed with the next free id, in value state.
+
+    A frame is due once the clip has a frame that is ``slack`` younger, or once the
+    watermark has passed the clip's youngest frame; the timer set for that also ends the
+    clip. Due frames are followed by rising number. A frame that comes when a younger one
+    has been followed is late: it is passed on without an id and changes nothing.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, threshold: float, slack: int) -> None:
+        self.threshold, self.slack = threshold, slack
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.followed = handle.getValueState("followed", STATE)
+        self.youngest = handle.getValueState("youngest", "ms bigint")
+
+    def _last(self) -> tuple[int, int, list]:
+        if not self.followed.exists():
+            return -1, 1, []
+        idx, next_id, boxes = self.followed.get()
+        return idx, next_id, [tuple(b) for b in boxes]
+
+    def _follow(self, clip: Any, rows: list[tuple]) -> list[tuple]:
+        """Ids for the detections of due frames."""
+        last_idx, next_id, last = self._last()
+        out = []
+        for idx, frame in groupby(sorted(rows, key=lambda r: r[:2]), key=lambda r: r[0]):
+            frame = list(frame)
+            boxes, next_id = _follow(last if idx == last_idx + 1 else [], [(0, *r[2:7]) for r in frame], self.threshold, next_id)
+            last_idx, last = idx, boxes
+            out += [(clip, idx, r[1], b[1], b[0], False) for r, b in zip(frame, boxes, strict=True)]
+        self.followed.update((last_idx, next_id, last))
+        return out
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = [r for frame in rows for r in frame[_FIELDS].itertuples(index=False, name=None) if not pd.isna(r[0])]
+        came = [(int(r[0]), int(r[1]), *r[2:7], int(r[7])) for r in came]
+        if not came:
             return
-        rows = pd.concat(list(batches)).sort_values(["idx", "pos"])
-        last_idx, next_id, last = -1, 1, []
-        if state.exists:
-            last_idx, next_id, saved = state.get
-            last = [tuple(b) for b in saved]
-        out: list[tuple[Any, ...]] = []
-        for idx, frame in rows.groupby("idx", sort=True):
-            boxes = [
-                (0, r.class_name, r.x1, r.y1, r.x2, r.y2) for r in frame.itertuples(index=False)
-            ]
-            base = last if idx == last_idx + 1 else []
-            last, next_id = _follow(base, boxes, threshold, next_id)
-            last_idx = int(idx)
-            out += [
-                (key[0], last_idx, int(p), b[1], b[0]) for p, b in zip(frame["pos"], last)
-            ]
-        state.update((last_idx, next_id, last))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1) + 1000)
-        yield pd.DataFrame(out, columns=["clip", "idx", "pos", "class_name", "track_id"])
+        done = self._last()[0]
+        late = [(key[0], r[0], r[1], r[2], None, True) for r in came if r[0] <= done]
+        rest = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rest += [r for r in came if r[0] > done]
+        youngest = max(r[7] for r in came)
+        if self.youngest.exists():
+            youngest = max(youngest, self.youngest.get()[0])
+        self.youngest.update((youngest,))
+        due = [r for r in rest if r[7] <= youngest - self.slack]
+        rest = [r for r in rest if r[7] > youngest - self.slack]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(youngest)
+        yield self._frame(late + (self._follow(key[0], due) if due else []))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        rest = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        out = self._follow(key[0], rest) if rest else []
+        for state in (self.waiting, self.followed, self.youngest):
+            state.clear()
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["clip", "idx", "pos", "class_name", "track_id", "late"])
+        return frame.astype({"track_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session beside ``spark`` with the state store that list state and timers need."""
+    own = spark.newSession()
+    own.conf.set(_PROVIDER, _ROCKS)
+    if partitions is not None:
+        own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return own
+
+
+def track_stream(
+    detections: DataFrame, threshold: float = 0.3, forget: str = "10 minutes", slack: str = "0 seconds"
+) -> DataFrame:
+    """Follow objects on a stream of ``clip, idx, pos, class_name, x1..y2, ts``.
 
+    Returns ``clip, idx, pos, class_name, track_id, late``. Frames of a clip may come in any
+    order within ``slack``: each clip holds back the frames of its last ``slack`` and follows
+    the older ones by number, so the ids are those of :func:`~boxloom.operators.frames.track_objects`.
+    A frame that comes later than that is marked late and gets no id. A clip's state ends
+    when the watermark (the youngest frame of all clips less ``forget``) passes its last
+    frame, which also settles the frames held back; ``forget`` has to be at least
+    ``slack``. Frames beyond the watermark are dropped by Spark, and a clip that speaks
+    again after that starts anew. A row without ``idx`` only moves the watermark on, as a
+    closed source does with a last message. List state and timers need the RocksDB state
+    store, which the stream's session is set to; :func:`stateful` gives one of its own.
+    """
+    wait = pd.Timedelta(slack)
+    if wait > pd.Timedelta(forget):
+        raise ValueError("forget has to be at least slack")
+    detections.sparkSession.conf.set(_PROVIDER, _ROCKS)
     return (
-        detections.withWatermark("ts", forget)
+        detections.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", forget)
         .groupBy("clip")
-        .applyInPandasWithState(step, TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(_Follower(threshold, int(wait.total_seconds() * 1000)), _tracked(detections), "Append", "EventTime")
     )
+
+
+def _tracked(detections: DataFrame) -> StructType:
+    return StructType([StructField("clip", detections.schema["clip"].dataType), *StructType.fromDDL(TRACKED).fields])

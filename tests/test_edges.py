@@ -164,3 +164,25 @@ def test_tracking_on_a_stream_carries_state_between_batches(spark, tmp_path):
     got = {(r["idx"], r["pos"]): r["track_id"] for r in spark.read.parquet(out).collect()}
     assert got == track_one_by_one(rows, 0.3)
     assert set(got.values()) == {1, 2}
+
+
+def test_tracking_of_a_stream_out_of_order(spark, tmp_path):
+    """Frames within the slack are followed in order, later ones are marked."""
+    rows = [("a", idx, pos, "car", x := float(pos * 100 + idx * 4), 0.0, x + 20, 20.0) for idx in range(12) for pos in range(2)]
+    schema = "clip string, idx bigint, pos bigint, class_name string, x1 double, y1 double, x2 double, y2 double"
+    frame = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("idx") + 1_700_000_000))
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    session = live.stateful(spark, 2)
+    batches = [(1, 3, 0), (2, 5, 6, 4), (11, 9, 8), (10, 7)]
+    for batch in batches:
+        frame.filter(F.col("idx").isin(*batch)).write.mode("append").parquet(source)
+        stream = session.readStream.schema(frame.schema).parquet(source)
+        tracked = live.track_stream(stream, slack="3 seconds")
+        live.write_stream(tracked, out, progress, once=True).awaitTermination()
+    end = frame.limit(1).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in frame.schema[:-1]], F.timestamp_seconds(F.lit(1 << 32)).alias("ts"))
+    end.write.mode("append").parquet(source)
+    live.write_stream(live.track_stream(session.readStream.schema(frame.schema).parquet(source), slack="3 seconds"), out, progress, once=True).awaitTermination()
+    found = spark.read.parquet(out).collect()
+    assert {r["idx"] for r in found if r["late"]} == {7} and all(r["track_id"] is None for r in found if r["late"])
+    got = {(r["idx"], r["pos"]): r["track_id"] for r in found if not r["late"]}
+    assert got == track_one_by_one([r for r in rows if r[1] != 7], 0.3) and len(found) == 24
