@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.functions.geometry import corners, overlaps, shared_area
+from boxloom.functions.geometry import CORNERS, corners, overlaps, shared_area
 from boxloom.operators.overlap import (
     check_threshold,
     collapse_copies,
@@ -163,93 +163,136 @@ def match_in_rounds(
     """Greedy matching of oversized images as distributed rounds.
 
     Copies of a baseline box have the same partners in the same order and are used
-    up by rising position, so one *type* stands for all of them. In a round the
-    m-th partner of a type is offered the type's m-th free copy, and the pair is
-    final when no other type has a better claim on that partner. A type keeps its
-    pairs up to the first refusal. The best pair left is always final, so every
-    round makes progress and chooses what choosing pair by pair would. Once the
-    counted rest fits a task, it is settled directly.
+    up by rising position, so one *type* stands for all of them. Pairs are never stored as a
+    whole. Pairs of one class come first, and among them bands of falling IoU: a band's
+    pairs are found anew from the types and partners that are still free, and every pair of
+    a band comes before those of the next. In a round the m-th best partner of a type is
+    offered the type's m-th free copy, and the pair is final when no other type has a
+    better claim on that partner. A type keeps its pairs up to the first refusal. The best
+    pair left is always final, so every round makes progress and chooses what choosing
+    pair by pair would. A round stores at most one pair for a free copy and two for a
+    partner. Once the counted rest fits a task, it is settled directly.
     """
-    types, members = collapse_copies(baseline.filter(F.col("x1").isNotNull()), image)
+    boxed = F.col("x1").isNotNull()
+    types, members = collapse_copies(baseline.filter(boxed), image)
     places = durable(
         row_numbers(members, [image, "type"], [F.col("pos")], "place").select(
             F.col(image).alias("_pk"), F.col("type").alias("_pt"), F.col("place").alias("_pn"),
             F.col("pos").alias("_pi"),
         )
     )
-
-    def with_place(rows: DataFrame, place: Column, name: str) -> DataFrame:
-        on = (F.col("_k") == F.col("_pk")) & (F.col("_t") == F.col("_pt")) & (place == F.col("_pn"))
-        return rows.join(places, on).withColumn(name, F.col("_pi")).drop("_pk", "_pt", "_pn", "_pi")
-
-    left = durable(
-        _typed_edges(types, current, threshold, image)
-    )
-    state = durable(
-        with_place(
-            types.select(
-                F.col(image).alias("_k"), F.col("pos").alias("_t"), "copies", F.lit(0).cast("bigint").alias("used")
-            ),
-            F.col("used") + 1,
-            "head",
+    match = _Crowd(types, current.filter(boxed), places, image)
+    limit = hot_group_rows(baseline.sparkSession)
+    for same in (True, False):
+        for low in [b for b in _BANDS if b > threshold] + [threshold]:
+            rest = match.edges(threshold, same)
+            if (count := rest.count()) <= limit:
+                if count:
+                    match.settle(rest)
+                break
+            while (count := match.edges(low, same).count()) > limit:
+                match.round(match.edges(low, same))
+            if count:
+                match.settle(match.edges(low, same))
+    return match.taken()
+
+
+#: Least IoU of the bands above the threshold.
+_BANDS = (0.9, 0.75, 0.6)
+
+
+class _Crowd:
+    """What is free of oversized images, and the pairs that are final."""
+
+    def __init__(self, types: DataFrame, partners: DataFrame, places: DataFrame, image: str) -> None:
+        self.image, self.places, self.pairs = image, places, []
+        self.schema = f"{image} {types.schema[image].dataType.simpleString()}, pass int, down double, i bigint, j bigint, b_class string, c_class string"
+        nothing = F.lit(None).cast("bigint")
+        self.partners = partners.select(
+            image, "pos", "class_name", *CORNERS, *[nothing.alias(c) for c in ("head", "used", "free")]
         )
-    )
-    taken = []
-    remaining = left.count()
-    while remaining > hot_group_rows(left.sparkSession):
-        live = left.join(state, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")))
-        by_partner = Window.partitionBy(image, "j").orderBy("pass", "down", "head")
-        claim = F.struct("pass", "down", "head", "type")
+        self.types = self._headed(types.withColumn("used", F.lit(0).cast("bigint")))
+
+    def _at(self, rows: DataFrame, key: str, place: Column, name: str) -> DataFrame:
+        """Add the position of a type's copy by its number."""
+        on = (F.col(self.image) == F.col("_pk")) & (F.col(key) == F.col("_pt")) & (place == F.col("_pn"))
+        return rows.join(self.places, on).withColumn(name, F.col("_pi")).drop("_pk", "_pt", "_pn", "_pi")
+
+    def _headed(self, types: DataFrame) -> DataFrame:
+        """Types with free copies, with the first of these."""
+        kept = types.filter("used < copies").select(self.image, "pos", "class_name", *CORNERS, "copies", "used")
+        return durable(self._at(kept, "pos", F.col("used") + 1, "head").withColumn("free", F.col("copies") - F.col("used")))
+
+    def edges(self, low: float, same: bool) -> DataFrame:
+        """Pairs of what is free, of equal or of different classes; nothing of it is stored."""
+        keys, extra = [self.image], ["head", "used", "free"]
+        if same:
+            found = join_on_grid(self.types, self.partners, [*keys, "class_name"], low, extra).withColumns(
+                {"b_class_name": F.col("class_name"), "c_class_name": F.col("class_name")}
+            )
+        else:
+            differ = ~F.col("b_class_name").eqNullSafe(F.col("c_class_name"))
+            found = join_on_grid(self.types, self.partners, keys, low, ["class_name", *extra], differ)
+        return found.select(
+            self.image, F.lit(0 if same else 1).alias("pass"), (-F.col("iou")).alias("down"), F.col("i").alias("type"), "j",
+            F.col("b_class_name").alias("b_class"), F.col("c_class_name").alias("c_class"),
+            F.col("b_head").alias("head"), F.col("b_used").alias("used"), F.col("b_free").alias("free"),
+        )
+
+    def round(self, edges: DataFrame) -> None:
+        most = min(_OFFERS, self.types.agg(F.coalesce(F.max("free"), F.lit(1))).first()[0])
+        by_partner = Window.partitionBy(self.image, "j").orderBy("down", "head")
+        claim = F.struct("down", "head", "type")
         claims = (
-            live.withColumn("_r", F.row_number().over(by_partner))
+            edges.withColumn("_r", F.row_number().over(by_partner))
             .filter(F.col("_r") <= 2)
-            .groupBy(F.col(image).alias("_ck"), F.col("j").alias("_cj"))
-            .agg(
-                F.min(claim).alias("_first"),
-                F.max(F.when(F.col("_r") == 2, claim)).alias("_second"),
-            )
+            .groupBy(F.col(self.image).alias("_ck"), F.col("j").alias("_cj"))
+            .agg(F.min(claim).alias("_first"), F.max(F.when(F.col("_r") == 2, claim)).alias("_second"))
         )
-        by_type = Window.partitionBy(image, "type").orderBy("pass", "down", "j")
+        by_type = Window.partitionBy(self.image, "type").orderBy("down", "j")
         offers = (
-            live.withColumn("_m", F.row_number().over(by_type))
-            .filter(F.col("_m") <= _OFFERS)
-            .filter(F.col("used") + F.col("_m") <= F.col("copies"))
+            edges.withColumn("_m", F.row_number().over(by_type))
+            .filter(F.col("_m") <= most)
+            .filter(F.col("_m") <= F.col("free"))
         )
-        offers = with_place(offers, F.col("used") + F.col("_m"), "i")
+        offers = self._at(offers, "type", F.col("used") + F.col("_m"), "i")
         rival = F.when(F.col("_first.type") == F.col("type"), F.col("_second")).otherwise(F.col("_first"))
         judged = offers.join(
-            claims, (F.col(image) == F.col("_ck")) & (F.col("j") == F.col("_cj"))
+            claims, (F.col(self.image) == F.col("_ck")) & (F.col("j") == F.col("_cj"))
         ).withColumn("_rival", rival)
-        better = F.struct(F.col("_rival.pass"), F.col("_rival.down"), F.col("_rival.head")) < F.struct(
-            F.col("pass"), F.col("down"), F.col("i").alias("head")
-        )
+        better = F.struct(F.col("_rival.down"), F.col("_rival.head")) < F.struct(F.col("down"), F.col("i").alias("head"))
         refused = F.col("_rival").isNotNull() & better
-        whole_type = Window.partitionBy(image, "type")
-        final = durable(
+        whole_type = Window.partitionBy(self.image, "type")
+        final = (
             judged.withColumn("_stop", F.min(F.when(refused, F.col("_m"))).over(whole_type))
             .filter(F.col("_stop").isNull() | (F.col("_m") < F.col("_stop")))
-            .select(image, "type", "i", *[c for c in left.columns if c not in (image, "type")])
-        )
-        taken.append(final)
-        spent = final.groupBy(F.col(image).alias("_sk"), F.col("type").alias("_st")).agg(
-            F.count("*").alias("_spent")
         )
-        after = state.drop("head").join(
-            spent, (F.col("_k") == F.col("_sk")) & (F.col("_t") == F.col("_st")), "left"
-        ).withColumn("used", F.col("used") + F.coalesce("_spent", F.lit(0))).drop("_sk", "_st", "_spent")
-        state = durable(with_place(after.filter(F.col("used") < F.col("copies")), F.col("used") + 1, "head"))
-        gone = final.select(F.col(image).alias("_gk"), F.col("j").alias("_gj"))
-        alive = state.select("_k", "_t")
-        left = durable(
-            left.join(gone, (F.col(image) == F.col("_gk")) & (F.col("j") == F.col("_gj")), "left_anti")
-            .join(alive, (F.col(image) == F.col("_k")) & (F.col("type") == F.col("_t")), "left_semi")
-        )
-        remaining = left.count()
-    free = state.join(places, (F.col("_k") == F.col("_pk")) & (F.col("_t") == F.col("_pt"))).filter(
-        F.col("_pn") > F.col("used")
-    )
-    rest = _finish(left, free.select(F.col("_k").alias(image), F.col("_t").alias("type"), F.col("_pi").alias("i")), image)
-    return reduce(DataFrame.unionByName, [t.drop("type") for t in taken], durable(rest))
+        self._take(durable(final.select(self.image, "pass", "down", "type", "i", "j", "b_class", "c_class")))
+
+    def settle(self, edges: DataFrame) -> None:
+        """Take pairs that are few by count, in order."""
+        edges = durable(edges.select(self.image, "pass", "down", "type", "j", "b_class", "c_class"))
+        alive = self.types.select(F.col(self.image).alias("_k"), F.col("pos").alias("_t"), "used")
+        on = (F.col("_k") == F.col("_pk")) & (F.col("_t") == F.col("_pt")) & (F.col("_pn") > F.col("used"))
+        free = alive.join(self.places, on).select(F.col("_k").alias(self.image), F.col("_t").alias("type"), F.col("_pi").alias("i"))
+        taken = durable(_finish(edges, free, self.image))
+        owner = self.places.select(F.col("_pk").alias(self.image), F.col("_pi").alias("i"), F.col("_pt").alias("type"))
+        self._take(durable(taken.join(owner, [self.image, "i"])))
+
+    def _take(self, final: DataFrame) -> None:
+        """Make pairs final and what they use no longer free."""
+        self.pairs.append(final)
+        spent = final.groupBy(F.col(self.image).alias("_k"), F.col("type").alias("_t")).agg(F.count("*").alias("_spent"))
+        on = (F.col(self.image) == F.col("_k")) & (F.col("pos") == F.col("_t"))
+        self.types = self._headed(self.types.drop("head", "free").join(spent, on, "left").withColumn("used", F.col("used") + F.coalesce("_spent", F.lit(0))))
+        gone = final.select(F.col(self.image).alias("_k"), F.col("j").alias("_t"))
+        self.partners = durable(self.partners.join(gone, on, "left_anti"))
+
+    def taken(self) -> DataFrame:
+        columns = [self.image, "pass", "down", "i", "j", "b_class", "c_class"]
+        if not self.pairs:
+            return self.types.sparkSession.createDataFrame([], self.schema)
+        return reduce(DataFrame.unionByName, [p.select(columns) for p in self.pairs])
 
 
 def _finish(edges: DataFrame, free: DataFrame, image: str) -> DataFrame:
@@ -311,20 +354,6 @@ def _finish(edges: DataFrame, free: DataFrame, image: str) -> DataFrame:
 _OFFERS = 256
 
 
-def _typed_edges(types: DataFrame, current: DataFrame, threshold: float, image: str) -> DataFrame:
-    pairs = join_on_grid(types, current, [image], threshold, ["class_name"])
-    same = F.col("b_class_name").eqNullSafe(F.col("c_class_name"))
-    return pairs.select(
-        image,
-        F.when(same, 0).otherwise(1).alias("pass"),
-        (-F.col("iou")).alias("down"),
-        F.col("i").alias("type"),
-        "j",
-        F.col("b_class_name").alias("b_class"),
-        F.col("c_class_name").alias("c_class"),
-    )
-
-
 def _first_elements(side: DataFrame, image: str, name: str) -> DataFrame:
     """Per image: is the set boxless, and its element of least position."""
     return side.groupBy(image).agg(

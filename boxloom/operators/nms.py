@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.functions.geometry import CORNERS, corners, overlaps, shared_area
-from boxloom.operators.overlap import check_threshold, join_on_grid, split_by_size
-from boxloom.session import durable
+from boxloom.functions.geometry import CORNERS, corners, iou, overlaps, shared_area
+from boxloom.operators.overlap import at_home, check_threshold, split_by_size, visiting
+from boxloom.operators.ranking import row_numbers
+from boxloom.session import durable, nested_boxes
 
 _KEYS = ("item_id", "class_name")
 
@@ -48,45 +51,87 @@ def _nested(boxes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
-    """Oversized groups: suppression as rounds over conflict edges.
+#: A cell is cut into so many parts along each side, and each part offers its best box.
+_PARTS = 4
+#: Boxes left over that one task settles, in units of the boxes nested into one row.
+_FEW = 16
+
+
+def _settle(boxes: DataFrame, threshold: float) -> DataFrame:
+    """The survivors of few open boxes, group by group."""
+
+    def greedy(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["down", "pos"])
+        box = group[list(CORNERS)].to_numpy()
+        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        kept: list[int] = []
+        for k in range(len(box)):
+            near = box[kept]
+            w = np.minimum(near[:, 2], box[k, 2]) - np.maximum(near[:, 0], box[k, 0])
+            h = np.minimum(near[:, 3], box[k, 3]) - np.maximum(near[:, 1], box[k, 1])
+            shared = w * h
+            same = (w > 0) & (h > 0) & (shared / (area[kept] + area[k] - shared) >= threshold)
+            if not same.any():
+                kept.append(k)
+        return group.iloc[kept][[*_KEYS, "pos"]]
 
-    Copies of one box collapse to their first, which decides for all of them. A
-    box no remaining edge points at stays and removes the boxes it points at. Boxes
-    without area overlap with nothing, not even with their copies, and all stay.
+    return boxes.groupBy(*_KEYS).applyInPandas(greedy, boxes.select(*_KEYS, "pos").schema)
+
+
+def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Oversized groups: rounds over grid cells, without a table of conflicts.
+
+    In a round every part of a cell offers its best open box. An offer that no better open
+    box covers stays, and drops what it covers before anything else is compared; both are
+    joins of the few offers with the open boxes of the cells they reach, so a round reads
+    and stores no more than the boxes that are open. Once these are few by count, one task
+    for each group settles them. Copies of one box collapse to their first, which decides
+    for all of them. Boxes without area overlap with nothing, not even with their copies,
+    and all stay.
     """
+    spark = boxes.sparkSession
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     flat = boxes.filter(F.coalesce(~solid, F.lit(True)))
     boxes = boxes.filter(solid)
     rank = F.struct((-F.col("confidence")).alias("down"), "pos")
-    heads = durable(
-        boxes.groupBy(*_KEYS, *CORNERS)
-        .agg(F.min(rank).alias("_rank"))
-        .withColumn("pos", F.col("_rank.pos"))
-    )
-    edges = join_on_grid(
-        heads, heads, list(_KEYS), threshold, ["_rank"], F.col("b__rank") < F.col("c__rank")
-    ).select("item_id", "i", "j")
-    left = durable(edges)
-    gone = []
-    while not left.isEmpty():
-        aimed = left.select(F.col("item_id").alias("_k"), F.col("j").alias("_p")).distinct()
-        hit = durable(
-            left.join(aimed, (F.col("item_id") == F.col("_k")) & (F.col("i") == F.col("_p")), "left_anti")
-            .select(F.col("item_id").alias("_k"), F.col("j").alias("_p"))
-            .distinct()
-        )
-        gone.append(hit)
-        left = durable(
-            left.join(hit, (F.col("item_id") == F.col("_k")) & (F.col("i") == F.col("_p")), "left_anti")
-            .join(hit, (F.col("item_id") == F.col("_k")) & (F.col("j") == F.col("_p")), "left_anti")
+    heads = boxes.groupBy(*_KEYS, *CORNERS).agg(F.min(rank).alias("_rank")).select(*_KEYS, *CORNERS, "_rank.down", "_rank.pos")
+    left = durable(at_home(heads))
+    whole = ["down", "pos", *CORNERS]
+
+    def reached(offers: DataFrame) -> DataFrame:
+        rows = visiting(offers, threshold)
+        return rows.select(*[F.col(c).alias(f"o_{c}") for c in (*_KEYS, *whole, "level", "gx", "gy")])
+
+    def meets() -> Column:
+        on = F.col("class_name").eqNullSafe(F.col("o_class_name"))
+        for c in ("item_id", "level", "gx", "gy"):
+            on = on & (F.col(c) == F.col(f"o_{c}"))
+        return on & (iou(corners(prefix="o_"), corners()) >= threshold)
+
+    kept = []
+    while (open_boxes := left.count()) > _FEW * nested_boxes(spark):
+        parts = at_home(left.select(*_KEYS, *whole), parts=_PARTS)
+        offers = (
+            parts.groupBy(*_KEYS, "level", "gx", "gy")
+            .agg(F.min(F.struct(*whole)).alias("_best")).select(*_KEYS, "_best.*")
         )
-    on = (F.col("item_id") == F.col("_k")) & (F.col("pos") == F.col("_p"))
-    keep = heads.select(F.col("item_id").alias("_k"), F.col("pos").alias("_p"))
-    kept = boxes.join(keep, on, "left_semi")
-    if gone:
-        kept = kept.join(reduce(DataFrame.unionByName, gone), on, "left_anti")
-    return kept.unionByName(flat)
+        offers = durable(offers)
+        visits = reached(offers)
+        better = F.struct("down", "pos") < F.struct(F.col("o_down").alias("down"), F.col("o_pos").alias("pos"))
+        refused = visits.join(left, meets() & better, "left_semi").select(
+            F.col("o_item_id").alias("_k"), F.col("o_class_name").alias("_c"), F.col("o_pos").alias("_p")
+        ).distinct()
+        same = (F.col("item_id") == F.col("_k")) & F.col("class_name").eqNullSafe(F.col("_c")) & (F.col("pos") == F.col("_p"))
+        stay = durable(offers.join(refused, same, "left_anti"))
+        kept.append(stay.select("item_id", "pos"))
+        # a box covers itself, so what stays leaves the open boxes as well
+        left = durable(left.join(reached(stay), meets(), "left_anti"))
+    if open_boxes:
+        kept.append(_settle(left.select(*_KEYS, *whole), threshold).select("item_id", "pos"))
+    if not kept:
+        return boxes.unionByName(flat)
+    final = reduce(DataFrame.unionByName, kept).select(F.col("item_id").alias("_k"), F.col("pos").alias("_p"))
+    return boxes.join(final, (F.col("item_id") == F.col("_k")) & (F.col("pos") == F.col("_p")), "left_semi").unionByName(flat)
 
 
 def merge_detections(
@@ -103,3 +148,19 @@ def merge_detections(
     light, heavy = split_by_size([boxes], list(_KEYS), largest)
     merged = detections.filter(F.col("x1").isNull()).unionByName(_nested(light[0], t))
     return merged if heavy is None else merged.unionByName(_rounds(heavy[0], t))
+
+
+def in_order(merged: DataFrame, detections: DataFrame) -> DataFrame:
+    """Add ``rank``, the place of each kept detection in its image's result.
+
+    Detections without a box come first, by place; the others follow by falling confidence,
+    then by the first place at which ``detections`` have a box of their class, then by place.
+    """
+    first = detections.filter(F.col("x1").isNotNull()).groupBy(
+        F.col("item_id").alias("_k"), F.col("class_name").alias("_c")
+    ).agg(F.min("pos").alias("_first"))
+    boxed = F.col("x1").isNotNull()
+    on = (F.col("item_id") == F.col("_k")) & F.col("class_name").eqNullSafe(F.col("_c"))
+    order = [boxed, F.when(boxed, -F.col("confidence")), F.when(boxed, F.col("_first")), F.col("pos")]
+    placed = merged.join(first, on, "left").drop("_k", "_c")
+    return row_numbers(placed, ["item_id"], order, "rank").drop("_first")

@@ -119,54 +119,54 @@ def collapse_copies(boxes: DataFrame, image: str) -> tuple[DataFrame, DataFrame]
     return types, boxes.join(lookup, on).select(image, "type", "pos")
 
 
-def join_on_grid(baseline, current, keys, threshold, extra=(), condition=None) -> DataFrame:
-    """Candidates of oversized images: equi-join on ``keys`` and a size-scaled cell.
+def _dims(p: str) -> tuple[Column, Column, Column, Column, Column]:
+    """Centre, width, height and level of a box; the level is its larger side's power of two."""
+    x1, y1, x2, y2 = corners(prefix=p)
+    w, h = x2 - x1, y2 - y1
+    return (x1 + x2) / 2.0, (y1 + y2) / 2.0, w, h, F.ceil(F.log2(F.greatest(w, h))).cast("int")
 
-    Cells are salted, so a crowded spot is still spread over several tasks.
-    """
-    t = check_threshold(threshold)
-    b, c = _sides(baseline, current, keys, extra)
 
-    def dims(p: str) -> tuple[Column, Column, Column, Column, Column]:
-        x1, y1, x2, y2 = corners(prefix=p)
-        w, h = x2 - x1, y2 - y1
-        return (x1 + x2) / 2.0, (y1 + y2) / 2.0, w, h, F.ceil(F.log2(F.greatest(w, h))).cast("int")
-
-    cx, cy, _, _, level = dims("b_")
-    size = F.pow(F.lit(2.0), F.col("b_level") + 1)
-    b = (
-        b.withColumn("b_level", level)
-        .withColumn("b_gx", F.floor(cx / size))
-        .withColumn("b_gy", F.floor(cy / size))
-        .withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    )
+def at_home(boxes: DataFrame, p: str = "", parts: int = 1) -> DataFrame:
+    """Add the cell ``level, gx, gy`` a box lies in, or one of ``parts`` squared parts of it."""
+    cx, cy, _, _, level = _dims(p)
+    size = F.pow(F.lit(2.0), F.col(f"{p}level") + 1) / parts
+    return boxes.withColumn(f"{p}level", level).withColumns({f"{p}gx": F.floor(cx / size), f"{p}gy": F.floor(cy / size)})
+
 
+def visiting(boxes: DataFrame, threshold: float, p: str = "") -> DataFrame:
+    """A row for every cell ``level, gx, gy`` where a box of that IoU could be at home."""
+    t = threshold
     spread = math.ceil(math.log2(1 / t) + 1e-9)
     reach = (1 - t) * max(1.0, 1 / (2 * t)) + 1e-6
-    cx, cy, w, h, level = dims("c_")
-    salt = F.pmod(F.xxhash64("j"), F.lit(_SALTS)).cast("int")
-    c = c.withColumns({"_level": level, "c_salt": salt}).withColumn(
+    cx, cy, w, h, level = _dims(p)
+    boxes = boxes.withColumn("_level", level).withColumn(
         # a partner on a level has a side of at most 2^level, so its area bounds the level too
-        "c_level", F.explode(F.sequence(
+        f"{p}level", F.explode(F.sequence(
             F.greatest(F.col("_level") - spread, F.ceil(F.log2(w * h * t) / 2 - 1e-9).cast("int")), F.col("_level") + spread
         ))
     )
-    half = F.pow(F.lit(2.0), F.col("c_level")) / 2 + 1e-6
+    half = F.pow(F.lit(2.0), F.col(f"{p}level")) / 2 + 1e-6
+    size = F.pow(F.lit(2.0), F.col(f"{p}level") + 1)
 
     def cells(centre: Column, side: Column) -> Column:
         near = F.least(side * reach, half + side / 2)
         return F.explode(F.sequence(F.floor((centre - near) / size), F.floor((centre + near) / size)))
 
-    size = F.pow(F.lit(2.0), F.col("c_level") + 1)
-    c = c.withColumn("c_gx", cells(cx, w)).withColumn("c_gy", cells(cy, h))
-    on = (
-        _keys_equal(keys)
-        & (F.col("b_level") == F.col("c_level"))
-        & (F.col("b_gx") == F.col("c_gx"))
-        & (F.col("b_gy") == F.col("c_gy"))
-        & (F.col("b_salt") == F.col("c_salt"))
-        & overlaps(corners(prefix="b_"), corners(prefix="c_"))
-    )
+    return boxes.withColumn(f"{p}gx", cells(cx, w)).withColumn(f"{p}gy", cells(cy, h)).drop("_level")
+
+
+def join_on_grid(baseline, current, keys, threshold, extra=(), condition=None) -> DataFrame:
+    """Candidates of oversized images: equi-join on ``keys`` and a size-scaled cell.
+
+    Cells are salted, so a crowded spot is still spread over several tasks.
+    """
+    t = check_threshold(threshold)
+    b, c = _sides(baseline, current, keys, extra)
+    b = at_home(b, "b_").withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    c = visiting(c.withColumn("c_salt", F.pmod(F.xxhash64("j"), F.lit(_SALTS)).cast("int")), t, "c_")
+    on = _keys_equal(keys) & overlaps(corners(prefix="b_"), corners(prefix="c_"))
+    for name in ("level", "gx", "gy", "salt"):
+        on = on & (F.col(f"b_{name}") == F.col(f"c_{name}"))
     if condition is not None:
         on = on & condition
     return _with_iou(b.join(c, on), keys, extra, t)

@@ -30,6 +30,30 @@ def greedy_match(f: Inputs) -> DataFrame:
     return everything(f).matches()
 
 
+@query(
+    "match_crowded",
+    """WITH pairs AS (
+  SELECT b.item_id * 100 + b.cluster AS spot, b.item_id, b.pos AS i, c.pos AS j, CASE WHEN b.class_name IS NOT DISTINCT FROM c.class_name THEN 0 ELSE 1 END AS pass,
+         (least(b.x2, c.x2) - greatest(b.x1, c.x1)) * (least(b.y2, c.y2) - greatest(b.y1, c.y1)) AS inter,
+         (b.x2 - b.x1) * (b.y2 - b.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) AS areas
+  FROM crowd b JOIN crowd_now c ON b.item_id = c.item_id AND b.cluster = c.cluster
+  WHERE least(b.x2, c.x2) > greatest(b.x1, c.x1) AND least(b.y2, c.y2) > greatest(b.y1, c.y1)),
+near AS (SELECT spot, item_id, i, j, pass, inter / (areas - inter) AS iou FROM pairs WHERE inter / (areas - inter) >= 0.5e0),
+r AS (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY pass, iou DESC, i, j) AS rn FROM near),
+f AS (SELECT spot, rn, item_id, i, j, pass, iou, true AS took, [i] AS ui, [j] AS uj FROM r WHERE rn = 1
+  UNION ALL SELECT r.spot, r.rn, r.item_id, r.i, r.j, r.pass, r.iou, NOT (list_contains(f.ui, r.i) OR list_contains(f.uj, r.j)),
+    CASE WHEN list_contains(f.ui, r.i) OR list_contains(f.uj, r.j) THEN f.ui ELSE list_append(f.ui, r.i) END,
+    CASE WHEN list_contains(f.ui, r.i) OR list_contains(f.uj, r.j) THEN f.uj ELSE list_append(f.uj, r.j) END
+  FROM f JOIN r ON r.spot = f.spot AND r.rn = f.rn + 1)
+SELECT item_id, i, j, CAST(pass AS INTEGER) AS pass, iou FROM f WHERE took""",
+    "crowd crowd_now",
+)
+def match_crowded(f: Inputs) -> DataFrame:
+    """Images far beyond what one row can nest; boxes that can overlap lie in one spot, so
+    the SQL may choose pairs spot by spot."""
+    return Comparison(f.crowd(), f.crowd_now()).matches()
+
+
 @query("iou_candidates_same", "SELECT item_id, b_class AS class_name, i, j, iou FROM cand WHERE pass = 0", "cand")
 def iou_candidates_same(f: Inputs) -> DataFrame:
     return iou_candidates(f.baseline(), f.current(), 0.5, same_class=True, largest=f.largest)

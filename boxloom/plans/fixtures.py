@@ -109,6 +109,31 @@ UNION ALL SELECT c.item_id, 'added', NULL, c.pos, NULL, c.class_name, 0e0 FROM c
        count(*) FILTER (kind <> 'agreed') AS disputed,
        count(*) FILTER (kind = 'agreed') / CAST(count(*) AS DOUBLE) AS agreement
 FROM done_pairs GROUP BY item_id""",
+    ),
+    "crowd_seed": (
+        "",
+        """SELECT l_suppkey % 20 AS item_id, (l_partkey * 7 + l_orderkey) % 100 AS cluster, l_orderkey AS o, l_partkey AS p, l_suppkey AS s,
+       CAST(l_linenumber AS BIGINT) AS ln, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d100,
+       CASE WHEN l_partkey % 13 <> 0 THEN concat('c', l_partkey % 2) END AS cls,
+       (l_partkey * 7 + l_orderkey) % 100 * 1000 + (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 30 AS bx,
+       (l_partkey + l_suppkey * 5 + l_linenumber * 11) % 24 AS by_,
+       60 + CAST(l_quantity AS BIGINT) % 12 AS w, 60 + (CAST(l_quantity AS BIGINT) * 3) % 10 AS h
+FROM lineitem""",
+    ),
+    "crowd": (
+        "crowd_seed",
+        """SELECT item_id, cluster, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, ln, p, s, q, d100) - 1 AS BIGINT) AS pos,
+       cls AS class_name, CAST((p * 31 + s * 17 + ln * 7) % 1000 AS DOUBLE) / 1e3 AS confidence,
+       CAST(bx AS DOUBLE) AS x1, CAST(by_ AS DOUBLE) AS y1, CAST(bx + w AS DOUBLE) AS x2, CAST(by_ + h AS DOUBLE) AS y2
+FROM crowd_seed""",
+    ),
+    "crowd_now": (
+        "crowd_seed",
+        """SELECT item_id, cluster, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, ln, p, s, q, d100) - 1 AS BIGINT) AS pos,
+       CASE WHEN (p + ln) % 7 = 0 THEN 'XX' ELSE cls END AS class_name, 1e0 AS confidence,
+       CAST(bx + (p * 7 + s) % 5 AS DOUBLE) AS x1, CAST(by_ + (p + s * 5) % 4 AS DOUBLE) AS y1,
+       CAST(bx + w + (p * 7 + s) % 5 AS DOUBLE) AS x2, CAST(by_ + h + (p + s * 5) % 4 AS DOUBLE) AS y2
+FROM crowd_seed WHERE (p * 3 + s) % 11 <> 0""",
     ),
     "label_baseline": (
         "",
@@ -394,6 +419,35 @@ class Inputs:
             F.col("d100").cast("double") / 10.0,
         )
 
+    def _crowd(self, keep: Column, shift: tuple[Column, Column], name: Column, confidence: Column) -> DataFrame:
+        p, s, ln, q = F.col("p"), F.col("s"), F.col("ln"), F.col("q")
+        seed = self.table("lineitem").select(
+            (F.col("l_suppkey") % 20).alias("item_id"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"),
+            F.col("l_suppkey").alias("s"), F.col("l_linenumber").cast("bigint").alias("ln"),
+            F.col("l_quantity").cast("bigint").alias("q"), F.round(F.col("l_discount") * 100).cast("bigint").alias("d100"),
+        ).filter(keep)
+        order = [F.col(c) for c in ("o", "ln", "p", "s", "q", "d100")]
+        numbered = row_numbers(seed, ["item_id"], order, "_n", stored=True)
+        left = (p * 7 + F.col("o")) % 100 * 1000 + (p * 7 + s * 3 + ln) % 30 + shift[0]
+        top = (p + s * 5 + ln * 11) % 24 + shift[1]
+        boxes = zip(CORNERS, (left, top, left + 60 + q % 12, top + 60 + (q * 3) % 10), strict=True)
+        return numbered.select(
+            "item_id", (F.col("_n") - 1).alias("pos"), name.alias("class_name"), confidence.alias("confidence"),
+            *[value.cast("double").alias(c) for c, value in boxes],
+        )
+
+    def crowd(self) -> DataFrame:
+        """A few images with very many boxes, in a hundred spots of near-equal ones."""
+        p, s = F.col("p"), F.col("s")
+        name = F.when(p % 13 != 0, F.concat(F.lit("c"), _text(p % 2)))
+        rank = ((p * 31 + s * 17 + F.col("ln") * 7) % 1000).cast("double") / 1000.0
+        return self._crowd(F.lit(True), (F.lit(0), F.lit(0)), name, rank)
+
+    def crowd_now(self) -> DataFrame:
+        p, s = F.col("p"), F.col("s")
+        name = F.when((p + F.col("ln")) % 7 == 0, "XX").otherwise(F.when(p % 13 != 0, F.concat(F.lit("c"), _text(p % 2))))
+        return self._crowd((p * 3 + s) % 11 != 0, ((p * 7 + s) % 5, (p + s * 5) % 4), name, F.lit(1.0))
+
     def _label_set(self, skip: int, places: tuple[int, int], quality: Column) -> DataFrame:
         kept = self.table("labels").filter(F.col("doc_id") % skip != 0)
         names = F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.operators import results, tiling
-from boxloom.operators.nms import merge_detections
+from boxloom.operators.nms import in_order, merge_detections
 from boxloom.plans.fixtures import Inputs
 from boxloom.plans.registry import query
 
@@ -96,6 +96,28 @@ def nms(f: Inputs) -> DataFrame:
     return merge_detections(f.current(), 0.3, largest=f.largest)
 
 
+#: One run over each group of boxes that can overlap, so that no group is long.
+CROWDED = nms_sql(
+    """SELECT item_id * 100 + cluster AS item_id, pos, coalesce(class_name, '') AS class_name, confidence, x1, y1, x2, y2 FROM crowd""", "0.5e0"
+).replace("WITH src", "WITH RECURSIVE src", 1)
+
+
+@query(
+    "nms_crowded",
+    f"""WITH kept AS ({CROWDED}),
+firsts AS (SELECT item_id, class_name, min(pos) AS first FROM crowd GROUP BY 1, 2)
+SELECT c.item_id, c.pos, c.class_name, c.confidence, c.x1, c.y1, c.x2, c.y2,
+       row_number() OVER (PARTITION BY c.item_id ORDER BY c.confidence DESC, f.first, c.pos) AS rank
+FROM crowd c JOIN kept k ON k.item_id = c.item_id * 100 + c.cluster AND k.pos = c.pos
+JOIN firsts f ON f.item_id = c.item_id AND f.class_name IS NOT DISTINCT FROM c.class_name""",
+    "crowd",
+)
+def nms_crowded(f: Inputs) -> DataFrame:
+    """Images far beyond what one row can nest, with the order of the result."""
+    boxes = f.crowd()
+    return in_order(merge_detections(boxes, 0.5), boxes)
+
+
 @query(
     "tiled_merge",
     nms_sql(
