@@ -137,6 +137,13 @@ def imagenet_manifest(numbered: DataFrame, listing: DataFrame, detections: DataF
     )
 
 
+def imagenet_files(manifest: DataFrame, root: str) -> DataFrame:
+    """``path, source`` of the copies a folder-per-class export of ``root`` is made of."""
+    return manifest.select(
+        F.col("destination").alias("path"), F.concat(F.lit(f"{root.rstrip('/')}/"), "source").alias("source")
+    )
+
+
 def export_summary(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """How many images and annotations an export holds."""
     tagged = images.select(F.lit(True).alias("image")).unionByName(

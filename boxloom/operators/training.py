@@ -222,6 +222,24 @@ def write_labels(lines: DataFrame, manifest: DataFrame, path: str) -> None:
     )
 
 
+def dataset_files(lines: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
+    """``path, part, content, source`` of a training set as a trainer reads it.
+
+    Every label file of ``manifest`` holds the lines of its image by place, one row each,
+    and every image file is a copy of its image below ``root``.
+    """
+    placed = lines.join(manifest.select("item_id", "label_file"), "item_id")
+    labels = placed.select(
+        F.col("label_file").alias("path"), F.col("pos").cast("bigint").alias("part"),
+        F.concat(line_text(), F.lit("\n")).alias("content"), F.lit(None).cast("string").alias("source"),
+    )
+    images = manifest.select(
+        F.col("image_file").alias("path"), F.lit(0).cast("bigint").alias("part"), F.lit(None).cast("string").alias("content"),
+        F.concat(F.lit(f"{root.rstrip('/')}/"), "rel_path").alias("source"),
+    )
+    return labels.unionByName(images)
+
+
 def data_yaml(classes: DataFrame, path: str) -> DataFrame:
     """Lines of the dataset descriptor, in order, as ``line_no, line``."""
     head = [f"path: {path}", "train: images/train", "val: images/val", "names:"]

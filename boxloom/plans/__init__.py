@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("diffs", "review", "lifecycle", "transfer", "training", "tiles", "clips", "scoring")
+GROUPS = ("diffs", "review", "lifecycle", "transfer", "training", "tiles", "clips", "scoring", "files")
 
 
 def load_all():

@@ -353,16 +353,15 @@ CVAT_KIND = """CASE WHEN task = 'segment' AND has_mask THEN 'polygon' WHEN task
  WHEN has_box THEN 'rectangle' WHEN task = 'classify' THEN 'tag' END"""
 
 
-@query(
-    "cvat_shapes",
-    f"""SELECT item_id, pos, CASE WHEN confidence = round(confidence, 1) THEN printf('%.1f', confidence) ELSE printf('%.2f', confidence) END AS confidence,
+CVAT = f"""SELECT item_id, pos, CASE WHEN confidence = round(confidence, 1) THEN printf('%.1f', confidence) ELSE printf('%.2f', confidence) END AS confidence,
        class_name AS label, type, CAST(CASE type WHEN 'polygon' THEN 6 WHEN 'points' THEN CASE WHEN has_scores THEN 4 ELSE 2 END
          WHEN 'rectangle' THEN 4 ELSE 0 END AS INTEGER) AS n_points,
        CASE type WHEN 'tag' THEN NULL WHEN 'points' THEN CASE WHEN has_scores THEN x1 ELSE {exact('x1 + 0.125e0', 2)} END ELSE x1 END AS p0,
        CASE type WHEN 'tag' THEN NULL WHEN 'points' THEN CASE WHEN has_scores THEN x2 ELSE y1 END ELSE y1 END AS p1
-FROM (SELECT *, {CVAT_KIND} AS type FROM shaped) WHERE type IS NOT NULL""",
-    "shaped",
-)
+FROM (SELECT *, {CVAT_KIND} AS type FROM shaped) WHERE type IS NOT NULL"""
+
+
+@query("cvat_shapes", CVAT, "shaped")
 def cvat_shapes(f: Inputs) -> DataFrame:
     return labeltools.cvat_shapes(shaped(f)).select(
         "item_id", "pos", "confidence", "label", "type", F.array_size("points").alias("n_points"),
