@@ -5,12 +5,16 @@ before it holds. Written as rounds: every image asks for its current candidate,
 a name goes to the earliest path asking for it, everybody else moves on. Rounds
 end when nobody is turned away; names and rounds agree with choosing one by one
 because all names rank the images the same way.
+
+Images that share a folded name would be turned away once for every number. They are
+ranked by path instead and go to the gap of their rank: of r images with the same numbers
+to choose from, the next can at best have the r-th number that no image before all of them
+holds. So a name that any number of images share takes a bounded number of rounds; more are
+needed only for names that images between them hold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +23,49 @@ from boxloom.operators.ranking import row_numbers
 from boxloom.session import durable
 
 
+def _gaps(asking: DataFrame, mark: str) -> DataFrame:
+    """``_path, _gap``: the least number that each image of a crowded folded name can get,
+    0 for the folded name itself.
+
+    ``asking`` carries the number each image wants next, ``_next``, and the name it holds,
+    null if it was turned away.
+    """
+    chain = F.lower(F.col("_folded"))
+    members = asking.filter(F.col("_next") >= 0).select(chain.alias("_chain"), F.col("rel_path").alias("_path"), "_next")
+    chains = members.groupBy("_chain").agg(F.min("_path").alias("_first"), F.max("_next").alias("_most")).filter("_most > 0")
+    chains = durable(chains.drop("_most"))
+    ranked = row_numbers(members.join(chains, "_chain").select("_chain", "_path"), ["_chain"], [F.col("_path")], "_n")
+    # names that images before all members hold, as numbers of the chain they belong to
+    parts = F.regexp_extract("_held", rf"(?s)^(.*){mark}([1-9][0-9]{{0,17}})$", 1), F.regexp_extract("_held", rf"(?s)^(.*){mark}([1-9][0-9]{{0,17}})$", 2)
+    held = asking.filter(F.col("_held").isNotNull()).select(F.lower("_held").alias("_held"), F.col("rel_path").alias("_by"))
+    places = F.array(
+        F.struct(F.col("_held").alias("_chain"), F.lit(0).cast("bigint").alias("_number")),
+        F.struct(parts[0].alias("_chain"), F.try_to_number(parts[1], F.lit("9" * 18)).cast("bigint").alias("_number")),
+    )
+    taken = held.select("_by", F.inline(places)).filter(F.col("_number").isNotNull())
+    taken = taken.join(chains, "_chain").filter(F.col("_by") < F.col("_first")).select("_chain", "_number").distinct()
+    # the k-th number taken shifts every rank from number - k on by one
+    shifts = row_numbers(taken, ["_chain"], [F.col("_number")], "_k").select(
+        "_chain", (F.col("_number") - F.col("_k") + 1).alias("_at"), F.lit(None).cast("string").alias("_path")
+    )
+    merged = shifts.unionByName(ranked.select("_chain", (F.col("_n") - 1).alias("_at"), "_path"))
+    numbered = row_numbers(merged, ["_chain"], [F.col("_at"), F.col("_path").isNotNull(), F.coalesce("_path", F.lit(""))], "_n")
+    return numbered.filter(F.col("_path").isNotNull()).select("_path", (F.col("_n") - 1).alias("_gap"))
+
+
 def first_free_names(
-    images: DataFrame,
-    plain: Column,
-    folded: Column,
-    out: str,
-    numbered: Callable[[Column, Column], Column] | None = None,
+    images: DataFrame, plain: Column, folded: Column, out: str, mark: str | None = None
 ) -> DataFrame:
     """Add ``out``: the first free one of plain, folded, folded_1, folded_2, …
 
-    Without ``numbered`` the folded name is final and may repeat. Paths are unique.
+    ``mark`` stands before the number. Without it the folded name is final and may repeat.
+    Paths are unique.
     """
     key = F.lower(F.col("_name"))
-    last_resort = F.lit(numbered is None) & (F.col("_try") > 0)
+    last_resort = F.lit(mark is None) & (F.col("_try") > 0)
+    zero = F.lit(0).cast("bigint")
     asking = durable(
-        images.withColumns({"_plain": plain, "_folded": folded, "_try": F.lit(0), "_name": plain})
+        images.withColumns({"_plain": plain, "_folded": folded, "_try": zero, "_name": plain})
     )
     while True:
         holders = asking.groupBy(key.alias("_key")).agg(F.min("rel_path").alias("_holder"))
@@ -41,13 +73,21 @@ def first_free_names(
             "_lost", (F.col("_holder") != F.col("rel_path")) & ~last_resort
         )
         judged = durable(judged.drop("_key", "_holder"))
-        if judged.filter("_lost").isEmpty():
+        turned = judged.agg(F.max(F.when(F.col("_lost"), F.col("_try")))).first()[0]
+        if turned is None:
             return judged.select(*images.columns, F.col("_name").alias(out))
-        following = F.col("_try") + F.col("_lost").cast("int")
-        name = F.when(following == 0, F.col("_plain")).when(following == 1, F.col("_folded"))
-        if numbered is not None:
-            name = name.otherwise(numbered(F.col("_folded"), following - 1))
-        asking = judged.withColumns({"_try": following, "_name": name}).drop("_lost")
+        following = F.col("_try") + F.col("_lost").cast("bigint")
+        if turned > 0:
+            wanted = judged.select(
+                "rel_path", "_folded", (following - 1).alias("_next"), F.when(~F.col("_lost"), F.col("_name")).alias("_held")
+            )
+            judged = judged.join(_gaps(wanted, mark), F.col("rel_path") == F.col("_path"), "left")
+            following = F.greatest(following, F.coalesce(F.col("_gap") + 1, zero))
+        moved = judged.withColumn("_try", following)
+        name = F.when(F.col("_try") == 0, F.col("_plain")).when(F.col("_try") == 1, F.col("_folded"))
+        if mark is not None:
+            name = name.otherwise(F.concat("_folded", F.lit(mark), (F.col("_try") - 1).cast("string")))
+        asking = durable(moved.withColumn("_name", name).drop("_lost", "_path", "_gap"))
 
 
 def unique_names(items: DataFrame) -> DataFrame:

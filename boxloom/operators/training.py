@@ -133,7 +133,7 @@ def unique_stems(images: DataFrame) -> DataFrame:
         images,
         plain=stem(F.col("rel_path")),
         folded=folded,
-        numbered=lambda name, n: F.concat(name, F.lit("_"), n.cast("string")),
+        mark="_",
         out="stem",
     )
 
