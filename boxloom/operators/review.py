@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxloom.functions.numbers import margin_priority, py_round
 from boxloom.functions.text import base_name, contains_like
+from boxloom.operators.selection import medians
 from boxloom.schema import DEFAULT_PAGE, MAX_PAGE
 
 
@@ -205,34 +206,19 @@ def visible_class_counts(detections: DataFrame, threshold: float) -> DataFrame:
 def timing_profile(items: DataFrame, by: Sequence[str]) -> DataFrame:
     """Median latency and mean throughput of recorded inference times."""
     ms = F.col("inference_ms")
-    # Equal times are counted once, so the middle comes from a running sum of counts.
-    counted = items.filter((F.col("status") == "done") & (ms > 0)).groupBy(*by, ms.alias("ms")).agg(F.count("*").alias("n"))
-    within = Window.partitionBy(*by)
-    placed = counted.select(
-        *by, "ms", "n",
-        F.sum("n").over(within.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.sum("n").over(within).alias("total"),
+    timed = items.filter((F.col("status") == "done") & (ms > 0)).select(*by, F.lit(0).alias("_all"), ms.alias("ms"))
+    keys = [*by, "_all"]
+    means = timed.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(
+        F.count("*").alias("runs"), (F.sum("ms") / F.count("*")).alias("_throughput")
     )
-
-    def holds(place: Column) -> Column:
-        place = F.floor(place)
-        return F.when((F.col("upto") - F.col("n") < place) & (place <= F.col("upto")), F.col("ms"))
-
-    return (
-        placed.groupBy(*by)
-        .agg(
-            F.sum("n").alias("runs"),
-            ((F.max(holds((F.col("total") + 1) / 2)) + F.max(holds((F.col("total") + 2) / 2))) / 2).alias("_latency"),
-            (F.sum(F.col("ms") * F.col("n")) / F.sum("n")).alias("_throughput"),
-        )
-        .select(
-            *by,
-            "runs",
-            py_round(F.col("_latency"), 2).alias("latency_ms"),
-            py_round(F.lit(1000.0) / F.col("_latency"), 1).alias("latency_fps"),
-            py_round(F.col("_throughput"), 2).alias("throughput_ms_per_image"),
-            py_round(F.lit(1000.0) / F.col("_throughput"), 1).alias("throughput_fps"),
-        )
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    return medians(timed, keys, "ms").join(means, on).select(
+        *by,
+        "runs",
+        py_round(F.col("median"), 2).alias("latency_ms"),
+        py_round(F.lit(1000.0) / F.col("median"), 1).alias("latency_fps"),
+        py_round(F.col("_throughput"), 2).alias("throughput_ms_per_image"),
+        py_round(F.lit(1000.0) / F.col("_throughput"), 1).alias("throughput_fps"),
     )
 
 

@@ -12,6 +12,7 @@ from boxloom.plans.fixtures import Inputs
 from boxloom.plans.registry import query
 from boxloom.session import shared_folder
 from boxloom.streaming import live
+from boxloom.streaming.upsert import ResultStore, upsert_stream
 
 CAP = 30
 
@@ -105,3 +106,47 @@ def track_stream(f: Inputs) -> DataFrame:
     finally:
         running.stop()
     return f.spark.read.schema(tracked.schema).parquet(out)
+
+
+RESULT = "clip bigint, idx bigint, status string, detection_count bigint"
+FRAMES = """SELECT clip, idx, CASE WHEN idx % 11 = 5 AND idx % 3 <> 0 THEN 'error' ELSE 'done' END AS status,
+       CAST(CASE WHEN idx % 11 = 5 AND idx % 3 <> 0 THEN 0 WHEN idx % 5 = 4 THEN 2 ELSE 3 END AS BIGINT) AS detection_count FROM frames"""
+
+
+def interrupted(f: Inputs) -> ResultStore:
+    """Results of all frames from a stream that is stopped and started again; frames that
+    failed at first and can be read later come a second time."""
+    folder = f"{shared_folder(f.spark)}/results-{uuid.uuid4().hex}"
+    idx = F.col("idx")
+    fails = idx % 11 == 5
+    found = f.frames().select(
+        "clip", "idx", F.when(fails, "error").otherwise("done").alias("status"),
+        F.when(fails, 0).when(idx % 5 == 4, 2).otherwise(3).cast("bigint").alias("detection_count"),
+    )
+    again = found.filter(fails & (idx % 3 == 0)).select(
+        "clip", "idx", F.lit("done").alias("status"), F.when(idx % 5 == 4, 2).otherwise(3).cast("bigint").alias("detection_count")
+    )
+    store = ResultStore(f"{folder}/store")
+    for rows in (found.filter(idx % 2 == 0), found.filter(idx % 2 == 1), again):
+        rows.write.mode("append").parquet(f"{folder}/frames")
+        stream = f.spark.readStream.schema(RESULT).parquet(f"{folder}/frames")
+        upsert_stream(stream, store, f"{folder}/progress", once=True).awaitTermination()
+    return store
+
+
+@query("stream_restart", FRAMES, "frames")
+def stream_restart(f: Inputs) -> DataFrame:
+    """Every frame once, with its last result."""
+    return interrupted(f).latest(f.spark, RESULT, ["clip", "idx"])
+
+
+@query(
+    "stream_progress",
+    """SELECT CAST(count(*) FILTER (idx % 11 <> 5) + count(*) FILTER (idx % 11 = 5 AND idx % 3 = 0) AS BIGINT) AS processed,
+       CAST(count(*) FILTER (idx % 11 = 5) AS BIGINT) AS failed,
+       CAST(count(*) + count(*) FILTER (idx % 11 = 5 AND idx % 3 = 0) AS BIGINT) AS total FROM frames""",
+    "frames",
+)
+def stream_progress(f: Inputs) -> DataFrame:
+    """What was observed while the batches were saved."""
+    return interrupted(f).ledger(f.spark).agg(*[F.sum(c).alias(c) for c in ("processed", "failed", "total")])
