@@ -264,6 +264,35 @@ def coco_round_trip(f: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "coco_packed",
+    """SELECT row_number() OVER (ORDER BY item_id, pos) AS id, item_id + 1 AS image_id, concat('crowd_', item_id, '.jpg') AS file_name,
+       x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, x1 AS key_x, CASE WHEN confidence > 0.5e0 THEN 2e0 WHEN confidence > 0 THEN 1e0 ELSE 0e0 END AS key_v,
+       CAST(CASE WHEN confidence > 0 THEN 1 ELSE 0 END AS INTEGER) AS num_keypoints, 'kp0' AS key_name
+FROM crowd""",
+    "crowd",
+)
+def coco_packed(f: Inputs) -> DataFrame:
+    """Images with very many annotations and keypoints, in documents of bounded size, each
+    read back with the names of its keypoints."""
+    path = f"{shared_folder(f.spark)}/packed-{uuid.uuid4().hex}"
+    boxes = f.crowd().withColumn("keypoints", F.array(F.array("x1", "y1", "confidence")))
+    images = boxes.select("item_id").distinct().select(
+        (F.col("item_id") + 1).alias("id"), F.concat(F.lit("crowd_"), F.col("item_id").cast("string"), F.lit(".jpg")).alias("file_name"),
+        F.lit(100_100).alias("width"), F.lit(200).alias("height"), "item_id",
+    )
+    classes = exporting.class_index(boxes, ["c0", "c1"])
+    rows = exporting.coco_annotations(images, boxes, classes, 0.0)
+    coco.write_packed(images.drop("item_id"), rows, exporting.coco_categories(classes, 1), path, entries=500)
+    shown, drawn, named = coco.read_coco(f.spark, path)
+    names = named.groupBy("doc_id").agg(F.min(F.get("keypoints", F.lit(0))).alias("key_name"))
+    shown = shown.select("doc_id", F.col("id").alias("image_id"), "file_name")
+    return drawn.join(shown, ["doc_id", "image_id"]).join(names, "doc_id").select(
+        "id", "image_id", "file_name", *[F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")],
+        F.get("keypoints", F.lit(0)).alias("key_x"), F.get("keypoints", F.lit(2)).alias("key_v"), "num_keypoints", "key_name",
+    )
+
+
 @query(
     "coco_keypoints",
     f"""WITH v AS (SELECT *, CASE WHEN has_scores AND confidence > 0.5e0 THEN 2e0 WHEN has_scores AND confidence > 0 THEN 1e0 ELSE 0e0 END AS v1,

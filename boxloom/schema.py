@@ -50,10 +50,15 @@ COCO_ANNOTATION = T.StructType(
         T.StructField("bbox", T.ArrayType(T.DoubleType())),
         T.StructField("segmentation", T.ArrayType(T.ArrayType(T.DoubleType()))),
         T.StructField("keypoints", T.ArrayType(T.DoubleType())),
+        T.StructField("num_keypoints", T.IntegerType()),
     ]
 )
 COCO_CATEGORY = T.StructType(
-    [T.StructField("id", T.StringType()), T.StructField("name", T.StringType())]
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("keypoints", T.ArrayType(T.StringType())),
+    ]
 )
 COCO_DOCUMENT = T.StructType(
     [
