@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.tables import by_batch, narrow, stored
+from boxloom.llm.tables import by_batch, narrow, stored, unused
 from boxloom.llm.words import ALNUM, as_long, chunks, grams, list_column
 
 #: Words in a window.
@@ -67,8 +67,12 @@ def _item_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
                            ["item", "window", "size", "tokens"])
 
 
-def _segments(batch: pa.RecordBatch, known: np.ndarray, shingles: list[int], shortest: int) -> pa.RecordBatch:
-    """Word counts, and the stretches of at least ``shortest`` words made of known shingles."""
+def _segments(batch: pa.RecordBatch, known: np.ndarray, shingles: list[int], shortest: int, window: int) -> pa.RecordBatch:
+    """Word counts, and the stretches of at least ``shortest`` words made of known shingles.
+
+    A stretch is given in parts of 2 * window tokens, each with the words that a window
+    around one of its tokens can reach, so no row is longer than that.
+    """
     counts, found = [], []
     slots = (1 << BITMAP_BITS) - 1
     for chunk in chunks(batch.column("text"), ALNUM, True):
@@ -90,15 +94,17 @@ def _segments(batch: pa.RecordBatch, known: np.ndarray, shingles: list[int], sho
         own: list[list[dict]] = [[] for _ in chunk.counts]
         rows = chunk.row_of()
         for first, last in zip(begins[keep].tolist(), closes[keep].tolist(), strict=True):
-            raw = chunk.data[chunk.starts[first] : chunk.ends[last - 1]].tobytes().translate(_SPACE)
-            tokens, places = [], []
             base = int(chunk.bounds[rows[first]])
-            for at, values in hits:
-                a, b = np.searchsorted(at, (first, last))
-                tokens += values[a:b].tolist()
-                places += (at[a:b] - base).tolist()
-            own[rows[first]].append({"start": first - base, "words": b" ".join(raw.split()).decode("utf-8", "replace"),
-                                     "tokens": tokens, "places": places})
+            for part in range(first, last, 2 * window):
+                begin, end = max(first, part - window + 1), min(last, part + 3 * window)
+                tokens, places = [], []
+                for at, values in hits:
+                    a, b = np.searchsorted(at, (part, min(last, part + 2 * window)))
+                    tokens += values[a:b].tolist()
+                    places += (at[a:b] - base).tolist()
+                raw = chunk.data[chunk.starts[begin] : chunk.ends[end - 1]].tobytes().translate(_SPACE)
+                own[rows[first]].append({"start": begin - base, "words": b" ".join(raw.split()).decode("utf-8", "replace"),
+                                         "tokens": tokens, "places": places})
         counts.append(chunk.counts)
         found += own
     n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -138,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     shortest = min((r["size"] for r in sizes), default=1)
     known = known_bitmap(windows)
     own = narrow(docs, doc_id="doc_id", text="text")
-    scan = by_batch(partial(_segments, known=known, shingles=shingles, shortest=shortest))
+    scan = by_batch(partial(_segments, known=known, shingles=shingles, shortest=shortest, window=window))
     scanned = stored(own.mapInArrow(scan, _SCANNED).withColumn("row", F.monotonically_increasing_id()))
 
     places = scanned.select("row", F.explode("segments").alias("s")).select(
@@ -192,10 +198,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     Rows are told apart by id and text, so documents that share an id are judged alone.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    marked = docs.withColumn("_key", key)
+    name = unused(docs, "_key")
+    marked = docs.withColumn(name, key)
     found = contamination(docs.select(key.alias("doc_id"), "text"), items, window)
-    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return marked.join(bad, "_key", "left_anti").drop("_key")
+    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return marked.join(bad, name, "left_anti").drop(name)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -46,7 +46,12 @@ _LINE = _CONTAINER | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre tr tbody thead tfoot caption figure address hr details summary".split()
 )
 #: Elements whose start closes an open paragraph, and what closes what.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+           "option": {"option"}}
+#: What may stand in a head; the start of anything else ends it.
+_IN_HEAD = frozenset("title meta link script style base noscript template".split())
+#: What may stand in a select; the start of anything else that makes a line ends an option and its select.
+_IN_SELECT = frozenset("option optgroup hr".split())
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|sidebar|side|widget|header|masthead|"
     r"footer|comments?|comment-?list|replies|disqus|cookies?|consent|notice|alert|popup|modal|subscribe|newsletter|social|share|"
@@ -70,6 +75,7 @@ class _Page(HTMLParser):
         self.named = 0
         self.raw = 0
         self.links = 0
+        self.inner = 0
         self.containers = [0]
         #: Of every container: tag, enclosing container, and for main and article the
         #: elements never by class around it, if it is open to start afresh.
@@ -86,6 +92,7 @@ class _Page(HTMLParser):
         self.raw -= raw
         if name in _CONTAINER:
             self.containers.pop()
+            self.inner -= name in ("main", "article")
         if name == "a":
             self.links -= 1
         if name in _LINE or never or named:
@@ -93,6 +100,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.lines[-1][1] += 1
+        if self.raw:
+            self._end_unclosed(tag)
         closes = _CLOSES.get(tag, ())
         if tag in _LINE and self.open and self._top_block() == "p":
             closes = {"p"}
@@ -105,7 +114,8 @@ class _Page(HTMLParser):
                 self.lines[-1][0].append(" ")
             return
         named = dict(attrs)
-        words = f"{named.get('class') or ''} {named.get('id') or ''}"
+        # inside main and article, ids name parts of the text
+        words = f"{named.get('class') or ''} {'' if self.inner else named.get('id') or ''}"
         never = tag in _NEVER or (named.get("role") or "").lower() in _ROLES or "hidden" in named
         whole = tag in ("html", "body", "main", "article")
         never = never or (not whole and _COMMENTS.search(words) is not None)
@@ -119,12 +129,23 @@ class _Page(HTMLParser):
             depth = self.named if tag in ("main", "article") and not self.never else None
             self.made.append((tag, self.containers[-1], depth))
             self.containers.append(len(self.made) - 1)
+            self.inner += tag in ("main", "article")
         if tag == "a":
             self.links += 1
         if tag in _LINE or never or by_name:
             self._line()
             self.lines[-1][1] += 1
 
+    def _end_unclosed(self, tag: str) -> None:
+        """Close a head or a select whose end the page leaves out."""
+        tops = [name for name, _, _, _ in self.open[:2]]
+        if "head" in tops and (tag in ("body", "main", "article") or (self.open[-1][0] == "head" and tag not in _IN_HEAD)):
+            while len(self.open) > tops.index("head"):
+                self._close(self.open[-1][0])
+        elif tag in _LINE and tag not in _IN_SELECT and self.open[-1][0] in ("option", "select"):
+            while self.open and self.open[-1][0] in ("option", "optgroup", "select"):
+                self._close(self.open[-1][0])
+
     def _top_block(self) -> str:
         """The innermost open element that makes a line."""
         return next((name for name, never, named, _ in reversed(self.open) if name in _LINE or never or named), "")

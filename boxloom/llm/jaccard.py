@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.graph import components
-from boxloom.llm.tables import by_batch, narrow, release, stored
+from boxloom.llm.tables import by_batch, narrow, release, stored, unused
 from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column, mix
 
 #: Cost of an inverted-list entry in units of an enumerated subset.
@@ -368,11 +368,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, repeated rows
-    once; documents without shingles all stay."""
-    found = jaccard_components(docs, shingle, percent)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce("doc_id", F.lit(_LAST)).alias("_id")
-    ).distinct()
-    marked = docs.withColumn("_id", F.coalesce("doc_id", F.lit(_LAST)))
-    return marked.join(first, "_id", "left_semi").dropDuplicates(["_id", "text"]).drop("_id")
+    """Of each component the row with the smallest doc_id (none: last; then by a hash of
+    its text), repeated rows once; documents without shingles all stay.
+
+    Rows are told apart by id and text: each row of an id that several texts share, or
+    without one, is judged alone."""
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), shingle, percent)
+    ids = docs.select(key.alias("key"), F.coalesce("doc_id", F.lit(_LAST)).alias("id")).distinct()
+    component = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    name = unused(docs, "_key")
+    first = component.join(ids, "key").groupBy("component").agg(F.min(F.struct("id", "key")).alias("first")).select(
+        F.col("first.key").alias(name)
+    )
+    return docs.withColumn(name, key).join(first, name, "left_semi").dropDuplicates([name, "text"]).drop(name)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.tables import by_batch, narrow, stored
+from boxloom.llm.tables import by_batch, narrow, stored, unused
 from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column
 
 #: Words of a window, and of a first prefix.
@@ -242,21 +242,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     listed, cleaned = removals(docs)
     gone = listed.filter(F.col("copy") & (F.col("n_words") >= WINDOW)).select("id", "d1", "d2").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
+    own = {name: unused(docs, f"_{name}") for name in ("id", "d1", "d2", "kept")}
     marked = docs.select(
-        "*", F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.xxhash64(text).alias("_d1"),
-        F.xxhash64(text, F.lit(1)).alias("_d2"),
+        "*", F.coalesce("doc_id", F.lit(_LAST)).alias(own["id"]), F.xxhash64(text).alias(own["d1"]),
+        F.xxhash64(text, F.lit(1)).alias(own["d2"]),
     )
-    changes = cleaned.select(F.col("id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("kept").alias("_kept"))
-    changes = changes.unionByName(
-        gone.select(F.col("id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.lit("").alias("_kept"))
-    )
-    joined = marked.join(changes, ["_id", "_d1", "_d2"], "left").filter("_kept is null or _kept <> ''")
+    changes = cleaned.select("id", "d1", "d2", "kept").unionByName(gone.withColumn("kept", F.lit(""))).withColumnsRenamed(own)
+    kept = F.col(own["kept"])
+    joined = marked.join(changes, [own["id"], own["d1"], own["d2"]], "left").filter(kept.isNull() | (kept != ""))
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(F.coalesce("_kept", "text").alias(name))
+            columns.append(F.coalesce(kept, "text").alias(name))
         elif name == "n_chars":
-            columns.append(F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("bigint").alias(name))
+            columns.append(F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast("bigint").alias(name))
         else:
             columns.append(F.col(f"`{name}`"))
     return joined.select(columns)

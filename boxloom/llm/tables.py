@@ -35,6 +35,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def narrow(df: DataFrame, **columns: Column | str) -> DataFrame:
     """The named columns only, under the operator's own names; extra columns of the
     input, whatever they are called, stay out of its joins."""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import brute
 import pytest
@@ -39,8 +40,29 @@ def test_jaccard_family_of_unlinked_copies(spark):
 def test_one_of_each(documents, texts):
     kept = jaccard.one_of_each(documents)
     assert kept.columns == documents.columns
-    first = {(d, t) for (d, t), (_, _, c) in zip(texts, brute.components(texts, 5, 80), strict=True) if d == c}
-    same(rows(kept, "doc_id", "text"), first)
+    distinct = sorted(set(texts), key=lambda row: (row[0] is None, row[0] or 0))
+    groups = {}
+    for row, (_, _, c) in zip(distinct, brute.components([(i, t) for i, (_, t) in enumerate(distinct)], 5, 80), strict=True):
+        groups.setdefault(c, []).append(row)
+    found = rows(kept, "doc_id", "text")
+    assert len(found) == len(groups)
+    for group in groups.values():  # rows of the smallest id are told apart by a hash
+        assert len([row for row in group if row in found]) == 1
+        assert [row[0] for row in group if row in found] == [group[0][0]]
+
+
+def test_stages_take_columns_of_any_name(spark, documents):
+    names = ["_id", "_d1", "_d2", "_kept", "_key", "_KEY", "id", "key"]
+    names = [n for i, n in enumerate(names) if n.lower() not in {m.lower() for m in names[:i]}]
+    more = documents
+    for name in names:
+        more = more.withColumn(name, documents["doc_id"] + 7)
+    items = spark.createDataFrame([("b", "a b c")], "item_id string, text string")
+    for stage in (jaccard.one_of_each, substrings.without_repeats, lambda df: decontamination.decontaminate(df, items)):
+        found, plain = stage(more), stage(documents)
+        assert found.columns == more.columns
+        same(rows(found, "doc_id", "text"), rows(plain, "doc_id", "text"))
+        assert found.filter("not (_id <=> doc_id + 7)").isEmpty()
 
 
 def test_jaccard_plan_finds_every_linkable_pair_of_sizes():
@@ -194,6 +216,17 @@ def test_decontamination(spark, documents, texts):
     same(rows(kept, "doc_id", "text"), [d for d, e in zip(texts, expected, strict=True) if not e[5]])
 
 
+def test_decontamination_of_a_document_that_is_one_long_item(spark):
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000))
+    docs = as_documents(spark, [(1, text), (2, f"before {text} after"), (3, text[:300]), (4, "a b c")])
+    items = spark.createDataFrame([("long", text), ("short", "a b c")], "item_id string, text string")
+    found = rows(decontamination.contamination(docs, items), "doc_id", "n_words", "n_hit", "items")
+    part = len(text[:300].split())
+    hit = sum(w == v for w, v in zip(text[:300].split(), text.split(), strict=False))
+    same(found, [(1, 20_000, 20_000, ["long"]), (2, 20_002, 20_000, ["long"]), (3, part, hit, ["long"]), (4, 3, 3, ["short"])])
+
+
 def test_decontamination_without_items(spark, documents, texts):
     found = decontamination.report(decontamination.contamination(documents, spark.createDataFrame([], ITEMS)))
     same(rows(found, "doc_id", "n_hit"), [(d, 0) for d, _ in texts])
@@ -330,6 +363,20 @@ def test_extraction_keeps_short_parts_beside_long_ones():
     assert extraction.main_text(apart) == f"{long} {short} {long}"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<html><head><title>x</title><body><article><p>One text here.</p></article>", "One text here."),
+    ("<html><head><title>x</title><meta charset=utf-8><article><p>One text here.</p></article>", "One text here."),
+    ("<head><script>var a;</script><div><p>One text here.</p></div>", "One text here."),
+    ("<body><article><p>First part.</p><select><option>a<option>b<p>Second part.</p></article>", "First part. Second part."),
+    ("<body><article><p>First part.</p><form><select><option>a</form><p>Second part.</p></article>", "First part. Second part."),
+    ("<body><article><p>First part.</p><section id=search><p>Second part.</p></section></article>", "First part. Second part."),
+    ("<body><div id=search><p>Look here.</p></div><article><p>First part.</p></article>", "First part."),
+    ("<body><article><ul><li>One<li>Two</ul><p>A<p>B<table><tr><td>C<td>D</table></article>", "One Two A B C D"),
+])
+def test_extraction_with_ends_left_out(html, text):
+    assert extraction.main_text(html) == text
+
+
 def test_extraction_keeps_pages_apart(spark):
     pages = spark.createDataFrame([(*p, "d", 1) for p in pages_of()], PAGES)
     found = rows(extraction.extract(pages), "page_id", "n_chars")
@@ -347,6 +394,19 @@ def test_licenses(documents, texts):
     assert by_id[at["This work is licensed under the GNU General Public License, version 3."]]["labels"] == "gpl,gpl-3"
 
 
+def test_licenses_of_a_text_full_of_phrases():
+    prepared = licenses.prepare(licenses.NOTICES)
+    notice = prepared[0].text
+    text = f"{'cc by x ' * 200_000}{(notice + ' y ') * 2_000}"
+    start = time.monotonic()
+    found = licenses.scan_text(text.encode(), prepared, [n.pattern() for n in prepared])
+    assert time.monotonic() - start < 60
+    assert (found["n_base"], found["first_word"]) == (200_000, 0)
+    assert found["last_word"] == 3 * 199_999
+    assert len(found["spans"]) == 2_000
+    assert all(a["end"] <= b["start"] for a, b in zip(found["spans"], found["spans"][1:], strict=False))
+
+
 def test_fuzzy_search_finds_every_notice_within_its_edits():
     rng = random.Random(4)
     notices = licenses.prepare()
