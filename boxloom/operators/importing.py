@@ -4,18 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boxloom.functions.geometry import corners_from_coco, keypoints_from_flat, polygon_from_flat
 from boxloom.functions.text import match_key
 from boxloom.operators.ranking import has_hot_group, row_numbers
 
 
+def of_documents(
+    images: DataFrame, annotations: DataFrame, categories: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of several documents with ids and places that tell documents apart.
+
+    Every document counts its own ids, so an id or place becomes ``(doc_id, id)``; a
+    missing one stays missing. Documents stand in the order of their names. All other
+    operators here take such tables as they take those of one document.
+    """
+
+    def own(df: DataFrame, *names: str) -> DataFrame:
+        return df.withColumns({
+            n: F.when(F.col(n).isNotNull(), F.struct("doc_id", F.col(n).alias("id"))) for n in names if n in df.columns
+        })
+
+    return own(images, "id", "ord"), own(annotations, "image_id", "category_id", "id", "ord"), own(categories, "id", "ord")
+
+
+def _as_written(df: DataFrame, name: str) -> Column:
+    """An id as its document gives it, as text."""
+    whole = isinstance(df.schema[name].dataType, StructType)
+    return (F.col(name)["id"] if whole else F.col(name)).cast("string")
+
+
 def clean_categories(categories: DataFrame) -> DataFrame:
     """Category id to name: the last entry of an id wins, nameless ones get one."""
     last = categories.filter(F.col("id").isNotNull()).groupBy("id").agg(
         F.max_by("name", "ord").alias("_name")
     )
-    default = F.concat(F.lit("class_"), F.col("id").cast("string"))
+    default = F.concat(F.lit("class_"), _as_written(last, "id"))
     return last.select("id", F.coalesce("_name", default).alias("name"))
 
 
@@ -83,7 +108,7 @@ def to_detections(annotations: DataFrame, categories: DataFrame) -> DataFrame:
         F.col("category_id") == F.col("_cid"),
         "left",
     )
-    fallback = F.concat(F.lit("class_"), F.col("category_id").cast("string"))
+    fallback = F.concat(F.lit("class_"), _as_written(annotations, "category_id"))
     points = "array<array<double>>"
     mask, keys = F.lit(None).cast(points), F.lit(None).cast(points)
     if "segmentation" in annotations.columns:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from boxloom.functions.numbers import margin_priority, py_round
@@ -63,16 +63,22 @@ def narrow(items: DataFrame) -> DataFrame:
     return items.drop("detections", "baseline")
 
 
+#: Leading sort columns of the named orders, and whether they fall.
+_ORDERS = {
+    "priority": [("review_priority", True)],
+    "most": [("detection_count", True)],
+    "least": [("detection_count", False)],
+    "disputed": [("disputed", True), ("agreement", False)],
+}
+
+
+def _keys(order: str) -> list[tuple[str, bool]]:
+    return [*_ORDERS.get(order, []), ("rel_path", False), ("item_id", False)]
+
+
 def sort_keys(order: str) -> list[Column]:
     """Sort columns of a named order; an unknown name sorts by path."""
-    path = F.col("rel_path").asc()
-    orders = {
-        "priority": [F.col("review_priority").desc(), path],
-        "most": [F.col("detection_count").desc(), path],
-        "least": [F.col("detection_count").asc(), path],
-        "disputed": [F.col("disputed").desc(), F.col("agreement").asc(), path],
-    }
-    return [*orders.get(order, [path]), F.col("item_id").asc()]
+    return [F.desc(name) if falls else F.asc(name) for name, falls in _keys(order)]
 
 
 def ordered(items: DataFrame, order: str) -> DataFrame:
@@ -90,6 +96,63 @@ def page_after(items: DataFrame, last_path: str, limit: int = DEFAULT_PAGE) -> D
     return page(items.filter(F.col("rel_path") > last_path), "path", 0, limit)
 
 
+def _beyond(name: str, falls: bool, value: object) -> Column:
+    """Values that come after ``value``; nulls are the smallest values of either direction."""
+    column = F.col(name)
+    if falls:
+        return F.lit(False) if value is None else column.isNull() | (column < F.lit(value))
+    return column.isNotNull() if value is None else column > F.lit(value)
+
+
+def rows_after(items: DataFrame, order: str, last: Row | Mapping[str, object]) -> DataFrame:
+    """The rows that follow the row ``last`` in a named order.
+
+    ``last`` has the order's sort columns. The bound on the leading column stands alone
+    as well, so it reaches the scan: on a table written by :func:`clustered`, row groups
+    before the page are not read.
+    """
+    values = last.asDict() if isinstance(last, Row) else dict(last)
+    keys = _keys(order)
+    after, same = F.lit(False), F.lit(True)
+    for name, falls in keys:
+        after = after | (same & _beyond(name, falls, values[name]))
+        same = same & F.col(name).eqNullSafe(F.lit(values[name]))
+    lead, falls = keys[0]
+    value = values[lead]
+    if value is None:
+        return items.filter(F.col(lead).isNull() & after if falls else after)
+    column = F.col(lead)
+    bound = column.isNull() | (column <= F.lit(value)) if falls else column >= F.lit(value)
+    return items.filter(bound & after)
+
+
+def page_after_row(
+    items: DataFrame, order: str, last: Row | Mapping[str, object], limit: int = DEFAULT_PAGE
+) -> DataFrame:
+    """The page that follows a given row: its cost does not grow with its depth."""
+    return page(rows_after(items, order, last), order, 0, limit)
+
+
+def clustered(items: DataFrame, order: str) -> DataFrame:
+    """The rows range-partitioned and sorted by a named order. Written as Parquet, every
+    file holds one range, whose bounds let :func:`rows_after` skip it."""
+    keys = sort_keys(order)
+    return items.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def visible_keys(order: str) -> list[Column]:
+    """Sort columns of the batch view: ``most`` or ``least`` visible detections, or
+    ``name`` without regard to case; ties by path."""
+    leads = {"most": [F.desc("visible_count")], "least": [F.asc("visible_count")]}
+    named = base_name(F.col("rel_path"))
+    return [*leads.get(order, [F.lower(named), named]), F.asc("rel_path"), F.asc("item_id")]
+
+
+def visible_page(counted: DataFrame, order: str, offset: int = 0, limit: int = DEFAULT_PAGE) -> DataFrame:
+    """A page of :func:`visible_counts` in one of the orders of the batch view."""
+    return counted.orderBy(*visible_keys(order)).offset(offset).limit(limit)
+
+
 def visible_counts(items: DataFrame, detections: DataFrame, threshold: float) -> DataFrame:
     """Items with the number of detections that survive the threshold."""
     counts = visible(detections, threshold).groupBy("item_id").agg(F.count("*").alias("visible_count"))
@@ -249,3 +312,23 @@ def rank_by_confidence(detections: DataFrame) -> DataFrame:
         "percentage",
         F.format_string("%.1f%%", py_round(F.col("confidence") * F.lit(100.0), 1)),
     ).orderBy("item_id", F.desc("confidence"), "pos")
+
+
+def serialised(detections: DataFrame) -> Column:
+    """A detection as the JSON text of a stored result; parts without a value are left out.
+
+    Takes ``class_name, confidence`` and, where the columns exist, ``kind``, ``class_id``,
+    the box ``x1, y1, x2, y2``, ``mask`` and ``keypoints`` (arrays of points) and ``track_id``.
+    """
+    has = set(detections.columns)
+    kind = F.coalesce("kind", F.lit("box")) if "kind" in has else F.lit("box")
+    parts = [F.col("class_name"), py_round(F.col("confidence"), 4).alias("confidence"), kind.alias("kind")]
+    if "class_id" in has:
+        parts.append(F.col("class_id").cast("bigint").alias("class_id"))
+    if "x1" in has:
+        box = F.transform(F.array("x1", "y1", "x2", "y2"), lambda v: py_round(v, 2))
+        parts.append(F.when(F.col("x1").isNotNull(), box).alias("box"))
+    parts += [F.col(name) for name in ("mask", "keypoints") if name in has]
+    if "track_id" in has:
+        parts.append(F.col("track_id").cast("bigint").alias("track_id"))
+    return F.to_json(F.struct(*parts))

@@ -127,6 +127,13 @@ def _order(order: str, by: str) -> None:
     def first_page(f: Inputs) -> DataFrame:
         return review.page(f.items(), order).select("item_id", "rel_path")
 
+    @query(f"after_{order}", f"SELECT item_id, rel_path FROM items ORDER BY {by}, item_id LIMIT 200 OFFSET 777", "items")
+    def page_after(f: Inputs) -> DataFrame:
+        last = review.page(f.items(), order, offset=776, limit=1).first()
+        if last is None:
+            return f.items().select("item_id", "rel_path").filter(F.lit(False))
+        return review.page_after_row(f.items(), order, last).select("item_id", "rel_path")
+
 
 _order("path", "rel_path")
 _order("priority", "review_priority DESC, rel_path")
@@ -168,6 +175,23 @@ def order_visible(f: Inputs) -> DataFrame:
     )
 
 
+def _visible(order: str, by: str) -> None:
+    @query(
+        f"visible_page_{order}",
+        f"SELECT item_id, rel_path, visible_count FROM ({VISIBLE}) ORDER BY {by}, rel_path, item_id LIMIT 200 OFFSET 100",
+        "items current_set",
+    )
+    def visible_page(f: Inputs) -> DataFrame:
+        counted = review.visible_counts(f.items(), f.current(), 0.6)
+        return review.visible_page(counted, order, 100).select("item_id", "rel_path", "visible_count")
+
+
+NAME = "regexp_extract(rel_path, '([^/]*)$', 1)"
+_visible("most", "visible_count DESC")
+_visible("least", "visible_count")
+_visible("name", f"lower({NAME}), {NAME}")
+
+
 @query("result_task", "SELECT coalesce(nullif((SELECT arg_min(task, item_id) FROM items WHERE status = 'done'), ''), 'detect') AS task", "items")
 def result_task(f: Inputs) -> DataFrame:
     return review.result_task(f.items())
@@ -287,6 +311,32 @@ def detections_json(f: Inputs) -> DataFrame:
     return with_class_id(f.current()).select("item_id", "pos", F.to_json(detection).alias("detection"))
 
 
+@query(
+    "detections_serialised",
+    f"""SELECT item_id, pos, concat('{{"class_name":"', class_name, '","confidence":', confidence, ',"kind":"',
+       CASE WHEN pos % 3 = 0 THEN 'segmentation' WHEN pos % 3 = 1 THEN 'pose' ELSE 'box' END, '"',
+       CASE WHEN id < 4 THEN concat(',"class_id":', id) ELSE '' END,
+       CASE WHEN pos % 5 <> 4 THEN concat(',"box":[', x1, ',', y1, ',', x2, ',', y2, ']') ELSE '' END,
+       CASE WHEN pos % 3 = 0 THEN concat(',"mask":[[', x1, ',', y1, '],[', x2, ',', y1, '],[', x2, ',', y2, ']]') ELSE '' END,
+       CASE WHEN pos % 3 = 1 THEN concat(',"keypoints":[[', x1, ',', y2, ',2.0]]') ELSE '' END,
+       CASE WHEN item_id % 2 = 0 THEN concat(',"track_id":', pos + 1) ELSE '' END, '}}') AS detection
+FROM (SELECT *, {CLASS_ID} AS id FROM current_set)""",
+    "current_set",
+)
+def detections_serialised(f: Inputs) -> DataFrame:
+    place = F.col("pos") % 3
+    mask = F.array(F.array("x1", "y1"), F.array("x2", "y1"), F.array("x2", "y2"))
+    shaped = with_class_id(f.current()).withColumns({
+        "class_id": F.nullif("class_id", F.lit(4)),
+        "kind": F.when(place == 0, "segmentation").when(place == 1, "pose"),
+        "mask": F.when(place == 0, mask),
+        "keypoints": F.when(place == 1, F.array(F.array("x1", "y2", F.lit(2.0)))),
+        "track_id": F.when(F.col("item_id") % 2 == 0, F.col("pos") + 1),
+    })
+    boxless = shaped.withColumns({c: F.when(F.col("pos") % 5 != 4, F.col(c)) for c in ("x1", "y1", "x2", "y2")})
+    return boxless.select("item_id", "pos", review.serialised(boxless).alias("detection"))
+
+
 @query(
     "result_row",
     """SELECT t.item_id, coalesce(c.n, 0) AS "count", CAST(printf('%.2f', t.inference_ms) AS DOUBLE) AS speed_ms,

@@ -44,6 +44,42 @@ def coco_tables(f: Inputs) -> DataFrame:
     ).unionByName(imgs.select(F.lit("image").alias("part"), "id", "ord", F.col("file_name").alias("name")))
 
 
+@query(
+    "import_documents",
+    r"""WITH dealt AS (SELECT concat('d', ord % 2) AS doc_id, ord, id // 2 AS image_id, file_name FROM coco_image
+  WHERE file_name IS NOT NULL),
+latest AS (SELECT * FROM dealt QUALIFY row_number() OVER (PARTITION BY doc_id, image_id ORDER BY ord DESC) = 1),
+owners AS (SELECT l.doc_id, l.image_id, k.item_id FROM latest l JOIN item_keys k
+  ON k.key = lower(regexp_extract(replace(l.file_name, '\', '/'), '([^/]*)$', 1))),
+named AS (SELECT concat('d', ord % 2) AS doc_id, id, coalesce(name, concat('class_', CAST(id AS VARCHAR))) AS name FROM coco_category
+  QUALIFY row_number() OVER (PARTITION BY ord % 2, id ORDER BY ord DESC) = 1),
+boxes AS (SELECT concat('d', image_id % 2) AS doc_id, image_id // 2 AS image_id, id, category_id, bx FROM coco_annotation
+  WHERE bx IS NOT NULL)
+SELECT b.doc_id, b.image_id, o.item_id, b.id AS annotation_id, b.bx AS x1,
+       CASE WHEN b.category_id IS NULL THEN 'object'
+            ELSE coalesce(c.name, concat('class_', CAST(b.category_id AS VARCHAR))) END AS class_name
+FROM boxes b JOIN owners o ON o.doc_id = b.doc_id AND o.image_id = b.image_id
+LEFT JOIN named c ON c.doc_id = b.doc_id AND c.id = b.category_id""",
+    "coco_image coco_category coco_annotation item_keys",
+)
+def import_documents(f: Inputs) -> DataFrame:
+    """Two documents that count their ids from the same start."""
+    def dealt(df: DataFrame, by: str, halved: str | None = None) -> DataFrame:
+        found = df.withColumn("doc_id", F.concat(F.lit("d"), (F.col(by) % 2).cast("string")))
+        return found.withColumn(halved, F.expr(f"{halved} div 2")) if halved else found
+
+    images, annotations, categories = importing.of_documents(
+        dealt(f.coco_images(), "ord", "id"), dealt(f.coco_annotations(), "image_id", "image_id"),
+        dealt(f.coco_categories(), "ord"),
+    )
+    found = importing.to_detections(importing.clean_annotations(annotations), importing.clean_categories(categories))
+    owners = importing.hits(importing.match_images(importing.clean_images(images), f.items()))
+    return owners.select("image_id", "item_id").join(found, "image_id").select(
+        F.col("image_id.doc_id").alias("doc_id"), F.col("image_id.id").alias("image_id"), "item_id",
+        F.col("ann_ord.id").alias("annotation_id"), "x1", "class_name",
+    )
+
+
 @query(
     "import_match",
     "SELECT i.id AS image_id, i.ord, i.file_name, k.item_id FROM imgs i LEFT JOIN item_keys k ON k.key = i.key",
