@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.tables import by_batch, narrow, stored, unused
+from boxloom.llm.tables import by_batch, done_with, narrow, stored, unused
 from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column
 
 #: Words of a window, and of a first prefix.
@@ -179,20 +179,20 @@ def _clean(batch: pa.RecordBatch) -> pa.RecordBatch:
                            ["id", "d1", "d2", "n_removed", "sha", "kept"])
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
     """What to remove from ``docs`` (doc_id, text).
 
     The first table has a row per document: doc_id, id, d1, d2, n_words, copy (its text
     is that of a smaller doc_id) and sha, the digest of all its words. The second has the
     documents that lose some but not all words by this: id, d1, d2, n_removed, sha and
-    kept, the words that stay.
+    kept, the words that stay, unless ``texts`` are not wanted.
     """
     own = narrow(docs, doc_id="doc_id", text=F.coalesce(F.col("text"), F.lit("")))
     own = own.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("d1"),
                      F.xxhash64("text", F.lit(1)).alias("d2"), "text")
     scanned = stored(own.mapInArrow(by_batch(_scan), _SCANNED))
     earliest = scanned.groupBy("d1", "d2").agg(F.min("id").alias("first_id"))
-    listed = scanned.drop("prefixes", "marks", "places").join(earliest, ["d1", "d2"])
+    listed = stored(scanned.drop("prefixes", "marks", "places").join(earliest, ["d1", "d2"]))
 
     anchors = scanned.select("id", F.explode(F.arrays_zip("prefixes", "marks", "places")).alias("a")).select(
         "id", F.col("a.prefixes").alias("prefix"), F.col("a.marks").alias("mark"), F.col("a.places").alias("place")
@@ -205,6 +205,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = stored(
         anchors.join(shared, "prefix", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     )
+    done_with(scanned)
     singles = stored(listed.filter(F.col("id") == F.col("first_id")).select("id", "d1", "d2").distinct().join(places, "id"))
     grown = stored(own.join(singles, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]))
     leaves = (
@@ -217,13 +218,15 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cleaned = stored(
         grown.join(kept, "id", "left").select("id", "d1", "d2", "text", "places", "earliest")
         .mapInArrow(by_batch(_clean), _CLEANED).filter("n_removed > 0")
+        .select("id", "d1", "d2", "n_removed", "sha", *["kept"] * texts)
     )
+    done_with(grown)
     return listed.withColumn("copy", F.col("id") > F.col("first_id")), cleaned
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, n_words, n_removed, kept_sha256``."""
-    listed, cleaned = removals(docs)
+    listed, cleaned = removals(docs, texts=False)
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
     return listed.join(cleaned.select("id", "d1", "d2", "n_removed", F.col("sha").alias("kept_sha")), ["id", "d1", "d2"], "left").select(
         F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"),

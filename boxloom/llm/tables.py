@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from boxloom.session import shared_folder
 
 Batches = Iterator[pa.RecordBatch]
 
+_noted: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,11 +26,35 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and
     an executor lost later costs nothing but the tasks it was running."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
+    if _noted:
+        _noted[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables; nothing that is still to run may read them."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def done_with(df: DataFrame) -> None:
+    """Delete a stored table that later steps no longer read."""
+    discard(df.sparkSession, *{path.rsplit("/", 1)[0] for path in df.inputFiles()})
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Add the paths of the tables stored meanwhile to ``paths``."""
+    _noted.append(paths)
+    try:
+        yield
+    finally:
+        _noted.pop()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps. It does so when the driver
     collects garbage, which a driver with little to do seldom does on its own."""
