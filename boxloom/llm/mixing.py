@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Every source lays its documents' words end to end and cuts them into blocks of
-``BLOCK_WORDS``. The output is a line of slots of one block each, cut into shards. Every
+Every source deals its documents to buckets, lays the words of a bucket end to end and cuts
+them into blocks of ``BLOCK_WORDS``; only the last block of a bucket is shorter. The output is a line of slots of one block each, cut into shards. Every
 shard draws its source counts from a multinomial with the target weights; a source's
 n-th draw takes the block at place n of a pseudorandom permutation of its blocks, with a
 new permutation for each pass over them. Draws beyond a source's quota go to sources
@@ -11,9 +11,14 @@ says. All randomness is a hash of the seed and a place, so reruns agree.
 The mix itself is a stored table, a row per slot in shard order: the drawn block's text
 and the parts it is made of. What a document gave is counted from that table.
 
+Texts travel twice: to their bucket, where they are packed and meet the slots that drew
+them, and from there to the shards. The drawn blocks are stored in between, and shards are
+written in ``PORTIONS`` steps, so that never more than the blocks, the shards so far and one
+portion's shuffle lie on disk.
+
 Driver memory holds one row per source. Offsets of documents come from two levels of
-running sums over buckets of about the square root of the number of documents, so no
-task sees a whole source.
+running sums, over buckets of about ``BUCKET_WORDS`` but never more than the square root of
+a source's documents, so no task sees a whole source.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; null sources are one
 source, the last; repeated rows and null ids are documents of their own; no documents, or
@@ -30,12 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxloom.llm.tables import narrow, release, stored
+from boxloom.llm.tables import done_with, narrow, release, stored
 from boxloom.session import shared_folder, shuffle_partitions
 
 #: Words in a block. Quotas are whole blocks, so this bounds how far a source's taken
 #: words can be from its target.
 BLOCK_WORDS = 64
+#: Words of a bucket, about.
+BUCKET_WORDS = 32768
+#: Steps in which the shards are written.
+PORTIONS = 4
 #: Slots of an output shard.
 SHARD_SLOTS = 8192
 #: Weights of the sources in code point order, repeating.
@@ -59,8 +68,9 @@ class Source:
     quota: int = 0
 
 
-def plan_sources(sizes: list[tuple[str | None, int]]) -> list[Source]:
-    """Targets and block quotas of the sources, given as ``(name, words)``.
+def plan_sources(sizes: list[tuple[str | None, int]], blocks_of: dict[str | None, int] | None = None) -> list[Source]:
+    """Targets and block quotas of the sources, given as ``(name, words)``; a source whose
+    number of blocks is not given is cut without short blocks but the last.
 
     Words are shared by weight; a target stops at ``MOST_PASSES`` times its source, and
     what is over is shared again by weight among those below, until none is above.
@@ -80,7 +90,7 @@ def plan_sources(sizes: list[tuple[str | None, int]]) -> list[Source]:
         free = [i for i in free if i not in set(full)] if full else []
     planned = []
     for source, target in zip(sources, targets, strict=True):
-        blocks = -(-source.size // BLOCK_WORDS)
+        blocks = (blocks_of or {}).get(source.name, -(-source.size // BLOCK_WORDS))
         words = source.size / blocks if blocks else 1
         quota = min(MOST_PASSES * blocks, round(target / words))
         planned.append(Source(source.name, source.size, source.weight, target, blocks, quota))
@@ -161,43 +171,59 @@ def draws(docs: DataFrame, sources: list[Source], seed: int = SEED) -> DataFrame
     )
 
 
+def _words(text: Column | str) -> Column:
+    """The words of a text. Splitting at one plain blank is far cheaper than at a pattern."""
+    spaced = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
 def sized(docs: DataFrame, **more: str) -> DataFrame:
     """Documents with their number of words: doc_id, source, size, mark (a hash of the text)."""
-    words = F.size(F.split(F.concat(F.lit(" "), F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+(?=[^\x20\x09-\x0D])")) - 1
-    return narrow(docs, doc_id="doc_id", source="source", size=words.cast("bigint"), mark=F.xxhash64("text"), **more)
+    return narrow(docs, doc_id="doc_id", source="source", size=F.size(_words("text")).cast("bigint"), mark=F.xxhash64("text"), **more)
 
 
 def _laid(dealt: DataFrame, base: DataFrame) -> DataFrame:
-    """``offset``, the place of a document's first word in its source. Rows that agree in
-    all the order looks at have the same text, so every call gives the same places."""
+    """``inner`` and ``offset``, the places of a document's first word in its bucket and in
+    its source. Rows that agree in all the order looks at have the same text, so every call
+    gives the same places."""
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    inner = dealt.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    near = dealt.repartition(shuffle_partitions(dealt.sparkSession), "src", "bucket")
+    inner = near.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # the side with texts stays where the window left it, and no estimate makes it travel
     return inner.join(base.hint("merge"), ["src", "bucket"]).withColumn("offset", F.col("base") + F.col("inner"))
 
 
-def blocks(placed: DataFrame) -> DataFrame:
-    """The words of ``placed`` (src, size, offset, text) by block: src, block, text and
-    parts, the (offset of the document, words) the block holds in order."""
-    first = F.floor(F.col("offset") / BLOCK_WORDS)
-    last = F.floor((F.col("offset") + F.col("size") - 1) / BLOCK_WORDS)
-    split = placed.filter("size > 0").select(
-        "src", "size", "offset", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("split"),
-    )
+def blocks(placed: DataFrame, slots: DataFrame) -> DataFrame:
+    """The drawn blocks of ``placed`` (src, bucket, size, inner, offset, first_block, text):
+    src, block, text, parts, the (offset of the document, words) the block holds in order,
+    and slots, at most ``MOST_PASSES``. ``slots`` is (src, bucket, block, slot)."""
+    first = F.floor(F.col("inner") / BLOCK_WORDS)
+    last = F.floor((F.col("inner") + F.col("size") - 1) / BLOCK_WORDS)
+    split = placed.filter("size > 0").select("src", "bucket", "first_block", "inner", "offset", "size", _words("text").alias("split"))
 
     def piece(block: Column) -> Column:
-        start = F.greatest(block * BLOCK_WORDS - F.col("offset"), F.lit(0))
-        n = F.least((block + 1) * BLOCK_WORDS - F.col("offset"), F.col("size")) - start
+        start = F.greatest(block * BLOCK_WORDS - F.col("inner"), F.lit(0))
+        # the array is named twice, so that no step of the optimizer moves the split in here
+        n = F.least((block + 1) * BLOCK_WORDS - F.col("inner"), F.size("split")) - start
         text = F.array_join(F.slice("split", (start + 1).cast("int"), n.cast("int")), " ")
-        return F.struct(block.alias("block"), n.alias("n"), text.alias("text"))
+        return F.struct((F.col("first_block") + block).alias("block"), n.alias("n"), text.alias("text"))
 
-    cut = split.select("src", "offset", F.explode(F.transform(F.sequence(first, last), piece)).alias("piece"))
-    found = cut.groupBy("src", F.col("piece.block").alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("offset", F.col("piece.n").alias("n"), F.col("piece.text").alias("text")))).alias("found")
+    cut = split.select("src", "bucket", "offset", F.explode(F.transform(F.sequence(first, last), piece)).alias("piece"))
+    pieces = cut.select(
+        "src", "bucket", F.col("piece.block").alias("block"),
+        F.struct("offset", F.col("piece.n").alias("n"), F.col("piece.text").alias("text")).alias("piece"),
     )
-    return found.select(
+    # both sides lie by bucket already: a union and one aggregate join them without an exchange
+    near = slots.repartition(shuffle_partitions(slots.sparkSession), "src", "bucket")
+    both = pieces.withColumn("slot", F.lit(None).cast(slots.schema["slot"].dataType)).unionByName(
+        near.select("src", "bucket", "block", F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece"), "slot")
+    )
+    found = both.groupBy("src", "bucket", "block").agg(F.sort_array(F.collect_list("piece")).alias("found"), F.collect_list("slot").alias("slots"))
+    return found.filter(F.size("slots") > 0).select(
         "src", "block", F.array_join("found.text", " ").alias("text"),
-        F.transform("found", lambda p: F.struct(p["offset"].alias("offset"), p["n"].alias("n"))).alias("parts"),
+        F.transform("found", lambda p: F.struct(p["offset"].alias("offset"), p["n"].alias("n"))).alias("parts"), "slots",
     )
 
 
@@ -212,29 +238,47 @@ def mix(docs: DataFrame, seed: int = SEED, folder: str | None = None) -> tuple[D
     spark = docs.sparkSession
     known = stored(sized(docs))
     totals = known.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
-    sources = plan_sources([(r["source"], r["size"]) for r in totals])
+    sizes = [(r["source"], r["size"]) for r in totals]
+    rows_of = {r["source"]: r["n"] for r in totals}
+    sources = plan_sources(sizes)
     names = F.array(*[F.lit(s.name).cast("string") for s in sources if s.name is not None]) if sources else F.array()
     src = F.when(F.col("source").isNull(), F.lit(len(sources) - 1)).otherwise(F.array_position(names.cast("array<string>"), F.col("source")) - 1)
-    buckets = max(1, isqrt(sum(r["n"] for r in totals)))
-    dealt = lambda df: df.withColumn("src", src.cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+    buckets = [max(1, min(isqrt(rows_of[s.name]), s.size // BUCKET_WORDS)) for s in sources] or [1]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("src", src.cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), _at(buckets, F.col("src"))))
+
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(dealt(known).groupBy("src", "bucket").agg(F.sum("size").alias("words")).select(
-        "src", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")
+    full = dealt(known).groupBy("src", "bucket").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / BLOCK_WORDS))
+    base = stored(full.select(
+        "src", "bucket", "n", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_block"),
     ))
+    cut = base.groupBy("src").agg(F.sum("n").alias("n")).collect()  # a row per source
+    sources = plan_sources(sizes, {sources[r["src"]].name: r["n"] for r in cut})
     index = F.col("src")
     rows = _laid(dealt(known), base).select(
         "doc_id", "source", "src", "size", _at([s.size for s in sources] or [0], index).alias("source_size"),
         F.get(F.array(*[F.lit(s.target) for s in sources] or [F.lit(0.0)]), index).alias("target"), "offset",
     )
-    slots = draws(docs, sources, seed).withColumn("place", F.xxhash64(F.lit(seed), "shard", "src", "pass", "block"))
-    cut = blocks(_laid(dealt(sized(docs, text="text")), base))
+    place = F.xxhash64(F.lit(seed), "shard", "src", "pass", "block").alias("place")
+    drawn = draws(docs, sources, seed).select("src", "block", F.struct("shard", "pass", place).alias("slot"))
+    lies = base.filter("n > 0").select("src", "bucket", F.explode(F.expr("sequence(first_block, first_block + n - 1)")).alias("block"))
     # blocks grow with the corpus, and no estimate of exploded rows tells so: never broadcast
-    filled = slots.join(cut.hint("merge"), ["src", "block"]).select("shard", "place", "src", "pass", "block", "text", "parts")
-    # a shard lies in up to eight tasks, each with a range of its places
-    tasks = filled.repartition(shuffle_partitions(spark), "shard", F.shiftright("place", 61))
+    slots = drawn.join(lies.hint("merge"), ["src", "block"]).select("src", "bucket", "block", "slot")
+    packed = stored(blocks(_laid(dealt(sized(docs, text="text")), base), slots))
     folder = folder or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
-    tasks.sortWithinPartitions("shard", "place", "src", "pass", "block").write.option("compression", "zstd").parquet(folder)
-    release(spark)
+    for portion in range(PORTIONS):
+        own = F.filter("slots", lambda s: F.pmod(s["shard"], F.lit(PORTIONS)) == portion)
+        filled = packed.select("src", "block", "text", "parts", F.explode(own).alias("slot")).select(
+            "slot.shard", "slot.place", "src", "slot.pass", "block", "text", "parts"
+        )
+        # a shard lies in up to eight tasks, each with a range of its places
+        tasks = filled.repartition(shuffle_partitions(spark), "shard", F.shiftright("place", 61))
+        ordered = tasks.sortWithinPartitions("shard", "place", "src", "pass", "block")
+        ordered.write.mode("append" if portion else "errorifexists").option("compression", "zstd").parquet(folder)
+        release(spark)
+    done_with(packed)
     return rows, spark.read.schema(filled.schema).parquet(folder)
 
 
