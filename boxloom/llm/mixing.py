@@ -119,15 +119,16 @@ def _bin(bounds: list[int], value: Column) -> Column:
 
 def permuted(place: Column, blocks: Column, key: Column) -> Column:
     """A pseudorandom permutation of 0 .. blocks - 1: in every round a place either
-    swaps with its mirror at a random axis or both stay."""
+    swaps with its mirror at a random axis or both stay. Never null, so that a join on it
+    computes it once and not in a null check as well."""
 
     def swap(x: Column, r: Column) -> Column:
-        axis = F.pmod(F.xxhash64(key, r, F.lit("axis")), blocks)
-        mirror = F.pmod(axis - x, blocks)
-        coin = F.xxhash64(key, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1))
+        mirror = F.pmod(F.pmod(r, blocks) - x, blocks)
+        coin = F.xxhash64(r, F.greatest(x, mirror)).bitwiseAND(F.lit(1))
         return F.when(coin == 1, mirror).otherwise(x)
 
-    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), place, swap)
+    rounds = F.array(*[F.xxhash64(key, F.lit(r)) for r in range(ROUNDS)])
+    return F.coalesce(F.aggregate(rounds, place, swap), F.lit(0).cast("bigint"))
 
 
 def draws(docs: DataFrame, sources: list[Source], seed: int = SEED) -> DataFrame:
@@ -165,9 +166,8 @@ def draws(docs: DataFrame, sources: list[Source], seed: int = SEED) -> DataFrame
     blocks = F.greatest(_at([s.blocks for s in sources], F.col("src")), F.lit(1))
     return settled.select(
         "shard", "src", F.floor(F.col("i") / blocks).alias("pass"), F.pmod(F.col("i"), blocks).alias("place"), blocks.alias("blocks")
-    ).select(
-        "shard", "src", "pass",
-        permuted(F.col("place"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("src"), F.col("pass"))).alias("block"),
+    ).withColumn("key", F.xxhash64(F.lit(seed), "src", "pass")).select(
+        "shard", "src", "pass", permuted(F.col("place"), F.col("blocks"), F.col("key")).alias("block")
     )
 
 
