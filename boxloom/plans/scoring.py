@@ -65,7 +65,8 @@ FROM (SELECT page_id, strlen(html) AS n FROM pages)""",
 )
 def stream_score(f: Inputs) -> DataFrame:
     pages = f.table("pages")
-    stream = f.spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet").parquet(f.sf_dir)
+    # a stream's path has to be a folder unless it is a pattern; this one fits a table of one file and a folder of many
+    stream = f.spark.readStream.schema(pages.schema).parquet(f"{f.sf_dir}/[p]ages.parquet")
     k = F.col("page_id")
     encoded = F.regexp_replace(F.base64(F.col("html").cast("binary")), r"\s", "")
     image = F.when(k % 9 == 0, F.lit("%%%")).otherwise(F.concat(F.lit("data:text/html;base64,"), encoded))
