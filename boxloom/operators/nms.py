@@ -6,13 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import CORNERS, corners, iou, overlaps, shared_area
 from boxloom.operators.overlap import at_home, check_threshold, split_by_size, visiting
 from boxloom.operators.ranking import row_numbers
-from boxloom.session import durable, nested_boxes
+from boxloom.session import durable, hot_group_rows, nested_boxes
 
 _KEYS = ("item_id", "class_name")
 
@@ -57,25 +57,78 @@ _PARTS = 4
 _FEW = 16
 
 
-def _settle(boxes: DataFrame, threshold: float) -> DataFrame:
+def _settle(boxes: DataFrame, threshold: float, keys: tuple[str, ...] = _KEYS) -> DataFrame:
     """The survivors of few open boxes, group by group."""
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["down", "pos"])
-        box = group[list(CORNERS)].to_numpy()
+        box = group[list(CORNERS)].to_numpy(dtype=float)
         area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        x1, y1, x2, y2, areas = (np.empty(len(box)) for _ in range(5))
         kept: list[int] = []
-        for k in range(len(box)):
-            near = box[kept]
-            w = np.minimum(near[:, 2], box[k, 2]) - np.maximum(near[:, 0], box[k, 0])
-            h = np.minimum(near[:, 3], box[k, 3]) - np.maximum(near[:, 1], box[k, 1])
+        for k, (left, top, right, bottom) in enumerate(box):
+            n = len(kept)
+            w = np.minimum(x2[:n], right) - np.maximum(x1[:n], left)
+            h = np.minimum(y2[:n], bottom) - np.maximum(y1[:n], top)
             shared = w * h
-            same = (w > 0) & (h > 0) & (shared / (area[kept] + area[k] - shared) >= threshold)
+            same = (w > 0) & (h > 0) & (shared / (areas[:n] + area[k] - shared) >= threshold)
             if not same.any():
+                x1[n], y1[n], x2[n], y2[n], areas[n] = left, top, right, bottom, area[k]
                 kept.append(k)
         return group.iloc[kept][[*_KEYS, "pos"]]
 
-    return boxes.groupBy(*_KEYS).applyInPandas(greedy, boxes.select(*_KEYS, "pos").schema)
+    return boxes.groupBy(*keys).applyInPandas(greedy, boxes.select(*_KEYS, "pos").schema)
+
+
+#: A group is cut where no box reaches across, at the edges of so many columns at most.
+_COLUMNS = 4096
+#: Boxes of a strip that one task settles; each is compared with those kept of the strip.
+_STRIP_BOXES = 50_000
+
+
+def _same_group(prefix: str) -> Column:
+    return F.col("item_id").eqNullSafe(F.col(f"{prefix}item_id")) & F.col("class_name").eqNullSafe(F.col(f"{prefix}class_name"))
+
+
+def _in_strips(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``boxes`` with the ``strip`` they lie in and its ``strip_boxes``, and the strips.
+
+    Boxes of different strips of a group do not overlap: a strip ends at a column before
+    which all earlier boxes end. Only counts and ends of columns are put in order.
+    """
+    ends = boxes.groupBy(*[F.col(k).alias(f"_e_{k}") for k in _KEYS]).agg(F.min("x1").alias("_lo"), F.max("x2").alias("_hi"))
+    place = F.floor((F.col("x1") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _COLUMNS)
+    columned = boxes.join(ends, _same_group("_e_")).withColumn("_column", place).drop("_lo", "_hi", *[f"_e_{k}" for k in _KEYS])
+    in_order = Window.partitionBy(*_KEYS).orderBy("_column")
+    columns = columned.groupBy(*_KEYS, "_column").agg(
+        F.min("x1").alias("_left"), F.max("x2").alias("_right"), F.count("*").alias("_boxes")
+    ).withColumn("_reach", F.max("_right").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = (F.col("_left") >= F.col("_reach")).cast("int")
+    numbered = columns.withColumn("strip", F.sum(F.coalesce(starts, F.lit(0))).over(in_order))
+    strips = durable(numbered.select(
+        *_KEYS, "_column", "strip", F.sum("_boxes").over(Window.partitionBy(*_KEYS, "strip")).alias("strip_boxes")
+    ))
+    lookup = strips.select(*[F.col(c).alias(f"_s_{c}") for c in (*_KEYS, "_column")], "strip", "strip_boxes")
+    found = columned.join(lookup, _same_group("_s_") & F.col("_column").eqNullSafe(F.col("_s__column")))
+    return found.drop("_column", *[f"_s_{c}" for c in (*_KEYS, "_column")]), strips
+
+
+def _crowded(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Oversized groups: strip by strip in a task each, and in rounds where a strip is too large for one."""
+    limit = min(_STRIP_BOXES, hot_group_rows(boxes.sparkSession))
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    flat = boxes.filter(F.coalesce(~solid, F.lit(True)))
+    placed, strips = _in_strips(boxes.filter(solid))
+    small = placed.filter(F.col("strip_boxes") <= limit).withColumn("down", -F.col("confidence"))
+    final = _settle(small.select(*_KEYS, "strip", "down", "pos", *CORNERS), threshold, (*_KEYS, "strip")).select(
+        F.col("item_id").alias("_k"), F.col("pos").alias("_p")
+    )
+    on = (F.col("item_id") == F.col("_k")) & (F.col("pos") == F.col("_p"))
+    kept = boxes.join(final, on, "left_semi").unionByName(flat)
+    large = F.col("strip_boxes") > limit
+    if strips.filter(large).isEmpty():
+        return kept
+    return kept.unionByName(_rounds(durable(placed.filter(large).select(boxes.columns)), threshold))
 
 
 def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -147,7 +200,7 @@ def merge_detections(
     boxes = detections.filter(F.col("x1").isNotNull())
     light, heavy = split_by_size([boxes], list(_KEYS), largest)
     merged = detections.filter(F.col("x1").isNull()).unionByName(_nested(light[0], t))
-    return merged if heavy is None else merged.unionByName(_rounds(heavy[0], t))
+    return merged if heavy is None else merged.unionByName(_crowded(heavy[0], t))
 
 
 def in_order(merged: DataFrame, detections: DataFrame) -> DataFrame:

@@ -1,0 +1,37 @@
+"""Crowded images are cut into strips that a task settles; larger strips go in rounds."""
+
+import random
+
+import pytest
+from test_crowds import BOXES, covers
+
+from boxloom.operators import nms
+from boxloom.operators.nms import merge_detections
+
+
+@pytest.mark.parametrize("hot", [None, 60, 10])
+def test_strips_and_rounds_agree_with_one_by_one(spark, limits, monkeypatch, hot):
+    limits(nested=16, hot=hot)
+    rounds = []
+    real = nms._rounds
+    monkeypatch.setattr(nms, "_rounds", lambda *a: rounds.append(1) or real(*a))
+    rng = random.Random(3)
+    rows = []
+    for pos in range(900):
+        x = rng.choice([0, 0, 40, 500, 500, 900]) + rng.randrange(24)
+        y = rng.randrange(12)
+        rows.append((pos % 2, pos, rng.choice(["a", None]), rng.randrange(9) / 8, x + 0.0, y + 0.0, x + 30.0, y + rng.choice([30.0, 0.0])))
+    kept = []
+    for row in sorted(rows, key=lambda r: (-r[3], r[1])):
+        if all(k[0] != row[0] or k[2] != row[2] or not covers(k, row, 0.5) for k in kept):
+            kept.append(row)
+    found = merge_detections(spark.createDataFrame(rows, BOXES), 0.5).collect()
+    assert sorted(r["pos"] for r in found) == sorted(k[1] for k in kept)
+    assert bool(rounds) == (hot is not None)
+
+
+def test_an_image_of_many_spots_needs_no_rounds(spark, limits, monkeypatch):
+    limits(nested=16)
+    monkeypatch.setattr(nms, "_rounds", lambda *a: pytest.fail("rounds"))
+    rows = [(1, k, "a", 0.5, 1000.0 * (k % 50) + k % 3, 0.0, 1000.0 * (k % 50) + 60, 60.0) for k in range(5000)]
+    assert {r["pos"] for r in merge_detections(spark.createDataFrame(rows, BOXES), 0.5).collect()} == set(range(50))
