@@ -3,7 +3,8 @@
 Same-class pairs come first, then pairs whose classes differ; inside each pass
 the larger IoU wins and ties go to the earlier positions. Ordinary images are
 nested to one row each and matched by a fold over their sorted candidates: one
-shuffle in all, none when the sets are already stored nested. Oversized images
+shuffle in all, none when the sets are already stored nested. Oversized images are
+cut into islands that no box reaches across, one task each; islands too large for that
 run rounds of pairs nobody else has a better claim on, which picks the same pairs
 because the order of candidates is total.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import CORNERS, corners, overlaps, shared_area
+from boxloom.operators.islands import in_islands, settle_islands
 from boxloom.operators.overlap import (
     check_threshold,
     collapse_copies,
@@ -157,6 +159,31 @@ def diff_nested(nested: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+#: Boxes of both sets in an island that one task settles.
+_ISLAND_BOXES = 50_000
+
+
+def match_crowds(
+    baseline: DataFrame, current: DataFrame, threshold: float, image: str = "item_id"
+) -> DataFrame:
+    """Greedy matching of oversized images, island by island; in rounds where an island is
+    too large for one task."""
+    limit = min(_ISLAND_BOXES, hot_group_rows(baseline.sparkSession))
+    columns = [image, "pos", "class_name", *CORNERS]
+    both = baseline.select(*columns, F.lit(True).alias("base")).unionByName(
+        current.select(*columns, F.lit(False).alias("base"))
+    )
+    boxes, islands = in_islands(both, image)
+    large = islands.filter(F.col("boxes") > limit)
+    keys = [image, "strip", "part"]
+    if large.isEmpty():
+        return durable(settle_islands(boxes, threshold, image))
+    rest = durable(boxes.join(large, keys, "left_semi"))
+    small = settle_islands(boxes.join(large, keys, "left_anti"), threshold, image)
+    rounds = match_in_rounds(rest.filter("base"), rest.filter("not base"), threshold, image)
+    return durable(small).unionByName(rounds)
+
+
 def match_in_rounds(
     baseline: DataFrame, current: DataFrame, threshold: float, image: str = "item_id"
 ) -> DataFrame:
@@ -375,7 +402,7 @@ def heavy_matches(baseline: DataFrame, current: DataFrame, threshold: float, ima
     only_labels = labels.select(F.col(image).alias("_l"))
     b = baseline.join(only_labels, F.col(image) == F.col("_l"), "left_anti")
     c = current.join(only_labels, F.col(image) == F.col("_l"), "left_anti")
-    matches = match_in_rounds(b, c, threshold, image)
+    matches = match_crowds(b, c, threshold, image)
 
     found = matches.select(
         image,
