@@ -91,7 +91,7 @@ def track_stream(f: Inputs) -> DataFrame:
     last = kept.agg(F.max("step")).first()[0] or 0
     message = [F.lit(None).cast(x.dataType).alias(x.name) for x in rows.drop("step").schema if x.name != "ts"]
     end = f.spark.range(1).select(*message, F.timestamp_seconds(F.lit(1 << 32)).alias("ts"))
-    session = live.stateful(f.spark, 4)
+    session = live.stateful(f.spark, max(4, f.spark.sparkContext.defaultParallelism))
     source, out, progress = f"{folder}/source", f"{folder}/rows", f"{folder}/progress"
     end.limit(0).write.parquet(source)
     stream = session.readStream.schema(rows.drop("step").schema).parquet(source)

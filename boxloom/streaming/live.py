@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
+from boxloom.functions.geometry import CORNERS
 from boxloom.functions.numbers import clamp
 from boxloom.functions.text import payload_bytes, payload_error
 from boxloom.streaming.scoring import Scorer, result_columns, score
@@ -93,18 +95,19 @@ def _follow(last: list, frame: list, threshold: float, next_id: int):
     return out, next_id
 
 
-#: A detection of a frame that waits for its turn.
-WAITING = "idx bigint, pos bigint, class_name string, x1 double, y1 double, x2 double, y2 double, ms bigint"
-_FIELDS = ["idx", "pos", "class_name", "x1", "y1", "x2", "y2", "ms"]
+#: One clip: the last frame that was followed, the next free id and the boxes of that frame,
+#: the time of the youngest frame, and the detections of frames that wait for their turn.
+CLIP = f"{STATE}, youngest bigint, waiting array<struct<idx:bigint,pos:bigint,class_name:string,x1:double,y1:double,x2:double,y2:double,ms:bigint>>"
 
 
 class _Follower(StatefulProcessor):
-    """The buffer of one clip: detections of frames that are not due, in list state, and the
-    last frame that was followed with the next free id, in value state.
+    """The buffer of one clip: the last frame that was followed with the next free id, and
+    detections of frames that are not due. It is one value, read and written once a batch.
 
     A frame is due once the clip has a frame that is ``slack`` younger, or once the
     watermark has passed the clip's youngest frame; the timer set for that also ends the
-    clip. Due frames are followed by rising number. A frame that comes when a younger one
+    clip. A clip has one timer; where younger frames came since, it is set anew when it is
+    due. Due frames are followed by rising number. A frame that comes when a younger one
     has been followed is late: it is passed on without an id and changes nothing.
     """
 
@@ -113,69 +116,72 @@ class _Follower(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.followed = handle.getValueState("followed", STATE)
-        self.youngest = handle.getValueState("youngest", "ms bigint")
-
-    def _last(self) -> tuple[int, int, list]:
-        if not self.followed.exists():
-            return -1, 1, []
-        idx, next_id, boxes = self.followed.get()
-        return idx, next_id, [tuple(b) for b in boxes]
-
-    def _follow(self, clip: Any, rows: list[tuple]) -> list[tuple]:
-        """Ids for the detections of due frames."""
-        last_idx, next_id, last = self._last()
+        self.clip = handle.getValueState("clip", CLIP)
+
+    def _follow(self, clip: Any, last: tuple[int, int, list], rows: list[tuple]) -> tuple[tuple[int, int, list], list[Row]]:
+        """Ids for the detections of due frames, and the last of these."""
+        last_idx, next_id, boxes = last
         out = []
         for idx, frame in groupby(sorted(rows, key=lambda r: r[:2]), key=lambda r: r[0]):
             frame = list(frame)
-            boxes, next_id = _follow(last if idx == last_idx + 1 else [], [(0, *r[2:7]) for r in frame], self.threshold, next_id)
-            last_idx, last = idx, boxes
-            out += [(clip, idx, r[1], b[1], b[0], False) for r, b in zip(frame, boxes, strict=True)]
-        self.followed.update((last_idx, next_id, last))
-        return out
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        came = [r for frame in rows for r in frame[_FIELDS].itertuples(index=False, name=None) if not pd.isna(r[0])]
-        came = [(int(r[0]), int(r[1]), *r[2:7], int(r[7])) for r in came]
+            boxes, next_id = _follow(boxes if idx == last_idx + 1 else [], [(0, *r[2:7]) for r in frame], self.threshold, next_id)
+            last_idx = idx
+            out += [_row(clip, idx, r[1], b[1], b[0], False) for r, b in zip(frame, boxes, strict=True)]
+        return (last_idx, next_id, boxes), out
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        came = [_unpacked(r.packed) for r in rows if r.packed is not None]
         if not came:
             return
-        done = self._last()[0]
-        late = [(key[0], r[0], r[1], r[2], None, True) for r in came if r[0] <= done]
-        rest = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rest += [r for r in came if r[0] > done]
         youngest = max(r[7] for r in came)
-        if self.youngest.exists():
-            youngest = max(youngest, self.youngest.get()[0])
-        self.youngest.update((youngest,))
+        known = self.clip.get()
+        if known is None:
+            last, rest = (-1, 1, []), []
+            self.handle.registerTimer(youngest)
+        else:
+            last, rest = (known[0], known[1], [tuple(b) for b in known[2]]), [tuple(r) for r in known[4]]
+            youngest = max(youngest, known[3])
+        late = [_row(key[0], r[0], r[1], r[2], None, True) for r in came if r[0] <= last[0]]
+        rest += [r for r in came if r[0] > last[0]]
         due = [r for r in rest if r[7] <= youngest - self.slack]
         rest = [r for r in rest if r[7] > youngest - self.slack]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(youngest)
-        yield self._frame(late + (self._follow(key[0], due) if due else []))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rest = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        out = self._follow(key[0], rest) if rest else []
-        for state in (self.waiting, self.followed, self.youngest):
-            state.clear()
-        yield self._frame(out)
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["clip", "idx", "pos", "class_name", "track_id", "late"])
-        return frame.astype({"track_id": "Int64"})
+        out = []
+        if due:
+            last, out = self._follow(key[0], last, due)
+        self.clip.update((*last, youngest, rest))
+        yield from late + out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        idx, next_id, boxes, youngest, rest = self.clip.get()
+        if youngest > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(youngest)
+            return
+        self.clip.clear()
+        yield from self._follow(key[0], (idx, next_id, [tuple(b) for b in boxes]), [tuple(r) for r in rest])[1]
 
     def close(self) -> None:
         pass
 
 
+def _packed() -> Column:
+    """A detection as one text: a worker takes rows over cell by cell. Null without ``idx``,
+    and a corner that is null is no number."""
+    corners = [F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in CORNERS]
+    name = F.coalesce(F.concat(F.lit("+"), "class_name"), F.lit("-"))
+    parts = [F.col("idx"), F.coalesce(F.col("pos").cast("string"), F.lit("null")), *corners, F.unix_millis("ts"), name]
+    return F.when(F.col("idx").isNotNull(), F.concat_ws(" ", *[p.cast("string") for p in parts]))
+
+
+def _unpacked(text: str) -> tuple:
+    idx, pos, x1, y1, x2, y2, ms, name = text.split(" ", 7)
+    return int(idx), int(pos), name[1:] if name[0] == "+" else None, float(x1), float(y1), float(x2), float(y2), int(ms)
+
+
+_row = Row("clip", "idx", "pos", "class_name", "track_id", "late")
+
+
 def stateful(spark: SparkSession, partitions: int | None = None) -> SparkSession:
-    """A session beside ``spark`` with the state store that list state and timers need."""
+    """A session beside ``spark`` with the state store that the clips' state and timers need."""
     own = spark.newSession()
     own.conf.set(_PROVIDER, _ROCKS)
     if partitions is not None:
@@ -196,7 +202,7 @@ def track_stream(
     frame, which also settles the frames held back; ``forget`` has to be at least
     ``slack``. Frames beyond the watermark are dropped by Spark, and a clip that speaks
     again after that starts anew. A row without ``idx`` only moves the watermark on, as a
-    closed source does with a last message. List state and timers need the RocksDB state
+    closed source does with a last message. The state and its timers need the RocksDB state
     store, which the stream's session is set to; :func:`stateful` gives one of its own.
     """
     wait = pd.Timedelta(slack)
@@ -204,9 +210,9 @@ def track_stream(
         raise ValueError("forget has to be at least slack")
     detections.sparkSession.conf.set(_PROVIDER, _ROCKS)
     return (
-        detections.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", forget)
+        detections.select("clip", _packed().alias("packed"), "ts").withWatermark("ts", forget)
         .groupBy("clip")
-        .transformWithStateInPandas(_Follower(threshold, int(wait.total_seconds() * 1000)), _tracked(detections), "Append", "EventTime")
+        .transformWithState(_Follower(threshold, int(wait.total_seconds() * 1000)), _tracked(detections), "Append", "EventTime")
     )
 
 

@@ -186,3 +186,27 @@ def test_tracking_of_a_stream_out_of_order(spark, tmp_path):
     assert {r["idx"] for r in found if r["late"]} == {7} and all(r["track_id"] is None for r in found if r["late"])
     got = {(r["idx"], r["pos"]): r["track_id"] for r in found if not r["late"]}
     assert got == track_one_by_one([r for r in rows if r[1] != 7], 0.3) and len(found) == 24
+
+
+def test_tracking_state_is_one_value_and_rows_come_packed(spark, tmp_path):
+    """Odd names and missing corners survive; a clip's timer moves with its frames."""
+    names = ["a b", None, "", "+x -"]
+    rows = [("a", idx, pos, names[pos], 0.1 + pos * 100 + idx / 3, 0.0, 20.7 + pos * 100 + idx / 3, 20.0) for idx in range(6) for pos in range(4)]
+    rows += [("a", idx, 4, "none", None, 0.0, None, 20.0) for idx in range(6)]
+    schema = "clip string, idx bigint, pos bigint, class_name string, x1 double, y1 double, x2 double, y2 double"
+    frame = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("idx") + 1_700_000_000))
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    session = live.stateful(spark, 2)
+    for batch in ((0, 2, 1), (3, 5, 4)):
+        frame.filter(F.col("idx").isin(*batch)).write.mode("append").parquet(source)
+        tracked = live.track_stream(session.readStream.schema(frame.schema).parquet(source), slack="3 seconds")
+        assert tracked.columns == ["clip", "idx", "pos", "class_name", "track_id", "late"]
+        live.write_stream(tracked, out, progress, once=True).awaitTermination()
+    end = frame.limit(1).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in frame.schema[:-1]], F.timestamp_seconds(F.lit(1 << 32)).alias("ts"))
+    end.write.mode("append").parquet(source)
+    live.write_stream(live.track_stream(session.readStream.schema(frame.schema).parquet(source), slack="3 seconds"), out, progress, once=True).awaitTermination()
+    found = spark.read.parquet(out).collect()
+    assert {(r["idx"], r["pos"]): r["class_name"] for r in found} == {(r[1], r[2]): r[3] for r in rows} and len(found) == len(rows)
+    ids = {p: [r["track_id"] for r in found if r["pos"] == p] for p in range(5)}
+    assert all(len(set(ids[p])) == 1 for p in range(4)) and len(set(ids[4])) == 6 and not any(r["late"] for r in found)
+    assert "waiting" in live.CLIP
