@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import flat_rounded, keypoint_visibility
@@ -15,6 +15,7 @@ from boxloom.operators.naming import unique_names
 from boxloom.operators.ranking import row_numbers
 from boxloom.operators.review import class_counts, visible
 from boxloom.schema import FORMAT_LABELS, FORMATS_BY_TASK
+from boxloom.session import durable, hot_group_rows
 
 
 def formats_for(task: str) -> dict[str, str]:
@@ -59,6 +60,39 @@ def coco_annotations(
     images: DataFrame, detections: DataFrame, classes: DataFrame, threshold: float
 ) -> DataFrame:
     """COCO annotation rows with dense ids in image then stored order."""
+    # ids and counts both need the images' numbers, which are costly to derive twice
+    numbers = durable(images.select("item_id", "id"))
+    return _numbered(annotation_rows(numbers, detections, classes, threshold))
+
+
+#: Images whose annotations are numbered together.
+_IMAGES = 1024
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``id`` by image, then place: a range of images starts where those before it end.
+
+    Rows are derived twice, the first time only to be counted; none are stored. Where a
+    range is too large for one task, rows are numbered by ranges of themselves.
+    """
+    bucket = F.expr(f"image_id div {_IMAGES}")
+    sizes = durable(rows.groupBy(bucket.alias("_range")).agg(F.count("*").alias("_size")))
+    largest = sizes.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
+    if largest > hot_group_rows(rows.sparkSession):
+        return row_numbers(rows, [], [F.col("image_id"), F.col("pos")], "id")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_bucket").orderBy("image_id", "pos")
+    placed = rows.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(inside))
+    return placed.join(starts, F.col("_bucket") == F.col("_range")).select(
+        *rows.columns, (F.col("_n") + F.col("_start")).cast("bigint").alias("id")
+    )
+
+
+def annotation_rows(
+    images: DataFrame, detections: DataFrame, classes: DataFrame, threshold: float
+) -> DataFrame:
+    """COCO annotation rows without ids."""
     box = visible(detections, threshold).filter(F.col("x1").isNotNull())
     indexed = box.withColumn("_class", F.coalesce("class_name", F.lit("?"))).join(
         classes.select(F.col("class_name").alias("_class"), "class_index"), "_class", "left"
@@ -68,7 +102,7 @@ def coco_annotations(
     nothing = F.lit(None).cast("array<array<double>>")
     mask = F.col("mask") if "mask" in detections.columns else nothing
     keys = F.col("keypoints") if "keypoints" in detections.columns else nothing
-    rows = placed.select(
+    return placed.select(
         "image_id",
         "pos",
         (F.coalesce("class_index", F.lit(0)) + 1).alias("category_id"),
@@ -85,7 +119,6 @@ def coco_annotations(
             F.array_size(F.filter(keys, lambda p: keypoint_visibility(p) > 0)), F.lit(0)
         ).alias("num_keypoints"),
     )
-    return row_numbers(rows, [], [F.col("image_id"), F.col("pos")], "id")
 
 
 def coco_keypoints(keypoints: Column) -> Column:

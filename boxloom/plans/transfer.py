@@ -392,7 +392,7 @@ def imagenet_manifest(f: Inputs) -> DataFrame:
 )
 def export_summary(f: Inputs) -> DataFrame:
     images = exporting.coco_images(exporting.numbered_images(f.items()), listing(f))
-    rows = exporting.coco_annotations(
+    rows = exporting.annotation_rows(
         images, shaped(f), exporting.class_index(f.current(), MODEL), 0.3
     )
     return exporting.export_summary(images, rows)
