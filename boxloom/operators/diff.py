@@ -118,22 +118,15 @@ def refresh_comparison(items: DataFrame, comparison: Comparison) -> DataFrame:
 
 def item_comparison(items: DataFrame, comparison: Comparison) -> DataFrame:
     """The object-level diff beside each image's verdict, one row per object."""
-    verdicts = item_diff(comparison).select(
-        F.col(comparison.image).alias("_id"), "disputed",
-        py_round(F.col("agreement"), 4).alias("agreement"),
-    )
-    objects = comparison.pairings().select(
+    objects = comparison.counted_pairings().select(
         F.col(comparison.image).alias("item_id"),
         "kind", "b_pos", "c_pos",
         F.when(F.col("kind") == "reclassified", F.coalesce("b_class", F.lit("?"))).alias("from_class"),
         F.when(F.col("kind") == "reclassified", F.coalesce("c_class", F.lit("?"))).alias("to_class"),
         py_round(F.col("overlap"), 3).alias("overlap"),
+        _disputed().alias("disputed"), py_round(_agreement(), 4).alias("agreement"),
     )
     heads = items.select(
         "item_id", "rel_path", (F.col("baseline_count") > 0).alias("has_baseline")
     )
-    return (
-        objects.join(heads, "item_id")
-        .join(verdicts, F.col("item_id") == F.col("_id"))
-        .drop("_id")
-    )
+    return objects.join(heads, "item_id")

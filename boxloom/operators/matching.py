@@ -28,6 +28,7 @@ from boxloom.operators.overlap import (
     split_by_size,
 )
 from boxloom.operators.ranking import row_numbers
+from boxloom.schema import KINDS
 from boxloom.session import durable, hot_group_rows
 
 MATCH = (
@@ -445,6 +446,13 @@ def _unnest(nested: DataFrame, image: str, array: str, required: str) -> DataFra
     return nested.select(image, F.inline_outer(array)).filter(F.col(required).isNotNull())
 
 
+def _counts() -> list[Column]:
+    def count(kind: str) -> Column:
+        return F.array_size(F.filter("pairs", lambda p: p["kind"] == kind)).cast("bigint")
+
+    return [count(k).alias(k) for k in KINDS]
+
+
 class Comparison:
     """Two long annotation sets compared image by image.
 
@@ -500,14 +508,18 @@ class Comparison:
             rows = rows.unionByName(self.heavy[1])
         return rows
 
+    def counted_pairings(self) -> DataFrame:
+        """:meth:`pairings` beside their image's :meth:`item_counts`, with one matching for both."""
+        rows = self.nested.select(self.image, *_counts(), F.inline_outer("pairs")).filter(F.col("kind").isNotNull())
+        if self.heavy is not None:
+            pairs = self.heavy[1]
+            counts = pairs.groupBy(F.col(self.image).alias("_k")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
+            rows = rows.unionByName(pairs.join(counts, F.col(self.image).eqNullSafe(F.col("_k"))).drop("_k"))
+        return rows
+
     def item_counts(self) -> DataFrame:
         """Objects of each kind per image, without exploding nested rows."""
-        from boxloom.schema import KINDS
-
-        def count(kind: str) -> Column:
-            return F.array_size(F.filter("pairs", lambda p: p["kind"] == kind)).cast("bigint")
-
-        rows = self.nested.select(self.image, *[count(k).alias(k) for k in KINDS])
+        rows = self.nested.select(self.image, *_counts())
         if self.heavy is not None:
             rows = rows.unionByName(
                 self.heavy[1]
