@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from boxloom.functions.geometry import corners_from_coco, keypoints_from_flat, polygon_from_flat
 from boxloom.functions.text import match_key
 from boxloom.operators.ranking import has_hot_group, row_numbers
+from boxloom.session import durable, hot_group_rows
 
 
 def of_documents(
@@ -172,12 +173,17 @@ def import_replace(current: DataFrame, matched: DataFrame, detections: DataFrame
 
 def import_append(current: DataFrame, matched: DataFrame, detections: DataFrame) -> DataFrame:
     """Previous rows followed by the imported ones, in image then annotation order."""
-    found = hits(matched).select("item_id", "image_id", "ord")
+    found = durable(hits(matched).select("item_id", "image_id", "ord"))
+    most = F.coalesce(F.max("count"), F.lit(0))
+    # both sides' largest groups bound an item without joining them
+    images = found.groupBy("item_id").count().agg(most).first()[0]
+    entries = detections.groupBy("image_id").count().agg(most).first()[0]
+    hot = False if images * entries <= hot_group_rows(current.sparkSession) else None
     fresh = detections.join(found, "image_id")
     sizes = current.groupBy("item_id").agg((F.max("pos") + 1).alias("_size"))
     started = fresh.join(sizes, "item_id", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
     return current.select(*SET_COLUMNS).unionByName(
-        _placed(started, [F.col("ord"), F.col("ann_ord")], F.col("_size"))
+        _placed(started, [F.col("ord"), F.col("ann_ord")], F.col("_size"), hot)
     )
 
 
