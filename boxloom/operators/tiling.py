@@ -63,12 +63,13 @@ def shift_to_image(detections: DataFrame) -> DataFrame:
 
 
 def merge_tiles(
-    tile_detections: DataFrame, overview: DataFrame | None, threshold: float = 0.5
+    tile_detections: DataFrame, overview: DataFrame | None, threshold: float = 0.5, largest: int | None = None
 ) -> DataFrame:
     """Detections of all tiles plus the whole-image pass, duplicates merged.
 
     ``tile_detections`` carries ``tile_no, x, y`` and tile coordinates; ``pos``
-    afterwards is the place in tile order, then overview order.
+    afterwards is the place in tile order, then overview order. ``largest`` bounds the
+    detections of one image, where the caller knows.
     """
     columns = ["item_id", "pos", "class_name", "confidence", *CORNERS]
     moved = shift_to_image(tile_detections).withColumn(
@@ -79,7 +80,7 @@ def merge_tiles(
         everything = everything.unionByName(
             overview.withColumn("pos", F.col("pos") + OVERVIEW_FROM).select(*columns)
         )
-    return merge_detections(everything, threshold)
+    return merge_detections(everything, threshold, largest)
 
 
 def tile_timings(passes: DataFrame) -> DataFrame:

@@ -375,7 +375,17 @@ class Inputs:
         )
 
     def seed(self) -> DataFrame:
-        quantity = F.col("l_quantity").cast("bigint")
+        return self.raw_seed().withColumns(self.shape()).drop("q")
+
+    @staticmethod
+    def shape() -> dict[str, Column]:
+        """Place and size of a line item's box."""
+        return {
+            "bx": (F.col("p") % 4) * 30, "by_": (F.col("s") % 3) * 30,
+            "w": 20 + F.col("q") % 20, "h": 20 + (F.col("q") * 3) % 20,
+        }
+
+    def raw_seed(self) -> DataFrame:
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("item_id"),
             F.col("l_partkey").alias("p"),
@@ -383,16 +393,14 @@ class Inputs:
             F.col("l_linenumber").cast("bigint").alias("ln"),
             F.round(F.col("l_discount") * 100).cast("bigint").alias("d100"),
             F.concat("l_returnflag", "l_linestatus").alias("cls"),
-            ((F.col("l_partkey") % 4) * 30).alias("bx"),
-            ((F.col("l_suppkey") % 3) * 30).alias("by_"),
-            (20 + quantity % 20).alias("w"),
-            (20 + (quantity * 3) % 20).alias("h"),
+            F.col("l_quantity").cast("bigint").alias("q"),
         )
 
     def _set(self, keep: Column, shift: tuple[Column, Column], name: Column, confidence: Column):
-        kept = self.seed().filter(keep)
-        order = [F.col(c) for c in ("ln", "p", "s", "d100", "w", "cls")]
-        numbered = row_numbers(kept, ["item_id"], order, "_n", hot=self.crowded, stored=True)
+        # what other columns give is derived after the rows have moved
+        kept = self.raw_seed().filter(keep)
+        order = [*[F.col(c) for c in ("ln", "p", "s", "d100")], self.shape()["w"], F.col("cls")]
+        numbered = row_numbers(kept, ["item_id"], order, "_n", hot=self.crowded, stored=True).withColumns(self.shape())
         dx, dy = shift
         return numbered.select(
             "item_id",
@@ -499,14 +507,15 @@ class Inputs:
             F.when(p % 29 != 0, moved).alias("bbox"),
         )
 
-    def frames(self) -> DataFrame:
+    def frames(self, totals: bool = True) -> DataFrame:
         events = self.table("events").select(
             F.col("user_id").alias("clip"), "event_id", F.col("event_type").alias("class_name"), "ts"
         )
         numbered = row_numbers(
             events, ["clip"], [F.col("ts"), F.col("event_id")], "_n", stored=True
         )
-        totals = events.groupBy("clip").agg(F.count("*").alias("total"))
-        return numbered.join(totals, "clip").select(
-            "clip", "event_id", "class_name", (F.col("_n") - 1).alias("idx"), "total"
-        )
+        placed = ["clip", "event_id", "class_name", (F.col("_n") - 1).alias("idx")]
+        if not totals:
+            return numbered.select(*placed)
+        counts = events.groupBy("clip").agg(F.count("*").alias("total"))
+        return numbered.join(counts, "clip").select(*placed, "total")
