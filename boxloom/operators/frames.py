@@ -53,13 +53,14 @@ def clip_rate(clips: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def track_objects(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
+def track_objects(detections: DataFrame, threshold: float = 0.3, largest: int | None = None) -> DataFrame:
     """Add a ``track_id`` that follows an object through consecutive frames.
 
     ``clip, idx, pos`` identify a detection. Each frame is matched one-to-one with
     the next one (same class, IoU); the matched pairs form chains, and pointer
     doubling finds the first detection of every chain. A clip is never gathered:
     frames are matched pair by pair and a chain of n frames needs log2(n) rounds.
+    ``largest`` bounds the detections of one frame, where the caller knows.
     """
     box = ["class_name", "x1", "y1", "x2", "y2"]
     frame = F.struct("clip", "idx").alias("frame")
@@ -67,7 +68,7 @@ def track_objects(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
     after = detections.select(
         F.struct("clip", (F.col("idx") - 1).alias("idx")).alias("frame"), "pos", *box
     )
-    links = Comparison(before, after, threshold, image="frame").matches().filter(F.col("pass") == 0)
+    links = Comparison(before, after, threshold, image="frame", largest=largest).matches().filter(F.col("pass") == 0)
     previous = links.select(
         F.col("frame.clip").alias("_clip"),
         (F.col("frame.idx") + 1).alias("_idx"),

@@ -46,7 +46,7 @@ def clip_rate(f: Inputs) -> DataFrame:
 
 def objects(f: Inputs) -> DataFrame:
     """Three drifting objects per frame, one of them blinking."""
-    rows = f.frames().select(
+    rows = f.frames(totals=False).select(
         "clip", "idx", F.col("event_id").alias("e"),
         F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("pos"),
     )
@@ -65,7 +65,7 @@ def objects(f: Inputs) -> DataFrame:
     "chains",
 )
 def track_objects(f: Inputs) -> DataFrame:
-    return frames.track_objects(objects(f)).select("clip", "idx", "pos", "class_name", "track_id")
+    return frames.track_objects(objects(f), largest=3).select("clip", "idx", "pos", "class_name", "track_id")
 
 
 #: Frames of a clip that a micro-batch of the query brings, and how far they are out of order.
