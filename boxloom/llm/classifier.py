@@ -29,6 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, least_grade: int = 2) -> DataFr
 
 def _filtered(batch: pa.RecordBatch, model: Model, least: int) -> pa.RecordBatch:
     scored = _scored(pa.record_batch([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"]), model, least)
-    return batch.filter(pa.compute.greater_equal(scored.column("tail_probability"), LEAST_TAIL))
+    return batch.filter(pc.greater_equal(scored.column("tail_probability"), LEAST_TAIL))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least_grade: int = 2) -> DataFrame:

@@ -35,6 +35,7 @@ from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.R
     if known is None:
         text = pa.nulls(len(text), pa.string())
     else:
-        text = pa.compute.if_else(pa.array(count > 0), text, pa.scalar(None, text.type)).cast(pa.string())
+        text = pc.if_else(pa.array(count > 0), text, pa.scalar(None, text.type)).cast(pa.string())
     return pa.record_batch([batch.column("id"), pa.array(as_long(node)), pa.array(size, pa.int64()),
                             list_column(as_long(value), count, pa.int64()), text],
                            ["id", "node", "n_shingles", "signatures", "text"])
@@ -205,7 +206,7 @@ def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.R
 
 def _verify(batch: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch:
     """Whether the sets of two texts link, for a few megabytes of text at a time."""
-    size = sum(np.asarray(pa.compute.binary_length(batch.column(c)), dtype=np.int64) for c in ("text_a", "text_b"))
+    size = sum(np.asarray(pc.binary_length(batch.column(c)), dtype=np.int64) for c in ("text_a", "text_b"))
     cuts = np.flatnonzero(np.diff(np.cumsum(size) // VERIFY_BYTES)) + 1
     ends = [0, *cuts.tolist(), len(batch)]
     parts = [_linked(batch.slice(a, b - a), shingle, percent) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
