@@ -21,6 +21,12 @@ read in two rounds, because what the first joins needs no more checks. Every pai
 join two components is verified on the texts' sets, no list is cut, and no group of
 copies is expanded into all its pairs.
 
+Most pairs share a passage and are far from linked. A node's *sketch*, about one bit a
+shingle, tells them without the texts: a bit is the parity of the shingles that fall on
+it, so two sets differ in at least as many shingles as their sketches do in bits. Only
+pairs that the sketches leave possible meet with their texts. Tables go as soon as no
+step reads them.
+
 Defined cases: null and empty texts have no shingle and link with nothing; a text of
 fewer words than a shingle is one shingle; a null doc_id comes last among ids; rows with
 one doc_id are separate rows; no documents give no rows. Sets are told apart by 64 bits.
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.graph import components
-from boxloom.llm.tables import by_batch, narrow, release, stored, unused
+from boxloom.llm.tables import by_batch, done_with, narrow, release, stored, unused
 from boxloom.llm.words import SPACED, Chunk, as_long, chunks, grams, list_column, mix
 
 #: Cost of an inverted-list entry in units of an enumerated subset.
@@ -51,6 +57,8 @@ BITMAP_BITS = 27
 VERIFY_BYTES = 4 << 20
 #: The bits of a signature that each probe of the bitmap skips.
 PROBES = (0, 18, 37)
+#: Bits of the smallest sketch; a set takes the next power of two from its size on.
+SKETCH_BITS = 64
 
 #: Inverted lists are read in rounds, each of one in so many of the open pairs; the last
 #: takes every pair that is open still.
@@ -59,7 +67,8 @@ PARTS = (8, 1)
 _LARGEST = 1 << 40
 _LAST = (1 << 63) - 1
 _U = np.uint64
-_SIGNED = "id bigint, node bigint, n_shingles bigint, signatures array<bigint>, text string"
+_SIGNED = "id bigint, node bigint, n_shingles bigint, signatures array<bigint>, sketch binary, text string"
+_PAIRS = "a bigint, b bigint"
 _VERIFIED = "a bigint, b bigint, linked boolean"
 
 
@@ -168,10 +177,44 @@ def _subset_signatures(plan: Plan, rows: np.ndarray, values: np.ndarray, sizes:
     return out_rows, out
 
 
+def _sketches(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the sketches of all rows, and how many each row has. A sketch folded in the
+    middle is that of half as many bits."""
+    bits = np.full(len(sizes), SKETCH_BITS, dtype=np.int64)
+    while (low := bits < sizes).any():
+        bits[low] *= 2
+    bits[sizes == 0] = 0
+    base = np.zeros(len(bits) + 1, dtype=np.int64)
+    np.cumsum(bits, out=base[1:])
+    slot = mix(values + _U(0x5CE7)) & (bits[rows].astype(np.uint64) - _U(1))
+    parity = np.bincount(base[rows] + slot.astype(np.int64), minlength=base[-1]) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little"), bits // 8
+
+
+def _possible(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """The pairs that can link by what their sketches tell."""
+    columns = [batch.column(c).to_pylist() for c in ("size_a", "size_b", "sketch_a", "sketch_b")]
+    keep = []
+    for size_a, size_b, a, b in zip(*columns, strict=True):
+        overlap = -(-percent * (size_a + size_b) // (100 + percent))
+        bits = 8 * min(len(a), len(b))
+        differ = _folded(a, bits) ^ _folded(b, bits)
+        keep.append(overlap <= min(size_a, size_b) and differ.bit_count() <= size_a + size_b - 2 * overlap)
+    return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _folded(sketch: bytes, bits: int) -> int:
+    value, width = int.from_bytes(sketch, "little"), 8 * len(sketch)
+    while width > bits:
+        width //= 2
+        value = (value >> width) ^ (value & ((1 << width) - 1))
+    return value
+
+
 def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.RecordBatch:
     """Per row its set's digest and size and its signatures, or with ``known`` only the
-    repeated ones, and then the text where there are any."""
-    nodes, counts, sizes_out, signatures = [], [], [], []
+    repeated ones, and then the sketch and the text where there are any."""
+    nodes, counts, sizes_out, signatures, sketches, widths = [], [], [], [], [], []
     for chunk in chunks(batch.column("text"), SPACED, True):
         rows, values, sizes = _sets(chunk, plan.shingle)
         node = np.zeros(len(sizes), dtype=np.uint64)
@@ -190,18 +233,33 @@ def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.R
                 slot = ((signature >> _U(shift)) & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
                 keep &= (known[slot >> 3] >> (slot & 7)) & 1 > 0
             row, signature = row[keep], signature[keep]
+            listed = np.bincount(row, minlength=len(sizes)) > 0
+            own = listed[rows]
+            sketch, width = _sketches(rows[own], values[own], np.where(listed, sizes, 0))
+            sketches.append(sketch)
+            widths.append(width)
         order = np.argsort(row, kind="stable")
         signatures.append(signature[order])
         counts.append(np.bincount(row, minlength=len(sizes)))
     node, size, value, count = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (nodes, sizes_out, signatures, counts))
     text = batch.column("text")
     if known is None:
-        text = pa.nulls(len(text), pa.string())
+        text, sketch = pa.nulls(len(text), pa.string()), pa.nulls(len(text), pa.binary())
     else:
+        sketch = _binary_column(sketches, widths)
         text = pc.if_else(pa.array(count > 0), text, pa.scalar(None, text.type)).cast(pa.string())
     return pa.record_batch([batch.column("id"), pa.array(as_long(node)), pa.array(size, pa.int64()),
-                            list_column(as_long(value), count, pa.int64()), text],
-                           ["id", "node", "n_shingles", "signatures", "text"])
+                            list_column(as_long(value), count, pa.int64()), sketch, text],
+                           ["id", "node", "n_shingles", "signatures", "sketch", "text"])
+
+
+def _binary_column(data: list[np.ndarray], widths: list[np.ndarray]) -> pa.Array:
+    """A binary column whose row ``i`` takes the next ``widths[i]`` bytes."""
+    width = np.concatenate(widths) if widths else np.zeros(0, np.int64)
+    offsets = np.zeros(len(width) + 1, dtype=np.int32)
+    np.cumsum(width, out=offsets[1:])
+    joined = np.concatenate(data) if data else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
 
 
 def _verify(batch: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch:
@@ -253,7 +311,10 @@ def _open(lists: DataFrame) -> DataFrame:
         F.min("node").alias("head"), F.min_by("label", "node").alias("head_label"), F.count(F.lit(1)).alias("n"),
         F.min("label").alias("low"), F.max("label").alias("high"),
     ).filter("low <> high").drop("low", "high")
-    return stored(lists.join(stored(summed), "signature"))
+    summed = stored(summed)
+    found = stored(lists.join(summed, "signature"))
+    done_with(summed)
+    return found
 
 
 def _star(lists: DataFrame) -> DataFrame:
@@ -277,16 +338,20 @@ def _early(nodes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     sets = texts.join(nodes, "node").select("node", "text").mapInArrow(
         by_batch(partial(_shingled, shingle=plan.shingle)), "node bigint, shingles array<bigint>"
     )
-    postings = stored(sets.select("node", F.explode("shingles").alias("shingle")))
+    postings = stored(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
     rarity = stored(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    ranked = postings.join(rarity, "shingle", "left").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("own")
+    # a shingle of one set only meets nothing; as the rarest ones they stand before all others
+    ranked = postings.join(rarity, "shingle").groupBy("node").agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own")
     )
-    size = F.size("own")
-    least = F.ceil(size * F.lit(plan.percent) / 100).cast("int")
-    early = ranked.select("node", size.alias("size"), F.posexplode(F.slice("own", F.lit(1), size - least + 1)).alias("at", "own"))
-    # a shingle of one set only meets nothing
-    return stored(early.filter("own.n > 1").select("own.shingle", "node", "size", "at"))
+    alone = F.col("size") - F.size("own")
+    least = F.ceil(F.col("size") * F.lit(plan.percent) / 100).cast("int")
+    own = F.slice("own", F.lit(1), F.greatest(F.size("own") - least + 1, F.lit(0)))
+    early = ranked.select("node", "size", alone.alias("alone"), F.posexplode(own).alias("at", "own"))
+    found = stored(early.select("own.shingle", "node", "size", (F.col("alone") + F.col("at")).alias("at")))
+    done_with(postings)
+    done_with(rarity)
+    return found
 
 
 def _early_pairs(early: DataFrame, labels: DataFrame, plan: Plan, part: int) -> DataFrame:
@@ -307,37 +372,52 @@ def _early_pairs(early: DataFrame, labels: DataFrame, plan: Plan, part: int) ->
     )
 
 
-def _components(signed: DataFrame, plan: Plan) -> DataFrame:
-    """``node, component`` of every node with a verified link."""
-    shared = signed.filter("text is not null")
-    texts = stored(shared.groupBy("node").agg(F.first("text").alias("text"), F.first("signatures").alias("signatures")))
-    postings = texts.select(F.explode("signatures").alias("signature"), "node").distinct()
-    texts = texts.select("node", "text")
+def _components(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """``node, component`` of every node with a verified link; ``nodes`` is a stored table of
+    node, n_shingles, signatures, sketch and text, which is deleted."""
+    postings = nodes.select(F.explode("signatures").alias("signature"), "node").distinct()
+    texts = nodes.select("node", "text")
     lists = _open(postings.withColumn("label", F.col("node")))
+    possible = by_batch(partial(_possible, percent=plan.percent))
     verify = by_batch(partial(_verify, shingle=plan.shingle, percent=plan.percent))
 
+    def side(of: DataFrame, name: str, **columns: str) -> DataFrame:
+        return of.select(F.col("node").alias(name), *[F.col(c).alias(f"{new}_{name}") for new, c in columns.items()])
+
     def checked_with(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         pairs = pairs.distinct()
         if before is not None:
             pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        marks = {"size": "n_shingles", "sketch": "sketch"}
+        near = stored(
+            pairs.join(side(nodes, "a", **marks), "a").join(side(nodes, "b", **marks), "b")
+            .mapInArrow(possible, _PAIRS)
+        )
+        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        own = stored(texts.join(wanted, "node", "left_semi"))
         found = (
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            near.join(side(own, "a", text="text"), "a").join(side(own, "b", text="text"), "b")
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(verify, _VERIFIED)
         )
-        return stored(found if before is None else before.unionByName(found))
+        checked = stored(found if before is None else before.unionByName(found))
+        done_with(near)
+        done_with(own)
+        return checked
 
     checked = checked_with(_star(lists), None)
     labels = components(checked.filter("linked"))
     rest = lists.filter("node <> head").select("signature", "node").join(labels, "node", "left")
-    lists = _open(rest.select("signature", "node", F.coalesce("component", "node").alias("label")))
-    if lists.isEmpty():
-        return labels
-    early = _early(lists.select("node").distinct(), texts, plan)
-    for part in PARTS:
-        checked = checked_with(_early_pairs(early, labels, plan, part), checked)
-        labels = components(checked.filter("linked"))
+    still = _open(rest.select("signature", "node", F.coalesce("component", "node").alias("label")))
+    done_with(lists)
+    if not still.isEmpty():
+        early = _early(still.select("node").distinct(), texts, plan)
+        for part in PARTS:
+            checked = checked_with(_early_pairs(early, labels, plan, part), checked)
+            labels = components(checked.filter("linked"))
+        done_with(early)
+    done_with(still)
+    done_with(nodes)
     return labels
 
 
@@ -353,7 +433,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     del signatures, repeated
     release(docs.sparkSession)
     signed = stored(own.mapInArrow(by_batch(partial(_signed, plan=plan, known=known)), _SIGNED))
-    labels = _components(signed, plan)
+    # one row of each set that shares a signature; repeated rows carry equal columns
+    nodes = stored(signed.filter("text is not null").groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("n_shingles", "signatures", "sketch", "text")]
+    ))
+    full, signed = signed, stored(signed.select("id", "node", "n_shingles"))
+    done_with(full)
+    labels = _components(nodes, plan)
     sets = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("first_id"))
     joined = sets.join(labels, "node", "left").select(
         "node", "first_id", F.coalesce("component", "node").alias("component")

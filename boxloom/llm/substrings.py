@@ -206,21 +206,26 @@ def removals(docs: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]
         anchors.join(shared, "prefix", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     )
     done_with(scanned)
+    done_with(shared)
     singles = stored(listed.filter(F.col("id") == F.col("first_id")).select("id", "d1", "d2").distinct().join(places, "id"))
+    done_with(places)
     grown = stored(own.join(singles, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]))
+    done_with(singles)
     leaves = (
         grown.mapInArrow(by_batch(_windows), _WINDOWS)
         .select("id", F.explode(F.arrays_zip("nodes", "checks")).alias("w"))
         .groupBy(F.col("w.nodes").alias("node"), F.col("w.checks").alias("check"))
         .agg(F.min("id").alias("id"))
     )
-    kept = leaves.groupBy("id").agg(F.collect_list("node").alias("earliest"))
+    # stored, so that the leaves' shuffle is gone before the texts travel
+    kept = stored(leaves.groupBy("id").agg(F.collect_list("node").alias("earliest")))
     cleaned = stored(
         grown.join(kept, "id", "left").select("id", "d1", "d2", "text", "places", "earliest")
         .mapInArrow(by_batch(_clean), _CLEANED).filter("n_removed > 0")
         .select("id", "d1", "d2", "n_removed", "sha", *["kept"] * texts)
     )
     done_with(grown)
+    done_with(kept)
     return listed.withColumn("copy", F.col("id") > F.col("first_id")), cleaned
 
 
