@@ -8,7 +8,10 @@ Two documents link when ``100 * intersection >= percent * union`` of their shing
 * *Heavy* sets are found by scanning inverted lists. A list is keyed by a block: all
   shingles of a set whose hash falls into one of m parts. Linked sets differ in at most
   D shingles, so with m = D + 1 + spare parts at least spare + 1 blocks are equal, and
-  one of those holds shingles. A single frequent shingle makes no long list this way.
+  one of those holds shingles. Mostly many do: a set knows its own empty parts and by how
+  many shingles a partner may differ, hence how many filled blocks they share at least. If
+  fewer of its blocks occur twice at all, it is in none of the scheme's lists. So a
+  common phrase lists no text, though a larger corpus has more of them.
 * The boundary is the largest size at which the subsets cost less than ``LIST_COST``
   times the blocks, an estimate of what scanning and verifying a list entry costs.
 
@@ -135,8 +138,9 @@ def _sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _block_signatures(plan: Plan, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray,
-                      back: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, signature)`` under the scheme of each row's class, or the class before it."""
+                      back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, signature)`` under the scheme of each row's class, or the class before it, and
+    how many of a row's filled blocks any set has that links with it there."""
     k = np.searchsorted(np.array(plan.classes), np.maximum(sizes, 1), side="right") - 1 - back
     wanted = (sizes > 0) & (k >= 0)
     # a light set takes part if a set beyond the boundary can be its partner
@@ -159,8 +163,12 @@ def _block_signatures(plan: Plan, rows: np.ndarray, values: np.ndarray, sizes: n
     # a set with more empty parts than spare ones also joins the list of such sets
     empty = parts - np.bincount(row[filled], minlength=len(parts))
     bare = np.flatnonzero(wanted & (empty > np.array(plan.spare)[k]))
+    # the largest partner in this scheme: under the class before, the other set is of that class
+    other = np.array(plan.classes)[k + 1] - 1 if back else sizes * 100 // plan.percent
+    differ = (sizes + other) * (100 - plan.percent) // (100 + plan.percent)
     return (np.concatenate((row[filled], bare)),
-            np.concatenate((signatures[filled], mix(k[bare].astype(np.uint64) + _U(0xE3E3)))))
+            np.concatenate((signatures[filled], mix(k[bare].astype(np.uint64) + _U(0xE3E3)))),
+            parts - differ - empty)
 
 
 def _subset_signatures(plan: Plan, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[list, list]:
@@ -211,9 +219,18 @@ def _folded(sketch: bytes, bits: int) -> int:
     return value
 
 
+def _is_known(signatures: np.ndarray, known: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(signatures), dtype=bool)
+    for shift in PROBES:
+        slot = ((signatures >> _U(shift)) & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
+        keep &= (known[slot >> 3] >> (slot & 7)) & 1 > 0
+    return keep
+
+
 def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.RecordBatch:
     """Per row its set's digest and size and its signatures, or with ``known`` only the
-    repeated ones, and then the sketch and the text where there are any."""
+    repeated ones, of blocks only where they are as many as linked sets share, and then the
+    sketch and the text where there are any."""
     nodes, counts, sizes_out, signatures, sketches, widths = [], [], [], [], [], []
     for chunk in chunks(batch.column("text"), SPACED, True):
         rows, values, sizes = _sets(chunk, plan.shingle)
@@ -222,17 +239,20 @@ def _signed(batch: pa.RecordBatch, plan: Plan, known: np.ndarray | None) -> pa.R
         nodes.append(mix(node + sizes.astype(np.uint64)))
         sizes_out.append(sizes)
         own_rows, own = _subset_signatures(plan, rows, values, sizes)
+        if known is not None:
+            kept = [_is_known(s, known) for s in own]
+            own_rows, own = [r[k] for r, k in zip(own_rows, kept, strict=True)], [s[k] for s, k in zip(own, kept, strict=True)]
         for back in (0, 1):
-            r, s = _block_signatures(plan, rows, values, sizes, back)
+            r, s, least = _block_signatures(plan, rows, values, sizes, back)
+            if known is not None:
+                keep = _is_known(s, known)
+                r, s = r[keep], s[keep]
+                keep = (np.bincount(r, minlength=len(sizes)) >= least)[r]
+                r, s = r[keep], s[keep]
             own_rows.append(r)
             own.append(s)
         row, signature = np.concatenate(own_rows), np.concatenate(own)
         if known is not None:
-            keep = np.ones(len(signature), dtype=bool)
-            for shift in PROBES:
-                slot = ((signature >> _U(shift)) & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                keep &= (known[slot >> 3] >> (slot & 7)) & 1 > 0
-            row, signature = row[keep], signature[keep]
             listed = np.bincount(row, minlength=len(sizes)) > 0
             own = listed[rows]
             sketch, width = _sketches(rows[own], values[own], np.where(listed, sizes, 0))
