@@ -160,8 +160,8 @@ def diff_nested(nested: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-#: Boxes of both sets in an island that one task settles.
-_ISLAND_BOXES = 50_000
+#: Boxes of either set in an island that one task settles.
+_ISLAND_BOXES = 200_000
 
 
 def match_crowds(

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import CORNERS, corners, iou, overlaps
-from boxloom.operators.ranking import hot_groups
 from boxloom.session import durable, nested_boxes
 
 #: Tasks a single crowded grid cell is spread over.
@@ -30,24 +29,27 @@ def check_threshold(threshold: float) -> float:
     return float(threshold)
 
 
-def split_by_size(frames: Sequence[DataFrame], keys: Sequence[str], largest: int | None = None):
+def split_by_size(frames: Sequence[DataFrame], keys: Sequence[str], largest: int | None = None, stored: bool = False):
     """Split frames into ordinary and oversized groups: ``(light, heavy | None)``.
 
     A group is oversized when any of the frames holds more than the nested limit.
     ``largest`` is an upper bound of a group's rows, where the caller knows one.
+    ``stored`` frames are cheap to read again. Where every group is oversized, the ordinary
+    part is known to be empty and nothing is read for it.
     """
     limit = nested_boxes(frames[0].sparkSession)
     if largest is not None and largest <= limit:
         return list(frames), None
-    tagged = [f.select(F.lit(n).alias("_side"), *keys) for n, f in enumerate(frames)]
-    heavy_keys = (
-        hot_groups(reduce(DataFrame.unionByName, tagged), ["_side", *keys], limit)
-        .select(*keys)
-        .distinct()
-    )
+    tagged = reduce(DataFrame.unionByName, [f.select(F.lit(n).alias("_side"), *keys) for n, f in enumerate(frames)])
+    sizes = tagged.groupBy("_side", *keys).agg(F.count("*").alias("_n"))
+    # ordinary groups fall together under a null, which tells whether there are any
+    kinds = durable(sizes.groupBy(F.when(F.col("_n") > limit, F.struct(*keys)).alias("_heavy")).agg(F.sum("_n").alias("_n")))
+    heavy_keys = kinds.filter("_heavy IS NOT NULL").select("_heavy.*")
     if heavy_keys.isEmpty():
         return list(frames), None
-    renamed = durable(heavy_keys).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    if kinds.filter("_heavy IS NULL").isEmpty():
+        return [f.filter(F.lit(False)) for f in frames], [f if stored else durable(f) for f in frames]
+    renamed = heavy_keys.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
 
     def pick(frame: DataFrame, how: str) -> DataFrame:
         condition = F.lit(True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from boxloom.session import durable, hot_group_rows, shuffle_partitions
@@ -35,32 +35,40 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def _range_bounds(df: DataFrame, buckets: int) -> Column:
-    """Literal bucket bounds from a fixed-size sample (the rows of least hash)."""
+def _range_bounds(df: DataFrame, buckets: int) -> list[Row]:
+    """Bucket bounds from a fixed-size sample (the rows of least hash).
+
+    They are cut to the leading columns that tell most of them apart.
+    """
     names = df.columns
     sample = df.orderBy(F.xxhash64(*names)).limit(buckets * _SAMPLE_PER_BUCKET)
     place = Window.orderBy(*names)
     ranked = sample.withColumn("_at", F.row_number().over(place))
-    bounds = ranked.filter(F.col("_at") % _SAMPLE_PER_BUCKET == 0).orderBy(*names).drop("_at")
-    rows = bounds.collect()
-    types = {field.name: field.dataType for field in df.schema.fields}
-    return F.array(
-        *[F.struct(*[F.lit(row[n]).cast(types[n]).alias(n) for n in names]) for row in rows]
-    ), len(rows)
-
-
-def _bucket_of(place: Column, bounds: Column, count: int) -> Column:
-    """How many bounds are at or below ``place``: a binary search over literals."""
-    if count == 0:
-        return F.lit(0)
-    steps = [2**p for p in reversed(range(count.bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= count) & (F.get(bounds, at + step - 1) <= place), at + step
-        ).otherwise(at),
-    )
+    rows = ranked.filter(F.col("_at") % _SAMPLE_PER_BUCKET == 0).orderBy(*names).drop("_at").collect()
+    for width in range(1, len(names) + 1):
+        bounds = list(dict.fromkeys(Row(*names[:width])(*row[:width]) for row in rows))
+        if 4 * len(bounds) >= 3 * len(rows):
+            break
+    return bounds
+
+
+def _in_buckets(df: DataFrame, bounds: list[Row]) -> DataFrame:
+    """Add ``_bucket``, how many bounds are at or below a row: a binary search over literals.
+
+    A step is a column of its own, which compiles; a fold over the steps would not.
+    """
+    df = df.withColumn("_bucket", F.lit(0))
+    if not bounds:
+        return df
+    names = bounds[0].__fields__
+    types = {n: df.schema[n].dataType for n in names}
+    listed = F.array(*[F.struct(*[F.lit(row[n]).cast(types[n]).alias(n) for n in names]) for row in bounds])
+    place = F.struct(*[F.col(n) for n in names])
+    for step in [2**p for p in reversed(range(len(bounds).bit_length()))]:
+        probe = F.col("_bucket") + step
+        further = (probe <= len(bounds)) & (F.get(listed, probe - 1) <= place)
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(further, step).otherwise(0))
+    return df
 
 
 def row_numbers(
@@ -92,11 +100,7 @@ def row_numbers(
     if not keys and placed.limit(hot_group_rows(df.sparkSession) + 1).count() <= hot_group_rows(df.sparkSession):
         window = Window.partitionBy(F.lit(0)).orderBy(*sorted_by)
         return placed.select(*df.columns, F.row_number().over(window).cast("bigint").alias(name))
-    bounds, count = _range_bounds(placed.select(*sorted_by), shuffle_partitions(df.sparkSession))
-    placed = placed.withColumn(
-        "_bucket",
-        _bucket_of(F.struct(*[F.col(c).alias(c) for c in sorted_by]), bounds, count),
-    )
+    placed = _in_buckets(placed, _range_bounds(placed.select(*sorted_by), shuffle_partitions(df.sparkSession)))
     cell = [*keys, "_bucket"]
     inside = placed.withColumn(
         "_inside", F.row_number().over(Window.partitionBy(*cell).orderBy(*sorted_by))
