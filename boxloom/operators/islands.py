@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import CORNERS
-from boxloom.session import durable, hot_group_rows, shuffle_partitions
+from boxloom.session import durable, sent_if_few, shuffle_partitions
 
 #: An image is cut at the edges of so many columns, and of so many lines, at most.
 _COLUMNS = 4096
@@ -48,8 +48,7 @@ def _same(keys: list[str]) -> Column:
 def _looked_up(boxes: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``boxes`` with the other columns of ``table``, which is sent to all tasks if few rows by count."""
     table = table.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    few = table.count() <= hot_group_rows(boxes.sparkSession)
-    return boxes.join(F.broadcast(table) if few else table, _same(keys)).drop(*[f"_k_{k}" for k in keys])
+    return boxes.join(sent_if_few(table)[0], _same(keys)).drop(*[f"_k_{k}" for k in keys])
 
 
 def in_islands(boxes: DataFrame, image: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from boxloom.functions.geometry import CORNERS, corners, iou, overlaps, shared_area
 from boxloom.operators.overlap import at_home, check_threshold, split_by_size, visiting
 from boxloom.operators.ranking import row_numbers
-from boxloom.session import durable, nested_boxes
+from boxloom.session import durable, nested_boxes, sent_if_few
 
 _KEYS = ("item_id", "class_name")
 
@@ -84,19 +84,18 @@ def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
     In a round every part of a cell offers its best open box. An offer that no better open
     box covers stays, and drops what it covers before anything else is compared; both are
     joins of the few offers with the open boxes of the cells they reach, so a round reads
-    and stores no more than the boxes that are open. Once these are few by count, one task
-    for each group settles them. Copies of one box collapse to their first, which decides
-    for all of them. Boxes without area overlap with nothing, not even with their copies,
-    and all stay.
+    and stores no more than the boxes that are open. Offers that are few by count are sent to
+    the tasks, and open boxes stay where they are. Once these are few by count, one task
+    for each group settles them. Where offers are many, copies of one box collapse to their
+    first, which decides for all of them. Boxes without area overlap with nothing, not even
+    with their copies, and all stay.
     """
     spark = boxes.sparkSession
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     flat = boxes.filter(F.coalesce(~solid, F.lit(True)))
     boxes = boxes.filter(solid)
-    rank = F.struct((-F.col("confidence")).alias("down"), "pos")
-    heads = boxes.groupBy(*_KEYS, *CORNERS).agg(F.min(rank).alias("_rank")).select(*_KEYS, *CORNERS, "_rank.down", "_rank.pos")
-    left = durable(at_home(heads))
     whole = ["down", "pos", *CORNERS]
+    left, collapsed = boxes.withColumn("down", -F.col("confidence")).select(*_KEYS, *whole), False
 
     def reached(offers: DataFrame) -> DataFrame:
         rows = visiting(offers, threshold)
@@ -110,42 +109,47 @@ def _rounds(boxes: DataFrame, threshold: float) -> DataFrame:
 
     kept = []
     while (open_boxes := left.count()) > _FEW * nested_boxes(spark):
-        parts = at_home(left.select(*_KEYS, *whole), parts=_PARTS)
-        offers = (
-            parts.groupBy(*_KEYS, "level", "gx", "gy")
+        offers = durable(
+            at_home(left, parts=_PARTS).groupBy(*_KEYS, "level", "gx", "gy")
             .agg(F.min(F.struct(*whole)).alias("_best")).select(*_KEYS, "_best.*")
         )
-        offers = durable(offers)
-        visits = reached(offers)
+        visits, few = sent_if_few(reached(offers))
+        if not few and not collapsed:
+            heads = left.groupBy(*_KEYS, *CORNERS).agg(F.min(F.struct("down", "pos")).alias("_rank"))
+            left, collapsed = durable(heads.select(*_KEYS, "_rank.*", *CORNERS)), True
+            continue
         better = F.struct("down", "pos") < F.struct(F.col("o_down").alias("down"), F.col("o_pos").alias("pos"))
-        refused = visits.join(left, meets() & better, "left_semi").select(
+        found = at_home(left).join(visits, meets() & better) if few else visits.join(at_home(left), meets() & better, "left_semi")
+        refused = found.select(
             F.col("o_item_id").alias("_k"), F.col("o_class_name").alias("_c"), F.col("o_pos").alias("_p")
         ).distinct()
         same = (F.col("item_id") == F.col("_k")) & F.col("class_name").eqNullSafe(F.col("_c")) & (F.col("pos") == F.col("_p"))
         stay = durable(offers.join(refused, same, "left_anti"))
         kept.append(stay.select("item_id", "pos"))
         # a box covers itself, so what stays leaves the open boxes as well
-        left = durable(left.join(reached(stay), meets(), "left_anti"))
+        rest = at_home(left).join(sent_if_few(reached(stay))[0], meets(), "left_anti")
+        left = durable(rest.select(*_KEYS, *whole))
     if open_boxes:
-        kept.append(_settle(left.select(*_KEYS, *whole), threshold).select("item_id", "pos"))
+        kept.append(_settle(left, threshold).select("item_id", "pos"))
     if not kept:
         return boxes.unionByName(flat)
-    final = reduce(DataFrame.unionByName, kept).select(F.col("item_id").alias("_k"), F.col("pos").alias("_p"))
-    return boxes.join(final, (F.col("item_id") == F.col("_k")) & (F.col("pos") == F.col("_p")), "left_semi").unionByName(flat)
+    final = durable(reduce(DataFrame.unionByName, kept).select(F.col("item_id").alias("_k"), F.col("pos").alias("_p")))
+    same = (F.col("item_id") == F.col("_k")) & (F.col("pos") == F.col("_p"))
+    return boxes.join(sent_if_few(final)[0], same, "left_semi").unionByName(flat)
 
 
 def merge_detections(
-    detections: DataFrame, threshold: float = 0.5, largest: int | None = None
+    detections: DataFrame, threshold: float = 0.5, largest: int | None = None, stored: bool = False
 ) -> DataFrame:
     """Keep the most confident of overlapping detections of one class per image.
 
     ``item_id, pos`` identify a detection; ties in confidence go to the smaller
     ``pos``. Detections without a box pass through. ``largest`` bounds the
-    detections of one image, where the caller knows.
+    detections of one image, where the caller knows; ``stored`` ones are cheap to read again.
     """
     t = check_threshold(threshold)
     boxes = detections.filter(F.col("x1").isNotNull())
-    light, heavy = split_by_size([boxes], list(_KEYS), largest)
+    light, heavy = split_by_size([boxes], list(_KEYS), largest, stored)
     merged = detections.filter(F.col("x1").isNull()).unionByName(_nested(light[0], t))
     return merged if heavy is None else merged.unionByName(_rounds(heavy[0], t))
 
@@ -162,5 +166,6 @@ def in_order(merged: DataFrame, detections: DataFrame) -> DataFrame:
     boxed = F.col("x1").isNotNull()
     on = (F.col("item_id") == F.col("_k")) & F.col("class_name").eqNullSafe(F.col("_c"))
     order = [boxed, F.when(boxed, -F.col("confidence")), F.when(boxed, F.col("_first")), F.col("pos")]
-    placed = merged.join(first, on, "left").drop("_k", "_c")
+    # numbering reads its rows more than once
+    placed = durable(merged.join(first, on, "left").drop("_k", "_c"))
     return row_numbers(placed, ["item_id"], order, "rank").drop("_first")

@@ -9,6 +9,7 @@ from boxloom.operators import results, tiling
 from boxloom.operators.nms import in_order, merge_detections
 from boxloom.plans.fixtures import Inputs
 from boxloom.plans.registry import query
+from boxloom.session import durable
 
 #: Starts of 640 px tiles with 20 % overlap along one axis, in SQL.
 STARTS = "CASE WHEN {0} <= 640 THEN [0::BIGINT] ELSE list_sort(list_distinct(list_append(range(0, {0} - 640 + 1, 512), {0}::BIGINT - 640))) END"
@@ -114,8 +115,8 @@ JOIN firsts f ON f.item_id = c.item_id AND f.class_name IS NOT DISTINCT FROM c.c
 )
 def nms_crowded(f: Inputs) -> DataFrame:
     """Images far beyond what one row can nest, with the order of the result."""
-    boxes = f.crowd()
-    return in_order(merge_detections(boxes, 0.5), boxes)
+    boxes = durable(f.crowd())
+    return in_order(merge_detections(boxes, 0.5, stored=True), boxes)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one group a single task may sort or hold. Larger groups take the
 #: distributed path of an operator. Override per session with the keys below.
@@ -69,3 +70,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder, so a lost executor loses nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sent_if_few(table: DataFrame) -> tuple[DataFrame, bool]:
+    """``table`` to be joined with, sent to every task if a count finds few rows, and whether it is."""
+    few = table.count() <= hot_group_rows(table.sparkSession)
+    return (F.broadcast(table) if few else table), few
